@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding
 
 
 def queries() -> dict:
-    return {"op9_shards": sharding.op9, "op10_mix_sources": mixing.op10}
+    return {"op2_pack": packing.op2, "op9_shards": sharding.op9, "op10_mix_sources": mixing.op10}
 
 
 def oracle_sql() -> dict[str, str]:
