@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding
+from . import exact_dedup, mixing, packing, sharding
 
 
 def queries() -> dict:
-    return {"op2_pack": packing.op2, "op9_shards": sharding.op9, "op10_mix_sources": mixing.op10}
+    return {"op2_pack": packing.op2, "op7_exact_dedup": exact_dedup.op7, "op9_shards": sharding.op9, "op10_mix_sources": mixing.op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.OP10_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op10_mix_sources": mixing.OP10_SQL}
