@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, html_extract, mixing, packing, sharding
 
 
 def queries() -> dict:
-    return {"op2_pack": packing.op2, "op7_exact_dedup": exact_dedup.op7, "op9_shards": sharding.op9, "op10_mix_sources": mixing.op10}
+    return {"op2_pack": packing.op2, "op5_html_extract": html_extract.op5, "op7_exact_dedup": exact_dedup.op7, "op9_shards": sharding.op9, "op10_mix_sources": mixing.op10}
 
 
 def oracle_sql() -> dict[str, str]:
