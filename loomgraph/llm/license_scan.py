@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import TEMPLATES
-from .textvec import LETTER, NUMBER, Batch, classes, mixed, portions
+from .textvec import Batch, mixed, portions, word_spans
 
 GRAM, WINDOW = 3, 2
 COVERAGE = 0.8
@@ -37,18 +37,6 @@ PRIME = np.uint64(0x100000001B3)
 SCHEMA = "doc_id long, license string, template int, start long, end long, matched long, template_words long, coverage double, matched_text string"
 
 
-def word_spans(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of letters and digits, never across texts."""
-    kind = classes()[batch.cp]
-    ink = (kind == LETTER) | (kind == NUMBER)
-    if not ink.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begins = batch.starts_of_texts()
-    start = np.flatnonzero(ink & (~np.concatenate([[False], ink[:-1]]) | begins))
-    end = np.flatnonzero(ink & (~np.concatenate([ink[1:], [False]]) | np.concatenate([begins[1:], [True]]))) + 1
-    return start, end
-
-
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     size = len(words) - n + 1
     if size <= 0:
