@@ -17,7 +17,7 @@ batch or on the machine.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -38,7 +38,7 @@ SCRIPT = (
     ((1,), 1, 63, 1, 0),
     ((2,), 1, 63, 1, 0),
 )
-RESTART_BLOCKS, RESTART_MCUS = 16, 16
+RESTART_BLOCKS, RESTART_MCUS = 4, 4  # short, since segments are read side by side
 SCALE = 12
 
 
@@ -123,27 +123,33 @@ class Frame:
 
     def order(self, parts: tuple[int, ...]) -> np.ndarray:
         """Blocks in the order of a scan of the given components."""
-        if len(parts) > 1:
-            mcu = np.arange(self.cols * self.rows)
-            y, x = mcu // self.cols, mcu % self.cols
-            one = []
-            for c in parts:
-                h, v = self.sampling[c]
-                one += [self.first[c] + (y * v + j) * self.cols * h + x * h + i for j in range(v) for i in range(h)]
-            return np.stack(one, axis=1).ravel()
-        c = parts[0]
-        h, v = self.sampling[c]
-        wide = -(-(-(-self.width * h // self.hmax)) // 8)
-        high = -(-(-(-self.height * v // self.vmax)) // 8)
-        if wide == self.cols * h and high == self.rows * v:
-            return self.first[c] + np.arange(wide * high)
-        return (self.first[c] + np.arange(high)[:, None] * self.cols * h + np.arange(wide)).ravel()
+        return scan_order(self.width, self.height, self.sampling, parts) + self.first[0]
 
     def unit(self, parts: tuple[int, ...]) -> int:
         """Blocks per MCU of a scan."""
         return sum(self.sampling[c][0] * self.sampling[c][1] for c in parts) if len(parts) > 1 else 1
 
 
+@lru_cache(4096)
+def scan_order(width: int, height: int, sampling: tuple[tuple[int, int], ...], parts: tuple[int, ...]) -> np.ndarray:
+    """Order of the blocks of a scan in an image whose blocks begin at 0."""
+    f = Frame(width, height, sampling)
+    f.place(0)
+    if len(parts) > 1:
+        mcu = np.arange(f.cols * f.rows)
+        y, x = mcu // f.cols, mcu % f.cols
+        one = []
+        for c in parts:
+            h, v = sampling[c]
+            one += [f.first[c] + (y * v + j) * f.cols * h + x * h + i for j in range(v) for i in range(h)]
+        return np.stack(one, axis=1).ravel()
+    c = parts[0]
+    h, v = sampling[c]
+    wide = -(-(-(-width * h // f.hmax)) // 8)
+    high = -(-(-(-height * v // f.vmax)) // 8)
+    return (f.first[c] + np.arange(high)[:, None] * f.cols * h + np.arange(wide)).ravel()
+
+
 # ---- writing
 
 
