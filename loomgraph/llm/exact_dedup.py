@@ -15,8 +15,8 @@ Of equal texts the row with the most code points in its original text stays,
 and of those the one with the smallest id.
 
 Defined results: a null text counts as empty, and all empty texts are equal;
-repeated ids are rows of their own, each reported; an empty table gives an
-empty result; a null id sorts after all others.
+repeated ids are rows of their own, and one row of each group stays even then;
+an empty table gives an empty result; a null id sorts after all others.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ MEMORY = 64 << 20  # bytes of contents that a table may hold
 FAN_OUT = 16
 NO_ID = 1 << 62
 
-HEAD = struct.Struct("<32sqqqqI")
+HEAD = struct.Struct("<32sqqqqqI")
 
 
 class OpenTable:
@@ -74,15 +74,16 @@ class OpenTable:
         return None
 
 
-def better(chars: int, doc: int, than_chars: int, than_doc: int) -> bool:
-    return chars > than_chars or chars == than_chars and doc < than_doc
+def better(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
+    """Whether row ``a`` stays rather than ``b``; rows are (code points, id, place in the input)."""
+    return (-a[0], a[1], a[2]) < (-b[0], b[1], b[2])
 
 
 class GraceTable:
-    """Groups records (digest, content, chars, doc, count, label) by content.
+    """Groups records (digest, content, row, count, label) by content.
 
-    ``groups()`` yields each group as (digest, content, chars, doc, count,
-    labels): the best row, the summed count and the labels of all its records.
+    ``groups()`` yields each group as (digest, content, row, count, labels):
+    the best row, the summed count and the labels of all its records.
     """
 
     def __init__(self, memory: int = MEMORY, level: int = 0) -> None:
@@ -91,19 +92,19 @@ class GraceTable:
         self.files: list | None = None
         self.folder: tempfile.TemporaryDirectory | None = None
 
-    def add(self, digest: bytes, content: bytes, chars: int, doc: int, count: int, label: int) -> None:
+    def add(self, digest: bytes, content: bytes, row: tuple[int, int, int], count: int, label: int) -> None:
         if self.files is not None:
-            self._spill(digest, content, chars, doc, count, label)
+            self._spill(digest, content, row, count, label)
             return
         r = self.table.find(digest, content)
         if r is None:
-            self.table.records.append([digest, content, chars, doc, count, [label]])
+            self.table.records.append([digest, content, row, count, [label]])
             self.held += len(content) + 300
         else:
-            if better(chars, doc, r[2], r[3]):
-                r[2], r[3] = chars, doc
-            r[4] += count
-            r[5].append(label)
+            if better(row, r[2]):
+                r[2] = row
+            r[3] += count
+            r[4].append(label)
             self.held += 40
         # Records that all have one content cannot be parted by partitioning.
         if self.held > self.memory and len(self.table.records) > 1 and self.level < 16:
@@ -112,17 +113,17 @@ class GraceTable:
     def _part(self) -> None:
         self.folder = tempfile.TemporaryDirectory(prefix="grace-")
         self.files = [open(os.path.join(self.folder.name, str(i)), "wb+") for i in range(FAN_OUT)]
-        for digest, content, chars, doc, count, labels in self.table.records:
-            self._spill(digest, content, chars, doc, count, labels[0])
+        for digest, content, row, count, labels in self.table.records:
+            self._spill(digest, content, row, count, labels[0])
             for label in labels[1:]:
                 # What the first record carries counts for all.
-                self._spill(digest, content, chars, doc, 0, label)
+                self._spill(digest, content, row, 0, label)
         self.table, self.held = OpenTable(), 0
 
-    def _spill(self, digest: bytes, content: bytes, chars: int, doc: int, count: int, label: int) -> None:
+    def _spill(self, digest: bytes, content: bytes, row: tuple[int, int, int], count: int, label: int) -> None:
         # Bits from the end of the digest; the table takes them from its start.
         bucket = digest[31 - self.level // 2] >> 4 * (self.level % 2) & FAN_OUT - 1
-        self.files[bucket].write(HEAD.pack(digest, chars, doc, count, label, len(content)))
+        self.files[bucket].write(HEAD.pack(digest, *row, count, label, len(content)))
         self.files[bucket].write(content)
 
     def groups(self) -> Iterator[list]:
@@ -134,8 +135,8 @@ class GraceTable:
                 file.seek(0)
                 inner = GraceTable(self.memory, self.level + 1)
                 while head := file.read(HEAD.size):
-                    digest, chars, doc, count, label, size = HEAD.unpack(head)
-                    inner.add(digest, file.read(size), chars, doc, count, label)
+                    digest, chars, doc, place, count, label, size = HEAD.unpack(head)
+                    inner.add(digest, file.read(size), (chars, doc, place), count, label)
                 file.truncate(0)
                 yield from inner.groups()
         finally:
@@ -163,7 +164,7 @@ def dedup(
                 text = text or ""
                 plain = text.encode("utf-8", "surrogatepass").translate(None, WHITE)
                 digest = hashlib.sha256(plain).digest()
-                table.add(digest, pack(plain), len(text), NO_ID if doc is None else doc, 1, n)
+                table.add(digest, pack(plain), (len(text), NO_ID if doc is None else doc, task + n), 1, n)
                 docs_seen.append(doc)
                 digests.append(digest)
                 n += 1
@@ -171,16 +172,16 @@ def dedup(
         made: list[tuple] = []
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*made, strict=True)) or [[]] * 6
+            columns = list(zip(*made, strict=True)) or [[]] * 7
             made.clear()
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.int64()), pa.array([True] * len(arrays[0]))], NAMES)
 
         size = 0
-        for k, (digest, content, chars, doc, count, labels) in enumerate(table.groups()):
+        for k, (digest, content, row, count, labels) in enumerate(table.groups()):
             group[labels] = task + k
-            made.append((task + k, digest, content, chars, doc, count))
+            made.append((task + k, digest, content, *row, count))
             size += len(content)
             if size > 8 << 20:
                 yield rows()
@@ -188,34 +189,39 @@ def dedup(
         yield rows()
         none = pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(group), pa.array(digests, pa.binary()), pa.nulls(n, pa.binary()), none, none, none, pa.array(docs_seen, pa.int64()), pa.array([False] * n, pa.bool_())], NAMES
+            [pa.array(group), pa.array(digests, pa.binary()), pa.nulls(n, pa.binary()), none, none, pa.array(task + np.arange(n)), none, pa.array(docs_seen, pa.int64()), pa.array([False] * n, pa.bool_())], NAMES
         )
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = GraceTable(memory)
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("digest", "content", "chars", "doc", "count", "group")], strict=True):
-                table.add(*row)
+            for digest, content, chars, doc, place, count, group in zip(*[batch.column(c).to_pylist() for c in ("digest", "content", "chars", "doc", "place", "count", "group")], strict=True):
+                table.add(digest, content, (chars, doc, place), count, group)
         made: list[tuple] = []
-        for _, _, _, doc, count, labels in table.groups():
-            made += [(label, doc, count) for label in labels]
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in range(4)], ["group", "keep_id", "keep_place", "group_size"])
+            made.clear()
+            return out
+
+        for _, _, (_, doc, place), count, labels in table.groups():
+            made.extend((label, doc, place, count) for label in labels)
             if len(made) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], ["group", "keep_id", "group_size"])
-                made = []
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in range(3)], ["group", "keep_id", "group_size"])
+                yield rows()
+        yield rows()
 
-    NAMES = ["group", "digest", "content", "chars", "doc", "count", "doc_id", "best"]
-    schema = "group long, digest binary, content binary, chars long, doc long, count long, doc_id long, best boolean"
+    NAMES = ["group", "digest", "content", "chars", "doc", "place", "count", "doc_id", "best"]
+    schema = "group long, digest binary, content binary, chars long, doc long, place long, count long, doc_id long, best boolean"
     local = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(first, schema))
-    best = local.where("best").select("group", "digest", "content", "chars", "doc", "count")
-    merged = best.repartition(F.col("digest")).mapInArrow(second, "group long, keep_id long, group_size long")
-    rows = local.where("not best").select(F.col("group").alias("_group"), "doc_id", "digest")
+    best = local.where("best").select("group", "digest", "content", "chars", "doc", "place", "count")
+    merged = best.repartition(F.col("digest")).mapInArrow(second, "group long, keep_id long, keep_place long, group_size long")
+    rows = local.where("not best").select(F.col("group").alias("_group"), "doc_id", "digest", "place")
     joined = rows.join(merged, F.col("_group") == F.col("group"))
     return joined.select(
         "doc_id",
         F.when(F.col("keep_id") != NO_ID, F.col("keep_id")).alias("keep_id"),
         "group_size",
-        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("place") == F.col("keep_place")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
