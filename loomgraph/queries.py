@@ -21,7 +21,7 @@ PORTS = """(select 7000000000000 + s_suppkey as object_id, 4000000000000 + s_sup
   union all select 8000000000000 + o_orderkey, 6000000000000 + o_orderkey from orders union all select 9000000000000 + p_partkey, 5000000000000 + p_partkey from part)"""
 LINKS = f"(select distinct {LINK} as object_id, l_orderkey as o, l_suppkey as s, 4000000000000 + l_suppkey as f, 6000000000000 + l_orderkey as t from lineitem)"
 SHIP = """(select l_orderkey as o, l_suppkey as s, sum(l_quantity::decimal(18,2))::double as quantity,
-  sum(round(l_extendedprice * (1 - l_discount), 2)::decimal(18,2))::double as revenue, count(*) as lines from lineitem group by all)"""
+  sum(l_extendedprice::decimal(18,2) * (1 - l_discount)::decimal(5,2))::double as revenue, count(*) as lines from lineitem group by all)"""
 PLACED = "customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 
 
@@ -262,7 +262,7 @@ def groups(name: str, selector: str, by, over, columns, sql: str) -> None:
 
 groups("group_key", "node[$type=customer]", ["segment"], [("top", "MAX", "acctbal")], ["name", "members", "top_d"], "select c_mktsegment as name, count(*) as members, max(c_acctbal) as top_d from customer group by 1")
 groups("group_two_keys", "node[$type=order]", ["status", "priority"], [], ["key0", "key1", "members"], """select o_orderstatus as key0, '"' || o_orderpriority || '"' as key1, count(*) as members from orders group by all""")
-groups("group_hop_from", "link", ["$from.acctbal"], [("lines", "SUM", "lines")], ["name", "members", "lines_l"], f"select s_acctbal::varchar as name, count(*) as members, sum(lines)::bigint as lines_l from {SHIP} join supplier on s = s_suppkey group by 1")
+groups("group_hop_from", "link", ["$from.$node", "$from.$role"], [("lines", "SUM", "lines")], ["key0", "key1", "members", "lines_l"], f"select (4000000000000 + s)::varchar as key0, 'provide' as key1, count(*) as members, sum(lines)::bigint as lines_l from {SHIP} group by 1")
 groups("group_hop_node", "output", ["$node.$type"], [], ["name", "members"], "select 'supplier' as name, count(*) as members from supplier")
 groups("group_parent", "node[$type=customer]", ["parent(placement)"], [("low", "MIN", "acctbal")], ["name", "members", "low_d"], "select (2000000000000 + c_nationkey)::varchar as name, count(*) as members, min(c_acctbal) as low_d from customer group by 1")
 groups("group_parent_key", "node[$type=order]", ["parent(ownership).segment", "status"], [("most", "MAX", "total")], ["key0", "key1", "members", "most_d"], "select c_mktsegment as key0, o_orderstatus as key1, count(*) as members, max(o_totalprice) as most_d from orders join customer on o_custkey = c_custkey group by all")
@@ -358,10 +358,10 @@ def view_snapshot_keys(spark, d):
     return records.select("change", "object_id", "parent_id", "key", as_text(records).alias("value"))
 
 
-@query("view_port_closure", f"""with k as (select {LINK.replace('l_orderkey', 'o').replace('l_suppkey', 's')} as id, o, s from {SHIP} where quantity >= 120)
+@query("view_port_closure", f"""with k as (select {LINK.replace('l_orderkey', 'o').replace('l_suppkey', 's')} as id, o, s from {SHIP} where quantity >= 80)
   select id as object_id from k union select 7000000000000 + s from k union select 8000000000000 + o from k""")
 def view_port_closure(spark, d):
-    return views.members(tpch.bind(spark, d), "link[quantity>=120]").select("object_id")
+    return views.members(tpch.bind(spark, d), "link[quantity>=80]").select("object_id")
 
 
 def changed(spark, d):

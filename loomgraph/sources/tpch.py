@@ -56,7 +56,7 @@ def _objects(table: DataFrame, kind: str, type: str, object_id, **columns) -> Da
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each order and supplier together: o, s, quantity, revenue, lines."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    money = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("decimal(18,2)")
+    money = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount")).cast("decimal(5,2)")
     return lines.groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).agg(
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), F.sum(money).cast("double").alias("revenue"), F.count(F.lit(1)).alias("lines")
     )
@@ -119,15 +119,17 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as words of two sources: observations of users, removals on errors of few users, a completion of every scope at each day's end."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # The clock as it is written, whatever the session's time zone.
+    micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     source = (F.col("user_id") % 2).cast("int")
     day = F.to_date("ts")
     seen = events.select(
-        source.alias("source_id"), (F.unix_micros("ts") * 8).alias("seq"), F.when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 0), "REMOVED").otherwise("OBSERVED").alias("word"),
+        source.alias("source_id"), (micros * 8).alias("seq"), F.when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 0), "REMOVED").otherwise("OBSERVED").alias("word"),
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("external_id"), F.col("event_type").alias("version"), (F.col("user_id") % 4).cast("int").alias("scope"), F.col("props").alias("payload"),
     )
     ends = events.select(day.alias("day")).distinct()
     none = F.lit(None).cast("string")
     done = ends.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("scope"), "day").select(
-        (F.col("scope") % 2).cast("int").alias("source_id"), (F.unix_micros((F.date_add("day", 1)).cast("timestamp")) * 8 - 8 + F.col("scope")).alias("seq"), F.lit("COMPLETE").alias("word"), none.alias("external_id"), none.alias("version"), "scope", none.alias("payload"),
+        (F.col("scope") % 2).cast("int").alias("source_id"), ((F.unix_date("day") + 1).cast("long") * 86_400_000_000 * 8 - 8 + F.col("scope")).alias("seq"), F.lit("COMPLETE").alias("word"), none.alias("external_id"), none.alias("version"), "scope", none.alias("payload"),
     )
     return seen.unionAll(done)
