@@ -176,7 +176,7 @@ def dedup(
             made.clear()
             kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.int64()), pa.array([True] * len(arrays[0]))], NAMES)
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.int64()), pa.array([True] * len(arrays[0]), pa.bool_())], NAMES)
 
         size = 0
         for k, (digest, content, row, count, labels) in enumerate(table.groups()):
