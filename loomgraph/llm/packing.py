@@ -147,21 +147,20 @@ def pack(
         yield rows.take()
 
     def merge(level: int, last: bool):
-        def merged(key, frame):
-            group = int(key[0])
+        def merged(key, table):
+            group = key[0].as_py()
             rows = Rows((level << 26) + group)
             open_windows = Windows(length, windows, rows.add)
-            frame = frame.sort_values(["sequence_id", "offset"])
-            columns = [frame[c].tolist() for c in Rows.NAMES[:5]]
-            bounds = np.flatnonzero(np.diff(frame["sequence_id"].to_numpy(), prepend=-1)).tolist() + [len(frame)]
+            table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+            columns = [table.column(c).to_pylist() for c in Rows.NAMES[:5]]
+            bounds = np.flatnonzero(np.diff(table.column("sequence_id").to_numpy(), prepend=-1)).tolist() + [table.num_rows]
             held = [list(zip(*[c[a:b] for c in columns], strict=True)) for a, b in zip(bounds, bounds[1:], strict=False)]
             for pieces in sorted(held, key=lambda p: -sum(x[2] for x in p)):
                 open_windows.place(sum(x[2] for x in pieces), pieces)
             for pieces in open_windows.rest():
                 rows.add(pieces, closed=last)
-            out = rows.take().to_pandas()
-            out["task"] = group
-            return out
+            rows.task = group
+            return pa.Table.from_batches([rows.take()])
 
         return merged
 
@@ -173,7 +172,7 @@ def pack(
     while True:
         level += 1
         tasks = -(-tasks // FAN_IN)
-        moved = rest.withColumn("_to", F.floor(F.col("task") / FAN_IN)).groupBy("_to").applyInPandas(merge(level, tasks == 1), schema)
+        moved = rest.withColumn("_to", F.floor(F.col("task") / FAN_IN)).groupBy("_to").applyInArrow(merge(level, tasks == 1), schema)
         if tasks == 1:
             return done.unionByName(moved).select(*Rows.NAMES)
         moved = cut(moved)

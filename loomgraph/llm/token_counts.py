@@ -91,7 +91,7 @@ def attribute(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if sections is not None:
         spans = sections.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(
-            F.sort_array(F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"), F.col("section").cast("long")))).alias("spans")
+            F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("start", "end", "section")]))).alias("spans")
         )
         rows = rows.join(spans, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint,section:bigint>>)")).alias("spans"))
 
