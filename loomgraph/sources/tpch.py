@@ -42,6 +42,18 @@ FIXED = {
 SQL = {"DOUBLE": "double", "TEXT": "string", "LONG": "long"}
 
 
+_tables: dict[tuple[str, str, str], DataFrame] = {}
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name. Its schema is read once in an application, not its rows."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _tables[key]
+
+
 def node_id(kind: str, key) -> F.Column:
     return (F.lit(NODE[kind] * UNIT) + key.cast("long")).alias("object_id")
 
@@ -55,7 +67,7 @@ def _objects(table: DataFrame, kind: str, type: str, object_id, **columns) -> Da
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each order and supplier together: o, s, quantity, revenue, lines."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = table(spark, sf_dir, "lineitem")
     money = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount")).cast("decimal(5,2)")
     return lines.groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).agg(
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), F.sum(money).cast("double").alias("revenue"), F.count(F.lit(1)).alias("lines")
@@ -64,7 +76,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers provide the parts they sell in their region, parts and orders require theirs."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    read = lambda t: table(spark, sf_dir, t)
     lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     nations = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     suppliers = read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_acctbal") < 0, "").otherwise(F.col("r_name")).alias("domain"))
@@ -83,7 +95,15 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Graph:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    """The graph over the tables of a folder; only plans are kept between calls, no rows."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = _bind(spark, sf_dir)
+    return _graphs[key]
+
+
+def _bind(spark: SparkSession, sf_dir: str) -> Graph:
+    read = lambda t: table(spark, sf_dir, t)
     region, nation, customer, supplier, part, orders = (read(t) for t in ("region", "nation", "customer", "supplier", "part", "orders"))
     ext = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     ship = shipments(spark, sf_dir)
@@ -118,7 +138,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Graph:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as words of two sources: observations of users, removals on errors of few users, a completion of every scope at each day's end."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = table(spark, sf_dir, "events")
     # The clock as it is written, whatever the session's time zone.
     micros = F.unix_micros(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
     source = (F.col("user_id") % 2).cast("int")
