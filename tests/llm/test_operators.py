@@ -77,7 +77,7 @@ def test_token_counts(spark, odd_docs, no_docs, tokenizer):
     sections = spark.createDataFrame([(1, 0, 0, 8), (1, 1, 8, 15)], "doc_id long, section long, start long, end long")
     for rule in token_counts.RULES:
         out = {r.section: r.tokens for r in token_counts.attribute(docs, sections, rule).collect()}
-        want = defaultdict(float)
+        want = defaultdict(float, {0: 0.0, 1: 0.0})
         for a, b in spans:
             share = {s: max(0, min(b, y) - max(a, x)) for s, (x, y) in enumerate(((0, 8), (8, 15)))}
             if rule == "share":
