@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import demand, feed, folds, groupings, links, mutations, placement, views
+from .operators import assembly, demand, feed, folds, groupings, links, mutations, placement, views
 from .operators.select import matched, matched_ids
 from .plans.path import Path
 from .sources import frames, tpch
@@ -462,6 +462,44 @@ def feed_state(spark, d):
     return feed.states(tpch.words(spark, d))
 
 
+def user(row: dict, emit: assembly.Emit) -> None:
+    """A user's node in the node of its scope, with the version seen; a user whose number ends in 9 is refused."""
+    if row["external_id"].endswith("9"):
+        raise ValueError("no such user")
+    scope = emit.node(f"scope:{row['scope']}", str(row["scope"]), "scope")
+    own = emit.node(row["external_id"], row["external_id"], "user")
+    emit.contain(scope, own, "placement")
+    emit.set(own, "version", row["version"])
+    emit.set(scope, "last", row["external_id"])
+
+
+def user_writes(spark, d) -> DataFrame:
+    return assembly.materialize(feed.alive(tpch.words(spark, d)), user)
+
+
+KNOWN = f"with {WORDS}, {ALIVE}, g as (select * from a where external_id not like '%9')"
+
+
+@query("assembly_objects", KNOWN + " select external_id as object, 'user' as type, 1::bigint as claims from g union all select 'scope:' || scope, 'scope', count(*) from g group by 1")
+def assembly_objects(spark, d):
+    return assembly.objects(user_writes(spark, d)).select("object", "type", "claims")
+
+
+@query("assembly_containment", KNOWN + " select 'placement' as axis, 'scope:' || scope as parent, external_id as child from g")
+def assembly_containment(spark, d):
+    return assembly.containment(user_writes(spark, d))
+
+
+@query("assembly_values", KNOWN + " select external_id as object, 'version' as key, version as t from g union all select 'scope:' || scope, 'last', arg_max(external_id, (source_id, external_id)) from g group by scope")
+def assembly_values(spark, d):
+    return assembly.values(user_writes(spark, d)).select("object", "key", "t")
+
+
+@query("assembly_rejected", f"with {WORDS}, {ALIVE} select source_id, external_id, 'ValueError: no such user' as error from a where external_id like '%9'")
+def assembly_rejected(spark, d):
+    return assembly.rejected(user_writes(spark, d))
+
+
 def clients(spark):
     return spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "client string, base int")
 

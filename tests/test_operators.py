@@ -208,3 +208,25 @@ def test_frames(spark):
     out = [json.loads(r.frame) for r in frames(views.snapshot(graph, "node"), "v", 0, True).collect()]
     assert out[0]["changes"][0] == ["+", 1, "NODE"]
     assert ["p", 1, "$name", 'a"b'] in out[0]["changes"] and ["p", 1, "r", "NaN"] in out[0]["changes"]
+
+
+def test_assembly(spark):
+    from loomgraph.operators import assembly
+
+    def pod(row, emit):
+        if row["payload"] == "bad":
+            raise RuntimeError("bad pod")
+        cluster = emit.node(f"cluster:{row['payload']}", row["payload"], "cluster")
+        own = emit.node(row["external_id"], row["external_id"], "pod")
+        emit.contain(cluster, own, "placement")
+        emit.set(own, "cpu", 0.5)
+        emit.provide(emit.output(own, "out", "mq"), ["mq:x"])
+
+    entries = lambda *r: spark.createDataFrame([(1, e, p, level) for e, p, level in r], "source_id int, external_id string, payload string, level int")
+    before = assembly.materialize(entries(("a", "east", 2), ("b", "east", 1), ("c", "west", 2)), pod, {"cpu": 2})
+    assert rows(assembly.objects(before).where("kind = 'NODE'"), "object", "claims") == [("a", 1), ("b", 1), ("c", 1), ("cluster:east", 2), ("cluster:west", 1)]
+    assert rows(assembly.values(before), "object", "d") == [("a", 0.5), ("c", 0.5)]
+    assert rows(assembly.declarations(before), "port") == [("a>out",), ("b>out",), ("c>out",)]
+    after = assembly.materialize(entries(("a", "bad", 2), ("b", "north", 2)), pod)
+    assert rows(assembly.rejected(after), "external_id", "error") == [("a", "RuntimeError: bad pod")]
+    assert rows(assembly.released(before, after), "object") == [("c",), ("c>out",), ("cluster:west",)]
