@@ -39,9 +39,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Parts of class names and ids that mark page furniture.
 HINT = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsbygoogle|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|masthead|site-header|page-header|topbar|"
-    r"cookies?|consent|gdpr|notice|banner|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|widget|skip-link|search)(?:$|[-_\s]|\d)",
+    r"cookies?|consent|gdpr|notices?|alerts?|banner|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|widget|skip-link|search)(?:$|[-_\s]|\d)",
     re.I,
 )
+NEIGHBOUR = ("has-", "with-", "no-", "without-")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 # Atomic, so that a tag that never ends costs one look and no more.
 MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*))>", re.S)
@@ -67,7 +68,9 @@ def furniture(name: str, attributes: str, inside: bool) -> bool:
         return True
     if "style" in found and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found["style"], re.I):
         return True
-    return any(k in found and HINT.search(found[k]) for k in ("class", "id"))
+    # Names such as has-sidebar tell of a neighbour.
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return any(HINT.search(n) and not n.lower().startswith(NEIGHBOUR) for n in names)
 
 
 def parse(page: str):

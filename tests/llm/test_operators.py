@@ -145,6 +145,7 @@ def test_html(spark):
       <div class="cookie-banner">no no no</div><article><header><h1>Head &amp; line</h1></header><p>First   par <b>bo</b>ld.<br>Next
       <p class="ad">no advert<p>Last&nbsp;one.<form><input><button>no</button></form><div class="comments"><p>no comment of a reader at all</p></div></article><footer>no</footer>"""
     assert html_extract.extract(page) == "Head & line First par bold. Next Last one."
+    assert html_extract.extract('<div class="content has-sidebar"><p>Main words here.</p></div><div class="left sidebar-2"><p>no</p></div>') == "Main words here."
     assert [html_extract.extract(x) for x in (None, "", "<p></p>", "plain words", "<nav>menu</nav>")] == ["", "", "", "plain words", ""]
     for labelled in html_extract.LABELLED:
         main = re.search(r"<!--\[-->(.*)<!--\]-->", labelled, re.S)[1]
