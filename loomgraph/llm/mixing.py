@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import rank_within
+from .shared import cut, rank_within
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -90,7 +90,8 @@ def mix(
     Returns doc_id, source, size, source_size, target and copies, one row per
     row of ``docs``; other columns of ``docs`` are not looked at.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    # Written once, since the ranges are sampled before the rows are dealt out: the texts are read once.
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")))
     ranked = rank_within(rows, ["source"], ["size", "doc_id"], "_k")
     totals = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, most).withColumnRenamed("source", "_source")
