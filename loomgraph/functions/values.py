@@ -37,6 +37,17 @@ def sure(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
+def _leaf(cell: Cell):
+    """How the comparison of one part is taken.
+
+    Of a value of one type it may stay null where the value is absent: filters
+    take null for false, conjunctions and disjunctions keep it below true, and
+    a negation makes its operand two-valued. So a comparison with a bound
+    column stays one that the scan understands.
+    """
+    return (lambda p: p) if len(cell.parts()) == 1 else sure
+
+
 def any_of(predicates: Iterable[Column]) -> Column:
     out = F.lit(False)
     for p in predicates:
@@ -45,15 +56,15 @@ def any_of(predicates: Iterable[Column]) -> Column:
 
 
 def equal(cell: Cell, lit: Literal) -> Column:
-    found = []
+    found, take = [], _leaf(cell)
     if cell.long is not None and lit.number is not None:
-        found.append(sure(cell.long == F.lit(lit.whole).cast("long") if lit.whole is not None else cell.long.cast("double") == F.lit(lit.number)))
+        found.append(take(cell.long == F.lit(lit.whole).cast("long") if lit.whole is not None else cell.long.cast("double") == F.lit(lit.number)))
     if cell.double is not None and lit.number is not None:
-        found.append(sure(cell.double == F.lit(float(lit.whole) if lit.whole is not None else lit.number)))
+        found.append(take(cell.double == F.lit(float(lit.whole) if lit.whole is not None else lit.number)))
     if cell.boolean is not None:
-        found.append(sure(cell.boolean.cast("string") == lit.text))
+        found.append(take(cell.boolean.cast("string") == lit.text))
     if cell.text is not None:
-        found.append(sure(cell.text == lit.text))
+        found.append(take(cell.text == lit.text))
     return any_of(found)
 
 
@@ -61,11 +72,11 @@ def ordered(cell: Cell, op: str, lit: Literal) -> Column:
     def compare(value: Column, other: Column) -> Column:
         return {"<": value < other, "<=": value <= other, ">": value > other, ">=": value >= other}[op]
 
-    found = []
+    found, take = [], _leaf(cell)
     if cell.long is not None:
-        found.append(sure(compare(cell.long, F.lit(lit.whole).cast("long")) if lit.whole is not None else compare(cell.long.cast("double"), F.lit(lit.number))))
+        found.append(take(compare(cell.long, F.lit(lit.whole).cast("long")) if lit.whole is not None else compare(cell.long.cast("double"), F.lit(lit.number))))
     if cell.double is not None:
-        found.append(sure(compare(cell.double, F.lit(lit.number)) & ~F.isnan(cell.double)))
+        found.append(take(compare(cell.double, F.lit(lit.number)) & ~F.isnan(cell.double)))
     return any_of(found)
 
 
@@ -77,7 +88,7 @@ def matches(cell: Cell, op: str | None, lit: Literal | None) -> Column:
     if op == "!=":
         return cell.present() & ~equal(cell, lit)
     if op == "~":
-        return any_of(sure(c.cast("string").contains(lit.text)) for c in cell.parts())
+        return any_of(_leaf(cell)(c.cast("string").contains(lit.text)) for c in cell.parts())
     return ordered(cell, op, lit)
 
 

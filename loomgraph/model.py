@@ -51,7 +51,9 @@ class Graph:
     declared: DataFrame | None = None
     routes: DataFrame | None = None
     bound: dict[str, str] = field(default_factory=dict)  # keys that are columns of ``objects``, and their types
-    depth: dict[str, int] = field(default_factory=dict)  # levels of containment per axis, where known
+    # Where the levels of an axis are known: (parent_id, child_id) level by level from the roots, and the nodes that hold.
+    levels: dict[str, list[DataFrame]] = field(default_factory=dict)
+    holders: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:

@@ -63,6 +63,8 @@ def remove(graph: Graph, removed: DataFrame) -> Graph:
         properties=None if graph.properties is None else without(graph.properties, "object_id"),
         contain=without(without(graph.contain, "parent_id"), "child_id"),
         declared=None if graph.declared is None else without(graph.declared, "port_id"),
+        levels={},
+        holders={},
     )
 
 

@@ -10,30 +10,40 @@ from ..model import Graph
 from ..plans.path import SPECIAL, Path, Segment
 
 MOST_LEVELS = 200
-STEP = "struct<id:bigint,name:string,type:string>"
 
 
 def ancestors(graph: Graph, axis: str) -> DataFrame:
     """(object_id, chain): the chain of ancestors of each placed object, root first.
 
-    Levels are joined one by one from the roots down. Where the graph does not
-    know its depth, a level is looked at before the next is joined.
+    Levels are joined one by one from the roots down. Where the graph knows
+    the levels of the axis, only their edges and holders are read; otherwise a
+    level is looked at before the next one is joined.
     """
-    own = graph.contain.where(F.col("axis") == axis).select("parent_id", "child_id")
-    named = graph.nodes().select(F.col("object_id").alias("_id"), F.struct(F.col("object_id").alias("id"), "name", "type").alias("_step"))
-    steps = own.join(named, F.col("parent_id") == F.col("_id")).select("parent_id", "child_id", "_step")
-    placed = own.select(F.col("child_id").alias("_placed"))
-    level = drop(steps, placed, "parent_id", distinct=False).select(F.col("child_id").alias("object_id"), F.array("_step").alias("chain"))
-    out, known = level, graph.depth.get(axis)
-    for n in range(1, known or MOST_LEVELS):
+    known = graph.levels.get(axis)
+    holders = graph.holders.get(axis, graph.nodes())
+    named = holders.select(F.col("object_id").alias("_id"), F.struct(F.col("object_id").alias("id"), "name", "type").alias("_step"))
+    stepped = lambda edges: edges.select("parent_id", "child_id").join(named, F.col("parent_id") == F.col("_id")).select("parent_id", "child_id", "_step")
+    root = lambda steps: steps.select(F.col("child_id").alias("object_id"), F.array("_step").alias("chain"))
+
+    def next_level(steps: DataFrame, level: DataFrame) -> DataFrame:
         above = level.select(F.col("object_id").alias("_up"), F.col("chain").alias("_chain"))
-        level = steps.join(above, F.col("parent_id") == F.col("_up")).select(F.col("child_id").alias("object_id"), F.concat("_chain", F.array("_step")).alias("chain"))
-        if known is None and level.isEmpty():
+        return steps.join(above, F.col("parent_id") == F.col("_up")).select(F.col("child_id").alias("object_id"), F.concat("_chain", F.array("_step")).alias("chain"))
+
+    if known is not None:
+        level = out = root(stepped(known[0]))
+        for edges in known[1:]:
+            level = next_level(stepped(edges), level)
+            out = out.union(level)
+        return out
+    own = graph.contain.where(F.col("axis") == axis)
+    steps = stepped(own)
+    level = out = root(drop(steps, own.select("child_id"), "parent_id", distinct=False))
+    for _ in range(1, MOST_LEVELS):
+        level = next_level(steps, level)
+        if level.isEmpty():
             return out
         out = out.union(level)
-    if known is None:
-        raise ValueError(f"more than {MOST_LEVELS} levels on {axis}, or a cycle")
-    return out
+    raise ValueError(f"more than {MOST_LEVELS} levels on {axis}, or a cycle")
 
 
 def fits(step: Column, segment: Segment) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import Cell, any_of, matches
+from ..functions.values import Cell, any_of, matches, sure
 from ..model import Graph
 from ..plans import selector as s
 from .placement import ancestors, below
@@ -57,7 +57,7 @@ class _Plan:
             case s.Or(terms):
                 return any_of([self.column(t) for t in terms])
             case s.Not(inner):
-                return ~self.column(inner)
+                return ~sure(self.column(inner))
             case s.Under(axis, path):
                 found = ancestors(self.graph, axis).where(below(F.col("chain"), path)).select(F.col("object_id").alias("id")).distinct()
                 return self.mark(found, "object_id")

@@ -371,7 +371,7 @@ def changed(spark, d):
     objects = graph.objects.withColumn("acctbal", F.when(third, F.col("acctbal") / 2).otherwise(F.col("acctbal")))
     moved = (F.col("axis") == "placement") & (F.col("parent_id") == 2 * tpch.UNIT + 3)
     contain = graph.contain.withColumn("parent_id", F.when(moved, 2 * tpch.UNIT + 4).otherwise(F.col("parent_id")))
-    return graph, graph.with_(objects=objects, contain=contain)
+    return graph, graph.with_(objects=objects, contain=contain, levels={}, holders={})
 
 
 DELTA_SQL = f"""with c as (select {C} as id, c_name, c_custkey, c_mktsegment, c_nationkey, c_acctbal as a, case when ({C}) % 3 = 0 then c_acctbal / 2 else c_acctbal end as z from customer)

@@ -125,14 +125,16 @@ def _bind(spark: SparkSession, sf_dir: str) -> Graph:
         ),
     ]
     edge = lambda frame, axis, pk, pc, ck, cc: frame.select(F.lit(axis).alias("axis"), node_id(pk, F.col(pc)).alias("parent_id"), node_id(ck, F.col(cc)).alias("child_id"))
-    contain = [
-        edge(nation, "placement", "region", "n_regionkey", "nation", "n_nationkey"),
-        edge(customer, "placement", "nation", "c_nationkey", "customer", "c_custkey"),
-        edge(supplier, "placement", "nation", "s_nationkey", "supplier", "s_suppkey"),
-        edge(orders, "ownership", "customer", "o_custkey", "order", "o_orderkey"),
-    ]
+    places = [edge(nation, "placement", "region", "n_regionkey", "nation", "n_nationkey")]
+    places += [edge(customer, "placement", "nation", "c_nationkey", "customer", "c_custkey").unionAll(edge(supplier, "placement", "nation", "s_nationkey", "supplier", "s_suppkey"))]
+    owned = [edge(orders, "ownership", "customer", "o_custkey", "order", "o_orderkey")]
     return Graph(
-        reduce(DataFrame.unionAll, objects), reduce(DataFrame.unionAll, contain), declared=declared(spark, sf_dir), bound=BOUND, depth={"placement": 2, "ownership": 1}
+        reduce(DataFrame.unionAll, objects),
+        reduce(DataFrame.unionAll, [*places, *owned]),
+        declared=declared(spark, sf_dir),
+        bound=BOUND,
+        levels={"placement": places, "ownership": owned},
+        holders={"placement": objects[0].unionAll(objects[1]), "ownership": objects[2]},
     )
 
 
