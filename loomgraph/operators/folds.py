@@ -124,3 +124,23 @@ def nested(derivations: DataFrame, contain: DataFrame, objects: DataFrame, value
         part = joined.where(F.col("fold") == fold).groupBy(F.col("root").alias("object_id"), F.col("root_key").alias("key")).agg(*folded(fold))
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def faults(derivations: DataFrame, objects: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """(fault, object_id, key) of declarations (object_id, key, fold, child_key, child_type) that are not allowed.
+
+    Keys that begin with ``$`` are neither folded nor read; only nodes fold
+    children; a key has one declaration; a key that a named source has written
+    (``written``: object_id, key, source_id) is not derived.
+    """
+    own = derivations.select("object_id", "key", "fold", "child_key", "child_type").distinct()
+    told = lambda frame, fault: frame.select(F.lit(fault).alias("fault"), "object_id", "key")
+    out = told(own.where(F.col("key").startswith("$") | F.col("child_key").startswith("$")), "reserved key")
+    out = out.unionAll(told(own.where(~F.col("fold").isin(*FOLDS)), "no such fold"))
+    out = out.unionAll(told(own.groupBy("object_id", "key").count().where("count > 1"), "declared twice"))
+    kinds = objects.select(F.col("object_id").alias("_o"), "kind")
+    out = out.unionAll(told(own.join(kinds, F.col("object_id") == F.col("_o"), "left").where("kind is null or kind <> 'NODE'"), "not a node"))
+    if written is not None:
+        named = written.where("source_id <> 0").select(F.col("object_id").alias("_w"), F.col("key").alias("_k")).distinct()
+        out = out.unionAll(told(own.join(named, (F.col("object_id") == F.col("_w")) & (F.col("key") == F.col("_k"))), "written by a source"))
+    return out.distinct()

@@ -230,3 +230,10 @@ def test_assembly(spark):
     after = assembly.materialize(entries(("a", "bad", 2), ("b", "north", 2)), pod)
     assert rows(assembly.rejected(after), "external_id", "error") == [("a", "RuntimeError: bad pod")]
     assert rows(assembly.released(before, after), "object") == [("c",), ("c>out",), ("cluster:west",)]
+
+
+def test_fold_declarations_are_checked(spark):
+    spec = spark.createDataFrame([(1, "a", "SUM", "b", None), (1, "a", "MAX", "b", None), (2, "$id", "SUM", "b", None), (9, "c", "AVG", "b", None), (2, "d", "SUM", "d", "x")], "object_id long, key string, fold string, child_key string, child_type string")
+    objects = spark.createDataFrame([(1, "NODE"), (2, "NODE"), (9, "LINK")], "object_id long, kind string")
+    written = spark.createDataFrame([(2, "d", 4), (1, "a", 0)], "object_id long, key string, source_id int")
+    assert rows(folds.faults(spec, objects, written), "fault", "object_id", "key") == [("declared twice", 1, "a"), ("no such fold", 9, "c"), ("not a node", 9, "c"), ("reserved key", 2, "$id"), ("written by a source", 2, "d")]
