@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 from .textvec import portions
-from .tokenize import encoder, segments, vocabulary
+from .tokenize import encoder, vocabulary
 
 LENGTH = 1024
 OPEN = 128
@@ -93,10 +93,11 @@ class Rows:
 
 def token_pieces(path: str, length: int, ids: list[int], texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
     """Row id, tokens of its document and ids of each document."""
-    encode = encoder(path).encode
+    ids_of = encoder(path, added=True)
+    encode = ids_of.encode
     parts, owner = [], []
     for i, t in enumerate(texts):
-        for s in segments(t):
+        for s in ids_of.segments(t):
             parts.append(s)
             owner.append(i)
     held: list[np.ndarray] = []

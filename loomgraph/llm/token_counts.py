@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textvec import portions
-from .tokenize import encoder, segments, vocabulary
+from .tokenize import encoder, vocabulary
 
 RULES = ("first", "most", "share")
 SCHEMA = "doc_id long, section long, start long, end long, tokens double, crossing long, doc_tokens long"
@@ -96,11 +96,12 @@ def attribute(
         rows = rows.join(spans, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint,section:bigint>>)")).alias("spans"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_spans
+        ids_of = encoder(path, added=True)
+        encode = ids_of.encode_spans
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             given = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-            parts = [(i, s) for i, t in enumerate(texts) for s in segments(t)]
+            parts = [(i, s) for i, t in enumerate(texts) for s in ids_of.segments(t)]
             found: list[list] = [[[], [], 0] for _ in texts]
             for lo, hi in portions([s for _, s in parts]):
                 _, a, b, off = encode([s for _, s in parts[lo:hi]])

@@ -2,14 +2,16 @@
 
 Texts are split into the tokenizer's pre-tokens by array operations, each
 distinct pre-token is encoded once with the public vocabulary, and the ids are
-gathered for the whole batch. The ids are those of the tokenizer file itself;
-strings of special tokens count as ordinary text. ``tests/llm`` holds the ids
-against the tokenizers library.
+gathered for the whole batch. The operators take the ids of the tokenizer file
+as it is loaded: its added tokens are found in the text first and have their
+own ids. Without ``added`` the same strings count as ordinary text.
+``tests/llm`` holds both against the tokenizers library.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -28,22 +30,26 @@ def vocabulary(name: str = "byte_bpe_50k") -> str:
 
 
 @cache
-def encoder(path: str) -> BatchEncoder:
-    return BatchEncoder(path)
+def encoder(path: str, added: bool = False) -> BatchEncoder:
+    return BatchEncoder(path, added)
 
 
-def pretoken_starts(batch: Batch) -> np.ndarray:
+def pretoken_starts(batch: Batch, added: list[tuple[int, int]] = ()) -> np.ndarray:
     """Where the pre-tokens of each text begin.
 
     A pre-token is a contraction, or a run of letters, of digits or of other
     characters with at most one blank before it, or white space, of which the
-    last character stands alone where a run of another kind follows.
+    last character stands alone where a run of another kind follows. Spans of
+    ``added`` tokens are pre-tokens of their own; the text ends before them.
     """
     cp = batch.cp
     if not len(cp):
         return np.zeros(0, np.int64)
     kind = classes()[cp]
     begins = batch.starts_of_texts()
+    if len(added):
+        edges = np.array(added, np.int64)
+        begins[edges[edges < len(cp)]] = True
     start = begins.copy()
     start[1:] |= kind[1:] != kind[:-1]
     ends_text = np.concatenate([begins[1:], [True]])
@@ -63,11 +69,13 @@ def pretoken_starts(batch: Batch) -> np.ndarray:
             start[at + 1] = False
             nxt = at + 1 + size
             start[nxt[nxt < len(cp)]] = True
+    for a, b in added:
+        start[a + 1 : b] = False
     return np.flatnonzero(start)
 
 
 class BatchEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import json
 
         import tiktoken
@@ -81,9 +89,18 @@ class BatchEncoder:
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError(f"{path} is not a byte-level BPE")
         self.bpe = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.added: dict[str, int] = {}
+        for token in spec.get("added_tokens") or () if added else ():
+            if token["normalized"] and spec.get("normalizer") or any(token[k] for k in ("single_word", "lstrip", "rstrip")):
+                raise ValueError(f"{path} has an added token that is not matched as it stands")
+            self.added[token["content"]] = token["id"]
+        # Of tokens that begin at one place the longest is taken.
+        self.matcher = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.width = np.zeros(max(*ranks.values(), *self.added.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.width[rank] = len(token)
+        for token, i in self.added.items():
+            self.width[i] = len(token.encode())
         self.clear()
 
     def clear(self) -> None:
@@ -104,9 +121,18 @@ class BatchEncoder:
         ids, off, _ = self._encode(texts)
         return ids, off
 
+    def _added_spans(self, batch: Batch, texts: list[str]) -> list[tuple[int, int]]:
+        if not any(t in batch.text for t in self.added):
+            return []
+        return [(at + m.start(), at + m.end()) for at, t in zip(batch.off.tolist(), texts, strict=False) for m in self.matcher.finditer(t)]
+
+    def segments(self, text: str, limit: int = SEGMENT) -> list[str]:
+        """``segments`` of a text, none of which ends inside an added token."""
+        return segments(text, limit, self.matcher)
+
     def _encode(self, texts: list[str]):
         batch = Batch(texts)
-        start = pretoken_starts(batch)
+        start = pretoken_starts(batch, self._added_spans(batch, texts))
         end = np.concatenate([start[1:], [len(batch.cp)]]).astype(np.int64)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), (batch, start, end, None)
@@ -119,7 +145,9 @@ class BatchEncoder:
         if missing:
             text, lo, hi = batch.text, start[at].tolist(), end[at].tolist()
             encode = self.bpe._encode_single_piece
-            self._grow([encode(text[lo[i] : hi[i]].encode("utf-8", "replace")) for i in missing])
+            pieces = [text[lo[i] : hi[i]] for i in missing]
+            # No pre-token beside the spans of added tokens reads like one.
+            self._grow([[self.added[p]] if p in self.added else encode(p.encode("utf-8", "replace")) for p in pieces])
             n = len(self.slot)
             for k, i in enumerate(missing):
                 slots[i] = self.slot[keys[i]] = n + k
@@ -151,13 +179,16 @@ class BatchEncoder:
 _BREAK = regex.compile(r"(?<=\S)(?= [^\s])")
 
 
-def segments(text: str, limit: int = SEGMENT) -> list[str]:
+def segments(text: str, limit: int = SEGMENT, added: regex.Pattern | None = None) -> list[str]:
     """Cut a very long text where a pre-token surely begins, so that memory stays bounded."""
     if len(text) <= limit:
         return [text]
     out, at = [], 0
+    whole = [m.span() for m in added.finditer(text)] if added else []
     while len(text) - at > limit:
         m = _BREAK.search(text, at + limit)
+        while m and (k := bisect_left(whole, (m.start(),))) and whole[k - 1][1] > m.start():
+            m = _BREAK.search(text, m.start() + 1)
         if not m:
             break
         out.append(text[at : m.start()])
