@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, rank_within
+from .shared import cut, rank_within, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -84,15 +84,17 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     most: int = MOST,
     seed: int = 1,
+    keyed: bool = True,
 ) -> DataFrame:
     """How often the mix takes each document.
 
     Returns doc_id, source, size, source_size, target and copies, one row per
-    row of ``docs``; other columns of ``docs`` are not looked at.
+    row of ``docs``; if ``keyed``, also the ``row_key`` that ``emit`` needs.
     """
+    own = ["row"] if keyed else []
     # Written once, since the ranges are sampled before the rows are dealt out: the texts are read once.
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")))
-    ranked = rank_within(rows, ["source"], ["size", "doc_id"], "_k")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), *[row_key(docs, text_col).alias(c) for c in own]))
+    ranked = rank_within(rows, ["source"], ["size", "doc_id", *own], "_k")
     totals = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, most).withColumnRenamed("source", "_source")
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("null")))), 1, 8), 16, 10)
@@ -102,25 +104,26 @@ def mix(
     off = F.expr("case when den = 0 then 0 else (_u * cast(den as decimal(38,0))) div cast(4294967296 as decimal(12,0)) end").cast("decimal(38,0)")
     crossed = lambda k: f"((cast({k} as decimal(18,0)) * num + _off) div den)"
     copies = F.expr(f"case when den = 0 then cast(0 as bigint) else {crossed('_k + 1')} - {crossed('_k')} end")
-    return joined.withColumn("_off", off).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return joined.withColumn("_off", off).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *own)
 
 
-def emit(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def emit(docs: DataFrame, copies: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of the mix itself: each document repeated as often as it is taken.
 
-    ``id_col`` must identify the rows of ``docs``.
+    ``copies`` is what ``mix`` gives for the same ``docs``. Rows that are equal
+    in every column share their key; together they are taken as often as all.
     """
-    taken = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_times"))
-    return (
-        docs.join(taken, F.col(id_col) == F.col("_id"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .drop("_id", "_times", "_copy")
-    )
+    taken = cut(copies.groupBy(F.col("row").alias("_key")).agg(F.sum("copies").alias("_times"), F.count(F.lit(1)).alias("_rows")))
+    rows = docs.withColumn("_row", row_key(docs, text_col)).join(taken.where("_times > 0"), F.col("_row") == F.col("_key"))
+    # Only where rows repeat in full do several answer to one count.
+    if taken.where("_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_row"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mix(docs, keyed=False).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP10_SQL = r"""

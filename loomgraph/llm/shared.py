@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(docs: DataFrame, text_col: str = "text") -> Column:
+    """Digest of a whole row, nulls told from empty; rows of one key are equal in every column."""
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
+    return F.unhex(F.sha2(F.concat(others, F.coalesce(F.concat(F.lit("="), F.col(text_col).cast("string")), F.lit(""))), 256))
+
+
 def rank_within(df: DataFrame, parts: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Number the rows of each group of ``parts`` from 0 in the order of ``order``.
 
