@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from loomgraph.llm.shared import cut
+from loomgraph.llm.shared import cut, row_key
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,13 @@ def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that with the smallest id."""
-    classes = ngram_join.ngram_join(docs)
-    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """One document of each class of near copies, that with the smallest id, nulls last."""
+    found = cut(ngram_join.ngram_join(docs, keyed=True).select(F.col("row").alias("_key"), "kept"))
+    left = docs.withColumn("_row", row_key(docs)).join(found.where("not kept"), F.col("_row") == F.col("_key"), "left_anti")
+    # Only where rows repeat in full are several marked as the one that stays.
+    if found.where("kept").groupBy("_key").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["_row"])
+    return left.select(*docs.columns)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, rank_within
+from .shared import cut, rank_within, row_key
 from .textvec import Batch, flat_ranges, mixed, portions
 
 N = 5
@@ -256,13 +256,18 @@ def ngram_join(
     bits: int = SKETCH,
     near: float = NEAR,
     block: int = BLOCK,
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, links, text_links, n_grams, copies.
 
     ``class_id`` is the smallest doc_id that links reach. ``links`` counts the
     other documents whose similarity reaches the threshold, copies included;
-    ``text_links`` counts the different n-gram sets among them.
+    ``text_links`` counts the different n-gram sets among them. If ``keyed``,
+    ``row`` is the ``row_key`` and ``kept`` marks the row of each class that
+    stays: the one with the smallest id, nulls last, and of those the least
+    key. Rows that are equal in every column are marked alike.
     """
+    extra = ["row"] if keyed else []
     exact = Fraction(str(threshold))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +300,8 @@ def ngram_join(
                 if len(seen) > 500_000:
                     seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands_of, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "key", "n_grams", "bands", "sketch"],
+                [ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands_of, pa.binary()), pa.array(sketches, pa.binary()), *batch.columns[2:]],
+                ["doc_id", "key", "n_grams", "bands", "sketch", *extra],
             )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +313,10 @@ def ngram_join(
                 part = pa.array(at[i : i + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 50_000]), keys.take(part), sk.take(part)], ["band", "key", "sketch"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = cut(source.mapInArrow(sketch, "doc_id long, key binary, n_grams long, bands binary, sketch binary"))
-    texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[row_key(docs, text_col).alias(c) for c in extra])
+    marked = cut(source.mapInArrow(sketch, ", ".join(["doc_id long, key binary, n_grams long, bands binary, sketch binary", *[f"{c} binary" for c in extra]])))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")] if keyed else []
+    texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *first))
 
     bucketed = marked.where("bands is not null").select("key", "bands", "sketch").mapInArrow(spread, "band long, key binary, sketch binary")
     edges = bucketed.repartition(F.col("band")).sortWithinPartitions("band", "key").mapInArrow(bucket_edges(bits, near, 2 * block), "a binary, b binary")
@@ -364,15 +370,19 @@ def ngram_join(
         classes = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
         links = links.drop("root").join(classes.select(F.col("node").alias("key"), F.col("component").alias("root")), "key", "left")
     of = texts.join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = of.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of = of.join(least, "root").select(F.col("key").alias("_key"), "class_id", "copies", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"))
-    return marked.select("doc_id", "key", "n_grams").join(of, F.col("key") == F.col("_key")).select(
+    best = [F.min("best").alias("_best")] if keyed else []
+    least = of.groupBy("root").agg(F.min("first_id").alias("class_id"), *best)
+    stays = ["_best"] if keyed else []
+    of = of.join(least, "root").select(F.col("key").alias("_key"), "class_id", "copies", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"), *stays)
+    return marked.select("doc_id", "key", "n_grams", *extra).join(of, F.col("key") == F.col("_key")).select(
         "doc_id",
         "class_id",
         (F.col("links") + F.col("copies") - 1).alias("links"),
         "text_links",
         "n_grams",
         "copies",
+        *extra,
+        *[(F.col("row") == F.col(f"{c}.row")).alias("kept") for c in stays],
     )
 
 

@@ -1,9 +1,10 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
 from loomgraph.llm import mixing
 
-from .conftest import DOC
+from .conftest import DOC, doc, sentence
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -25,3 +26,22 @@ def test_mixing_takes_null_shared_and_repeated_ids(spark):
     have = Counter(rows)
     assert all(n <= 3 * have[r] for r, n in got.items())
     assert sum(n for r, n in got.items() if r[0] is None) > 0
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    rng = random.Random(5)
+    base = {k: sentence(rng, 60) for k in "abcdefg"}
+    near = lambda k, w: base[k] + " " + w
+    texts = [
+        # A null id near to an id goes, other null ids stay.
+        (4, base["a"]), (None, near("a", "x")), (None, base["b"]),
+        # A clean text stays though its id is also that of a near copy.
+        (5, base["c"]), (6, near("c", "y")), (6, base["d"]),
+        # Near copies of one id, a class of null ids, and a row that is repeated in full: one of each stays.
+        (7, base["e"]), (7, near("e", "z")), (None, base["f"]), (None, near("f", "z")), (8, base["g"]), (8, base["g"]),
+    ]
+    docs = spark.createDataFrame([doc(i, t) for i, t in texts], DOC).repartition(3)
+    out = STAGES["ngram_join"](spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, next(k for k, b in base.items() if r.text.startswith(b))) for r in out.collect())
+    assert got == Counter([(4, "a"), (None, "b"), (5, "c"), (6, "d"), (7, "e"), (None, "f"), (8, "g")])
