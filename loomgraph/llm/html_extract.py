@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
 A page is read once into words and tags. Words score positive and tags
-negative; words of menus, adverts, forms and the like score negative too. The
+negative; menus, adverts, forms and the like score nothing, as they are left out. The
 scores are log odds counted on labelled pages. A linear scan finds the
 contiguous run with the highest sum. The run is then widened to the element
 that holds it, as long as that costs little, so that a short heading or a
@@ -191,7 +191,8 @@ def extract(page: str | None) -> str:
         return ""
     tokens, elements = parse(page)
     weight = weights()
-    scores = [weight.get(t[0], UNSEEN) * (1 if t[1] is None else t[1]) for t in tokens]
+    # Furniture is never output, so it neither ends the run nor costs anything to widen over.
+    scores = [0.0 if t[4] else weight.get(t[0], UNSEEN) * (1 if t[1] is None else t[1]) for t in tokens]
     first, last = best_run(scores)
     if first == last:
         return ""
