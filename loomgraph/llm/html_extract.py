@@ -351,11 +351,11 @@ def snapped(page: Page, scores: list[float], first: int, last: int) -> tuple[int
     a, b, at = first, last, first
     while at > around.first and cheap(sums[first] - sums[at - 1]):
         at -= 1
-        a = at if tokens[at][1] and not tokens[at][4].out else a
+        a = at if tokens[at][1] and scores[at] > 0 else a
     at = last
     while at < around.end and cheap(sums[at + 1] - sums[last]):
         at += 1
-        b = at if tokens[at - 1][1] and not tokens[at - 1][4].out else b
+        b = at if tokens[at - 1][1] and scores[at - 1] > 0 else b
     e = tokens[a][4]
     while e is not None and cheap(sums[first] - sums[min(a, e.first)]):
         a, e = min(a, e.first), e.parent
