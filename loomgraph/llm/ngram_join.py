@@ -7,12 +7,15 @@
 2. Rows are shuffled on band hashes. Inside a bucket, pairs whose 128-bit
    sketches say that they are far below the threshold are passed over; of the
    rest only a spanning forest leaves the task. A bucket too large to look at
-   pair by pair keeps all its members together instead, so nothing is lost.
+   pair by pair keeps all its members together instead, so nothing is lost;
+   such buckets are counted first and never meet in one task.
 3. The connected components of these edges hold every candidate pair. The full
    n-gram sets of their texts, and only theirs, are made again and gathered by
    component; all pairs inside are verified on the full sets by blocks, and
    counts and classes come out. A large component is cut into blocks by set
-   size, and blocks whose sizes differ too much for the threshold never meet.
+   size, so that it is spread over hundreds of units of work and no unit holds
+   more than ``UNIT_BYTES`` of sets, or two; blocks whose sizes differ too much
+   for the threshold never meet.
 
 Defined results: texts of fewer than five words have their whole word
 sequence as one n-gram; texts without words are copies of each other and link
@@ -32,16 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, rank_within, row_key
+from .shared import bounded, cut, rank_within, row_key
 from .textvec import Batch, flat_ranges, mixed, portions
 
 N = 5
 THRESHOLD = 0.8
 BANDS, ROWS, SKETCH = 25, 4, 128
 NEAR = 0.5  # estimated similarity from which a pair stays a candidate; 0.8 lies over 5 deviations above
-BLOCK = 1024
+BLOCK = 1024  # most texts of a block
+LEAST_BLOCK, PARTS = 128, 32  # a component of up to twice LEAST_BLOCK texts stays whole; larger ones have PARTS blocks or more
+UNIT_BYTES = 32 << 20
 PRIME = np.uint64(0x100000001B3)
-FILTER_BITS = 24
+#: Bits of the broadcast filter of documents to read again: at most 16 MB, for at most ``FILTER_MOST`` texts.
+FILTER_BITS, FILTER_MOST = 27, 1 << 23
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -124,7 +130,7 @@ def near_edges(keys: list[bytes], sketches: list[bytes], bits: int, near: float)
 
 
 def bucket_edges(bits: int, near: float, most: int):
-    """Streams rows sorted by band; holds at most ``most`` rows of a bucket at once."""
+    """Streams rows sorted by band; holds at most ``most`` rows of a bucket at once, whatever comes."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
@@ -162,6 +168,26 @@ def flush(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return batch
 
 
+def candidate_edges(bucketed: DataFrame, bits: int, near: float, most: int) -> DataFrame:
+    """Edges (a, b) that join all candidate pairs of ``bucketed`` (band, key, sketch).
+
+    Buckets of more than ``most`` rows are found by counting, which is
+    pre-aggregated, and their members are hung under the least of them, so
+    that no bucket is larger than that where it is looked at in one task.
+    """
+    hot = bounded(cut(bucketed.groupBy("band").count().where(F.col("count") > most).select(F.col("band").alias("_hot"))))
+    if not hot.limit(1).count():
+        return within_buckets(bucketed, bits, near, most)
+    members = bucketed.join(hot, F.col("band") == F.col("_hot"))
+    hubs = bounded(cut(members.groupBy("band").agg(F.min("key").alias("b")).withColumnRenamed("band", "_hub")))
+    hung = bucketed.join(hubs, F.col("band") == F.col("_hub")).where("key <> b").select(F.col("key").alias("a"), "b")
+    return within_buckets(bucketed.join(hot, F.col("band") == F.col("_hot"), "left_anti"), bits, near, most).union(hung)
+
+
+def within_buckets(bucketed: DataFrame, bits: int, near: float, most: int) -> DataFrame:
+    return bucketed.repartition(F.col("band")).sortWithinPartitions("band", "key").mapInArrow(bucket_edges(bits, near, most), "a binary, b binary")
+
+
 def common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of each left set with each right one (or left one)."""
     sets = left + (right or [])
@@ -256,6 +282,8 @@ def ngram_join(
     bits: int = SKETCH,
     near: float = NEAR,
     block: int = BLOCK,
+    least: int = LEAST_BLOCK,
+    most: int = 2 * BLOCK,
     keyed: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, links, text_links, n_grams, copies.
@@ -274,7 +302,7 @@ def ngram_join(
         seen: set[bytes] = set()
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            keys, sizes, bands_of, sketches = [], [], [], []
+            keys, sizes, counts, values, sketches = [], [], [], [], []
             for lo, hi in portions(texts):
                 grams, off = ngram_sets(texts[lo:hi], n)
                 own = [set_key(grams[off[i] : off[i + 1]]) for i in range(hi - lo)]
@@ -287,48 +315,46 @@ def ngram_join(
                         fresh[i] = True
                 keys += own
                 sizes += lengths.tolist()
-                b: list = [None] * (hi - lo)
                 s: list = [None] * (hi - lo)
+                counts.append(fresh * bands)
                 if fresh.any():
                     chosen = np.flatnonzero(fresh)
                     part = np.concatenate([[0], np.cumsum(lengths[chosen])])
                     band, sk = signatures(grams[flat_ranges(off[:-1][chosen], lengths[chosen])], part, bands, rows, bits)
+                    values.append(band.view(np.int64).ravel())
                     for x, i in enumerate(chosen):
-                        b[i], s[i] = band[x].tobytes(), sk[x].tobytes()
-                bands_of += b
+                        s[i] = sk[x].tobytes()
                 sketches += s
                 if len(seen) > 500_000:
                     seen.clear()
+            edge = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype(np.int32)
+            bands_of = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands_of, pa.binary()), pa.array(sketches, pa.binary()), *batch.columns[2:]],
+                [ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), bands_of, pa.array(sketches, pa.binary()), *batch.columns[2:]],
                 ["doc_id", "key", "n_grams", "bands", "sketch", *extra],
             )
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, raw, sk = (batch.column(c) for c in ("key", "bands", "sketch"))
-            at = np.repeat(np.arange(len(keys)), bands)
-            flat = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
-            for i in range(0, len(flat), 50_000):
-                part = pa.array(at[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 50_000]), keys.take(part), sk.take(part)], ["band", "key", "sketch"])
-
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[row_key(docs, text_col).alias(c) for c in extra])
-    marked = cut(source.mapInArrow(sketch, ", ".join(["doc_id long, key binary, n_grams long, bands binary, sketch binary", *[f"{c} binary" for c in extra]])))
+    marked = cut(source.mapInArrow(sketch, ", ".join(["doc_id long, key binary, n_grams long, bands array<long>, sketch binary", *[f"{c} binary" for c in extra]])))
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")] if keyed else []
     texts = cut(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *first))
 
-    bucketed = marked.where("bands is not null").select("key", "bands", "sketch").mapInArrow(spread, "band long, key binary, sketch binary")
-    edges = bucketed.repartition(F.col("band")).sortWithinPartitions("band", "key").mapInArrow(bucket_edges(bits, near, 2 * block), "a binary, b binary")
-    groups = components(edges)
+    groups = components(candidate_edges(marked.where("sketch is not null").select(F.explode("bands").alias("band"), "key", "sketch"), bits, near, most))
     candidates = cut(groups.join(texts, F.col("node") == F.col("key")).select("key", "component", "first_id", "copies"))
 
-    # Which documents to read again: a bitmap of fixed size, whose misses cost only work.
-    place = F.pmod(F.xxhash64(F.col("first_id")), F.lit(1 << FILTER_BITS))
-    words = candidates.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
-    bitmap = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    for r in words.toLocalIterator():
-        bitmap[r.w] = r.v & 0xFFFFFFFFFFFFFFFF
+    # Which documents to read again: a bitmap whose misses cost only work, or, for more texts than it may hold, a join.
+    many_texts = candidates.count()
+    log = min(FILTER_BITS, max(12, int(16 * many_texts).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << log))
+    again = source.select("doc_id", "text")
+    bitmap = np.zeros(1 << log - 6, np.uint64)
+    if many_texts > FILTER_MOST:
+        again = again.join(candidates.select(F.col("first_id").alias("_first")).distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+        bitmap[:] = ~np.uint64(0)
+    else:
+        words = candidates.select(place("first_id").alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
+        for r in words.toLocalIterator():
+            bitmap[r.w] = r.v & 0xFFFFFFFFFFFFFFFF
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,18 +368,23 @@ def ngram_join(
                 own = [grams[off[i] : off[i + 1]] for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in own], pa.binary()), pa.array([g.tobytes() for g in own], pa.binary())], ["set_key", "grams"])
 
-    read = source.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("p")).mapInArrow(sets, "set_key binary, grams binary")
+    read = again.select("text", place("doc_id").alias("p")).mapInArrow(sets, "set_key binary, grams binary")
     needed = read.join(candidates, F.col("set_key") == F.col("key")).dropDuplicates(["key"]).select("key", "component", "copies", "grams", F.octet_length("grams").alias("size"))
+    needed = cut(needed)
 
-    counts = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    needed = cut(needed.join(counts.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c")).drop("_c"))
     # Small components are one unit of work; large ones are cut into blocks by set size.
-    small = needed.where(F.col("members") <= block).select(F.hex("component").alias("unit"), F.lit(0).alias("side"), "key", "copies", "grams")
-    large = needed.where(F.col("members") > block)
-    units = small
-    many = large.limit(1).count() > 0
+    counts = needed.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"))
+    least = min(least, block)
+    whole = (F.col("members") <= 2 * least) & (F.col("bytes") <= UNIT_BYTES)
+    fits = F.col("members") * (UNIT_BYTES // 2) / F.col("bytes")
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(fits), F.greatest(F.lit(least), F.floor(F.col("members") / PARTS))))
+    large_ones = bounded(cut(counts.where(~whole).select(F.col("component").alias("_c"), size.alias("_block"))))
+    many = large_ones.limit(1).count() > 0
+    alone = needed.join(large_ones, F.col("component") == F.col("_c"), "left_anti") if many else needed
+    units = alone.select(F.hex("component").alias("unit"), F.lit(0).alias("side"), "key", "copies", "grams")
     if many:
-        ranked = cut(rank_within(large.select("component", "key", "size"), ["component"], ["size", "key"], "r").withColumn("b", F.floor(F.col("r") / block)))
+        large = cut(needed.join(large_ones, F.col("component") == F.col("_c")).drop("_c"))
+        ranked = cut(rank_within(large.select("component", "key", "size", "_block"), ["component"], ["size", "key"], "r").withColumn("b", F.floor(F.col("r") / F.col("_block"))))
         ranges = ranked.groupBy("component", "b").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
         left, right = (ranges.select(F.col("component").alias(f"c{s}"), F.col("b").alias(f"b{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")) for s in "xy")
         meet = left.join(right, (F.col("cx") == F.col("cy")) & (F.col("bx") <= F.col("by"))).where(F.col("loy") * exact.numerator <= F.col("hix") * exact.denominator)
@@ -362,7 +393,7 @@ def ngram_join(
             meet.where("bx < by").select(unit, F.col("cx").alias("c"), F.col("by").alias("at"), F.lit(1).alias("side"))
         )
         placed = ranked.select("component", "b", F.col("key").alias("k")).join(seats, (F.col("component") == F.col("c")) & (F.col("b") == F.col("at"))).select("unit", "side", "k")
-        units = small.union(placed.join(large, F.col("k") == F.col("key")).select("unit", "side", "key", "copies", "grams"))
+        units = units.union(placed.join(large, F.col("k") == F.col("key")).select("unit", "side", "key", "copies", "grams"))
     found = units.repartition(F.col("unit")).sortWithinPartitions("unit", "side", "key").mapInArrow(verify(exact), "key binary, texts long, docs long, root binary")
     found = cut(found)
     links = found.groupBy("key").agg(F.sum("texts").alias("text_links"), F.sum("docs").alias("links"), F.min("root").alias("root"))
@@ -371,9 +402,9 @@ def ngram_join(
         links = links.drop("root").join(classes.select(F.col("node").alias("key"), F.col("component").alias("root")), "key", "left")
     of = texts.join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = [F.min("best").alias("_best")] if keyed else []
-    least = of.groupBy("root").agg(F.min("first_id").alias("class_id"), *best)
+    lowest = of.groupBy("root").agg(F.min("first_id").alias("class_id"), *best)
     stays = ["_best"] if keyed else []
-    of = of.join(least, "root").select(F.col("key").alias("_key"), "class_id", "copies", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"), *stays)
+    of = of.join(lowest, "root").select(F.col("key").alias("_key"), "class_id", "copies", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"), *stays)
     return marked.select("doc_id", "key", "n_grams", *extra).join(of, F.col("key") == F.col("_key")).select(
         "doc_id",
         "class_id",

@@ -22,6 +22,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, cut before, for broadcast if it has at most ``most`` rows, counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def row_key(docs: DataFrame, text_col: str = "text") -> Column:
     """Digest of a whole row, nulls told from empty; rows of one key are equal in every column."""
     others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text_col]))
