@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import bounded, cut
+
+
+HEAVY = 512  # neighbours from which a node is joined by broadcast
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """Hang each end of an edge under the least node around the other end, where that is smaller."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_u"), F.least("a", "_m").alias("_m"))
-    large = both.join(least, F.col("a") == F.col("_u")).where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct()
+    least = cut(both.groupBy("a").agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n")).select(F.col("a").alias("_u"), F.least("a", "_m").alias("_m"), "_n"))
+    met = lambda rows, to: rows.join(to.drop("_n"), F.col("a") == F.col("_u"))
+    # The neighbours of a hub do not meet in one task.
+    heavy = bounded(cut(least.where(F.col("_n") > HEAVY)))
+    if heavy.limit(1).count():
+        light = both.join(heavy.select("_u"), F.col("a") == F.col("_u"), "left_anti")
+        seen = met(both, heavy).union(met(light, least))
+    else:
+        seen = met(both, least)
+    large = seen.where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct()
     # Every edge now points to a smaller node; small star joins each node's targets under the least.
     low = large.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_u")
     joined = large.join(low, F.col("a") == F.col("_u"))
