@@ -5,20 +5,23 @@ punctuation. Templates are fingerprinted: of the hashes of their word 3-grams,
 the least of every window is kept (winnowing). Hash and place go into an
 inverted index. A document is fingerprinted in the same way with the same
 windows, so any passage it shares with a template that is as long as a window
-leaves a common fingerprint. Each hit points to a template at a shift; hits of
-a template at nearby shifts pick a stretch of the document, and a banded
-alignment of the whole template against the stretch reports what matched.
+leaves a common fingerprint. Hits of a template whose places grow in text and
+template alike are chained over gaps; each chain picks a stretch of the
+document, and a banded alignment of the whole template against the stretch
+reports what matched.
 
 A match is reported when at least ``coverage`` of the template's words align.
 Of matches that overlap in the text the one with more matched words stays.
 
 Defined results: null and empty texts have no matches; templates of fewer
 words than a 3-gram are refused; repeated documents are reported each; a
-notice that occurs twice is reported twice; texts are scanned whole.
+notice that occurs several times is reported each time, even without a word
+between; texts are scanned whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -33,6 +36,7 @@ from .textvec import Batch, mixed, portions, word_spans
 GRAM, WINDOW = 3, 2
 COVERAGE = 0.8
 BAND = 8
+GAP = 64  # words put in or left out between two hits of one notice, at most
 PRIME = np.uint64(0x100000001B3)
 SCHEMA = "doc_id long, license string, template int, start long, end long, matched long, template_words long, coverage double, matched_text string"
 
@@ -111,37 +115,68 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return int(score[k]), int(first[k]), int(last[k]) + 1
 
 
+def chains(hits: list[tuple[int, int]], drift: int) -> list[list[tuple[int, int]]]:
+    """Hits (place in the text, place in the template) as chains in which both places grow.
+
+    A hit goes on the latest chain whose last hit lies before it in both, at a
+    shift that differs by at most ``drift``; where the template begins anew, so
+    does a chain, and a notice that stands twice gives two.
+    """
+    out: list[list[tuple[int, int]]] = []
+    for place, p in sorted(hits):
+        for chain in reversed(out[-4:]):
+            before, q = chain[-1]
+            if before < place and q < p and abs((place - p) - (before - q)) <= drift:
+                chain.append((place, p))
+                break
+        else:
+            out.append([(place, p)])
+    return out
+
+
 def scan_words(words: np.ndarray, known: Templates, coverage: float, band: int) -> list[tuple]:
     """Matches (template, first word, last word + 1, matched words) in a sequence of word hashes."""
     h = gram_hashes(words, known.gram)
     places = winnowed(h, known.window)
     at = np.searchsorted(known.hashes, h[places])
     at[at == len(known.hashes)] = 0
-    hits: dict[int, list[int]] = defaultdict(list)
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for k in np.flatnonzero(known.hashes[at] == h[places]):
         for template, p in known.postings[at[k]]:
-            hits[template].append(int(places[k]) - p)
+            hits[template].append((int(places[k]), p))
     found = []
-    for template, shifts in hits.items():
-        shifts.sort()
-        group = [shifts[0]]
-        for s in [*shifts[1:], None]:
-            if s is not None and s - group[-1] <= band:
-                group.append(s)
-                continue
-            size = len(known.words[template])
-            wide = band + (group[-1] - group[0])
-            matched, first, last = align(known.words[template], words, group[len(group) // 2], wide)
+    for template, own in hits.items():
+        size = len(known.words[template])
+        # Words put in or left out in the middle: up to a quarter of the template.
+        drift = min(GAP, max(2, size // 4))
+        groups = chains(own, drift)
+        bounds = [(g[0][0] - g[0][1], g[-1][0] + size - g[-1][1]) for g in groups]
+        for k, g in enumerate(groups):
+            # The stretch that the chain points to, and not what its neighbours point to.
+            low, high = max(0, bounds[k][0] - band), min(len(words), bounds[k][1] + band)
+            if k:
+                low = max(low, min(bounds[k - 1][1], g[0][0]))
+            if k + 1 < len(groups):
+                high = min(high, max(bounds[k + 1][0], g[-1][0] + known.gram))
+            shifts = [place - p - low for place, p in g]
+            middle = (min(shifts) + max(shifts)) // 2
+            matched, first, last = align(known.words[template], words[low:high], middle, band + max(shifts) - middle)
             if matched >= coverage * size:
-                found.append((template, first, last, matched))
-            group = [s]
-    # Of overlapping matches the longer stays; equal ones by less text, then by template.
-    found.sort(key=lambda m: (-m[3], m[2] - m[1], m[0]))
+                found.append((template, low + first, low + last, matched))
+    return apart(found)
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of overlapping matches the longer one; equal ones by less text, then by template, then by place."""
     kept: list[tuple] = []
-    for m in found:
-        if all(m[2] <= k[1] or m[1] >= k[2] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m[1])
+    starts: list[int] = []
+    for m in sorted(found, key=lambda m: (-m[3], m[2] - m[1], m[0], m[1])):
+        i = bisect_left(starts, m[1])
+        # Those kept lie apart, so only the neighbours can meet this one.
+        if (i == 0 or kept[i - 1][2] <= m[1]) and (i == len(kept) or kept[i][1] >= m[2]):
+            starts.insert(i, m[1])
+            kept.insert(i, m)
+    return kept
 
 
 def scan(
