@@ -22,7 +22,7 @@ each; a document without sections has all its tokens in section -1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,34 @@ def allocate(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, r
     return counts, crossing
 
 
+def disjoint(given: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """Sections in order without overlap: starts, ends, numbers; and those that cannot hold anything."""
+    bad = lambda s: s["start"] is None or s["end"] is None or s["end"] < s["start"]
+    good = sorted((s for s in given if not bad(s)), key=lambda s: (s["start"], s["end"]))
+    end = np.clip(np.array([s["end"] for s in good], np.int64), 0, length)
+    start = np.clip(np.array([s["start"] for s in good], np.int64), 0, length)
+    if len(good):
+        reached = np.maximum.accumulate(end)
+        start[1:] = np.maximum(start[1:], reached[:-1])
+        end = np.maximum(start, end)
+    return start, end, np.array([s["section"] for s in good], object), [s for s in given if bad(s)]
+
+
+def attribute_fields(docs: DataFrame, fields: Sequence[str], joint: str = "\n", rule: str = "most", tokenizer: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Tokens of each of several text columns, encoded as one text with ``joint`` between; ``section`` is the number of the field.
+
+    A null field is empty. Tokens of what lies between fields go to section -1.
+    """
+    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    spans, at = [], F.lit(0).cast("long")
+    for k, text in enumerate(texts):
+        end = at + F.char_length(text)
+        spans.append(F.struct(at.alias("start"), end.alias("end"), F.lit(k).cast("long").alias("section")))
+        at = end + len(joint)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.concat_ws(joint, *texts).alias("text"), F.array(*spans).alias("spans"))
+    return counted(rows, rule, tokenizer)
+
+
 def attribute(
     docs: DataFrame,
     sections: DataFrame | None = None,
@@ -85,9 +113,6 @@ def attribute(
     text_col: str = "text",
 ) -> DataFrame:
     """Tokens of each section; ``sections`` has doc_id, section, start and end in code points."""
-    if rule not in RULES:
-        raise ValueError(f"rule must be one of {', '.join(RULES)}")
-    path = tokenizer or vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if sections is not None:
         spans = sections.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(
@@ -95,6 +120,15 @@ def attribute(
         )
         rows = rows.join(spans, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint,section:bigint>>)")).alias("spans"))
 
+    return counted(rows, rule, tokenizer)
+
+
+def counted(rows: DataFrame, rule: str, tokenizer: str | None) -> DataFrame:
+    """Tokens of each section of ``rows`` (doc_id, text[, spans])."""
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {', '.join(RULES)}")
+    path = tokenizer or vocabulary()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path, added=True)
         encode = ids_of.encode_spans
@@ -117,16 +151,17 @@ def attribute(
                     edge = lines(text)
                     start, end, names = edge[:-1], edge[1:], np.arange(len(edge) - 1)
                 else:
-                    start = np.minimum(np.array([s["start"] for s in given[i]], np.int64), len(text))
-                    end = np.minimum(np.array([s["end"] for s in given[i]], np.int64), len(text))
-                    names = np.array([s["section"] for s in given[i]], np.int64)
-                    if (end[:-1] > start[1:]).any() or (end < start).any():
-                        raise ValueError(f"sections of document {ids[i]} overlap")
+                    start, end, names, empty = disjoint(given[i], len(text))
                 counts, crossing = allocate(a, b, start, end, rule)
                 if counts[-1] > 1e-9 or not len(names):
                     start, end, names, crossing = np.append(start, 0), np.append(end, 0), np.append(names, -1), np.append(crossing, 0)
                 else:
                     counts = counts[:-1]
+                if given is not None and empty:
+                    for column, values in zip(columns, zip(*[(ids[i], s["section"], s["start"], s["end"], 0.0, 0, len(a)) for s in empty], strict=True), strict=True):
+                        column.extend(values)
+                    if not len(start):
+                        continue
                 for column, values in zip(columns, ([ids[i]] * len(names), names, start, end, counts, crossing, [len(a)] * len(names)), strict=True):
                     column.extend(values if isinstance(values, list) else values.tolist())
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.int64()]
