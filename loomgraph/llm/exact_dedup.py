@@ -9,7 +9,10 @@ fits an open-addressing table that compares complete contents.
 The first pass dedups each input partition where it lies, so that a text with
 copies all over the table leaves each partition once, with its best row and
 its count. The second pass dedups those by digest. Contents travel and spill
-compressed; equal contents compress to equal bytes, so these are compared.
+compressed; where bytes differ under one digest, the contents are unpacked and
+compared, since two builds of a compressor may pack one content differently. A
+partition is taken in portions of at most ``PORTION`` rows, so that what is
+kept for each row is bounded too.
 
 Of equal texts the row with the most code points in its original text stays,
 and of those the one with the smallest id.
@@ -37,6 +40,7 @@ from .shared import cut
 
 WHITE = b"\x20\t\n\x0b\x0c\r"
 MEMORY = 64 << 20  # bytes of contents that a table may hold
+PORTION = 1 << 18  # rows of an input partition that are dedupped together
 FAN_OUT = 16
 NO_ID = 1 << 62
 
@@ -64,7 +68,7 @@ class OpenTable:
         i = int.from_bytes(digest[:8], "little") & self.mask
         while (n := self.slots[i]) >= 0:
             r = self.records[n]
-            if r[0] == digest and r[1] == content:
+            if r[0] == digest and (r[1] == content or unpacked(r[1]) == unpacked(content)):
                 return r
             i = (i + 1) & self.mask
         if 2 * len(self.records) >= len(self.slots):
@@ -74,6 +78,11 @@ class OpenTable:
         return None
 
 
+def unpacked(content: bytes) -> bytes:
+    """The content behind compressed bytes; bytes that are no frame stand for themselves."""
+    return zstandard.ZstdDecompressor().decompress(content) if content[:4] == zstandard.FRAME_HEADER else content
+
+
 def better(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
     """Whether row ``a`` stays rather than ``b``; rows are (code points, id, place in the input)."""
     return (-a[0], a[1], a[2]) < (-b[0], b[1], b[2])
@@ -150,6 +159,7 @@ def dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     memory: int = MEMORY,
+    portion: int = PORTION,
 ) -> DataFrame:
     """Group of each row: doc_id, keep_id, group_size, kept and text_sha256."""
 
@@ -158,39 +168,49 @@ def dedup(
 
         task = TaskContext.get().partitionId() << 36
         pack = zstandard.ZstdCompressor(level=1).compress
-        table, docs_seen, digests, n = GraceTable(memory), [], [], 0
+        n, groups = 0, 0
+
+        def packed(made: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*made, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(made), pa.int64()), pa.array([True] * len(made), pa.bool_())], NAMES)
+
+        def drained(table: GraceTable, seen: list, digests: list[bytes]) -> Iterator[pa.RecordBatch]:
+            """The groups of a portion, and its rows with their groups."""
+            nonlocal groups
+            group, made, size = np.zeros(len(seen), np.int64), [], 0
+            for digest, content, row, count, labels in table.groups():
+                group[labels] = task + groups
+                made.append((task + groups, digest, content, *row, count))
+                groups += 1
+                size += len(content) + 200
+                if size > 8 << 20:
+                    yield packed(made)
+                    made, size = [], 0
+            yield packed(made)
+            for a in range(0, len(seen), 1 << 16):
+                own = slice(a, a + (1 << 16))
+                k = len(seen[own])
+                none, place = pa.nulls(k, pa.int64()), task + n - len(seen) + a + np.arange(k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[own]), pa.array(digests[own], pa.binary()), pa.nulls(k, pa.binary()), none, none, pa.array(place), none, pa.array(seen[own], pa.int64()), pa.array([False] * k, pa.bool_())], NAMES
+                )
+
+        table, seen, digests = GraceTable(memory), [], []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 plain = text.encode("utf-8", "surrogatepass").translate(None, WHITE)
                 digest = hashlib.sha256(plain).digest()
-                table.add(digest, pack(plain), (len(text), NO_ID if doc is None else doc, task + n), 1, n)
-                docs_seen.append(doc)
+                table.add(digest, pack(plain), (len(text), NO_ID if doc is None else doc, task + n), 1, len(seen))
+                seen.append(doc)
                 digests.append(digest)
                 n += 1
-        group = np.zeros(n, np.int64)
-        made: list[tuple] = []
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*made, strict=True)) or [[]] * 7
-            made.clear()
-            kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.int64()), pa.array([True] * len(arrays[0]), pa.bool_())], NAMES)
-
-        size = 0
-        for k, (digest, content, row, count, labels) in enumerate(table.groups()):
-            group[labels] = task + k
-            made.append((task + k, digest, content, *row, count))
-            size += len(content)
-            if size > 8 << 20:
-                yield rows()
-                size = 0
-        yield rows()
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(group), pa.array(digests, pa.binary()), pa.nulls(n, pa.binary()), none, none, pa.array(task + np.arange(n)), none, pa.array(docs_seen, pa.int64()), pa.array([False] * n, pa.bool_())], NAMES
-        )
+            if len(seen) >= portion:
+                yield from drained(table, seen, digests)
+                table, seen, digests = GraceTable(memory), [], []
+        yield from drained(table, seen, digests)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = GraceTable(memory)
