@@ -19,10 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, rank_within, row_key
+from .shared import bounded, cut, rank_within, row_key, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -42,28 +42,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     size over weight, the first few stop and the others get the same multiple
     of their weight.
     """
-    turn = Window.orderBy(F.col("source").asc_nulls_last())
     ladder = F.array(*[F.lit(int(w)) for w in weights])
-    weighed = sizes.select(
-        "source",
-        F.col("source_size").cast("long").alias("source_size"),
-        F.element_at(ladder, ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int")).cast("long").alias("_w"),
-    )
-    rise = Window.orderBy(F.col("source_size") / F.col("_w"), F.col("source").asc_nulls_last())
-    upto = rise.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = weighed.select(
-        "*",
-        (F.sum("source_size").over(upto) - F.col("source_size")).alias("_below"),
-        (F.sum("_w").over(every) - F.sum("_w").over(upto) + F.col("_w")).alias("_left"),
-        F.sum("source_size").over(every).alias("_all"),
-    )
+    turn = running(sizes.select("source", F.col("source_size").cast("long").alias("source_size"), F.col("source").isNull().alias("_none")), ["_none", "source"], [])
+    weighed = turn.select(
+        "source", "_none", "source_size", F.element_at(ladder, (F.col("_place") % len(weights) + 1).cast("int")).cast("long").alias("_w")
+    ).withColumn("_rise", F.col("source_size") / F.col("_w"))
+    sums = cut(running(weighed, ["_rise", "_none", "source"], ["source_size", "_w"]))
+    every = sums.agg(F.sum("source_size").alias("all"), F.sum("_w").alias("w")).first()
     whole = lambda c: F.col(c).cast("decimal(38,0)")
+    total, left = F.lit(every["all"] or 0).cast("long"), F.lit(every["w"] or 0).cast("long") - F.col("_before__w")
     # The first source in this order that does not stop; all after it do not either.
-    free = (whole("_all") - most * whole("_below")) * whole("_w") <= most * whole("source_size") * whole("_left")
-    marked = sums.withColumn("_free", F.max(free.cast("int")).over(upto) == 1)
-    first = lambda c: F.first(F.when(F.col("_free"), F.col(c)), ignorenulls=True).over(rise.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    shared = marked.withColumn("_share", F.col("_all") - most * first("_below")).withColumn("_over", first("_left"))
+    free = (total.cast("decimal(38,0)") - most * whole("_before_source_size")) * whole("_w") <= most * whole("source_size") * left.cast("decimal(38,0)")
+    first = sums.where(free).agg(F.min(F.struct("_place", F.col("_before_source_size").alias("below"), left.alias("left"))).alias("f")).first()["f"]
+    place, below, over = (first["_place"], first["below"], first["left"]) if first else (0, 0, 1)
+    shared = sums.withColumn("_free", F.col("_place") >= place).withColumn("_share", total - most * F.lit(below).cast("long")).withColumn("_over", F.lit(over).cast("long"))
     target = F.when(F.col("_free"), F.col("_w").cast("double") * F.col("_share").cast("double") / F.col("_over").cast("double"))
     num = F.when(F.col("_free"), F.col("_w").cast("decimal(38,0)") * F.col("_share"))
     den = F.when(F.col("_free"), F.col("_over").cast("decimal(38,0)") * F.col("source_size"))
@@ -98,7 +90,7 @@ def mix(
     totals = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, most).withColumnRenamed("source", "_source")
     digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("null")))), 1, 8), 16, 10)
-    targets = targets.withColumn("_u", digest.cast("decimal(20,0)"))
+    targets = bounded(cut(targets.withColumn("_u", digest.cast("decimal(20,0)"))))
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_source")))
     # offset = u / 2**32 of one step, in units of 1 / den, rounded down
     off = F.expr("case when den = 0 then 0 else (_u * cast(den as decimal(38,0))) div cast(4294967296 as decimal(12,0)) end").cast("decimal(38,0)")

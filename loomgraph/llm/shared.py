@@ -62,3 +62,20 @@ def rank_within(df: DataFrame, parts: Sequence[str], order: Sequence[str], name:
     joined = placed.join(before, same)
     number = F.col("_before") + F.col("_at") - F.col("_first")
     return joined.select(*df.columns, number.alias(name))
+
+
+def running(df: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``df`` with ``_place``, from 0 in the order of ``order``, and ``_before_x`` for each value x: its sum over the rows before.
+
+    Rows are range-partitioned, so that no task holds all of them; only the
+    totals of the partitions are summed in one place.
+    """
+    keys = [F.col(c) for c in order]
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = whole.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_s{c}") for c in ("_n", *[f"_t_{v}" for v in values])])
+    own = Window.partitionBy("_part").orderBy("_at")
+    inside = placed.select("*", (F.row_number().over(own) - 1).alias("_r"), *[(F.sum(v).over(own) - F.col(v)).alias(f"_o_{v}") for v in values])
+    joined = inside.join(before, F.col("_part") == F.col("_p"))
+    return joined.select(*df.columns, (F.col("_r") + F.col("_s_n")).cast("long").alias("_place"), *[(F.col(f"_o_{v}") + F.col(f"_s_t_{v}")).alias(f"_before_{v}") for v in values])
