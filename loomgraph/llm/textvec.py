@@ -134,7 +134,7 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def portions(texts: list[str], limit: int = 1 << 20):
+def portions(texts: list[str], limit: int = 1 << 18):
     """Cut a list of texts into slices of about ``limit`` code points: pairs of first and last index."""
     first = size = 0
     for i, t in enumerate(texts):

@@ -19,7 +19,7 @@ import regex
 
 from .textvec import LETTER, NUMBER, OTHER, SPACE, Batch, classes, flat_ranges
 
-MOST_CACHED = 1_000_000
+MOST_CACHED = 400_000
 SEGMENT = 1 << 20
 
 

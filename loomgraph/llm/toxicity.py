@@ -61,7 +61,7 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", score_col:
         net = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            scores = [net.scores(texts[a:b]) for a, b in portions(texts, 1 << 19)]
+            scores = [net.scores(texts[a:b]) for a, b in portions(texts)]
             values = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], values], [*kept, score_col])
 
