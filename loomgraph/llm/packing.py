@@ -32,6 +32,7 @@ from .tokenize import encoder, vocabulary
 LENGTH = 1024
 OPEN = 128
 FAN_IN = 32
+SLICE = 1024
 END = 0
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -131,7 +132,8 @@ def pack(
 
         rows = Rows(TaskContext.get().partitionId())
         open_windows = Windows(length, windows, rows.add)
-        for batch in batches:
+        # Some rows of a batch at a time, as their texts are held twice.
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for doc, tokens in token_pieces(path, length, ids, texts):
                 n = len(tokens)
