@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +56,26 @@ class Graph:
     levels: dict[str, list[DataFrame]] = field(default_factory=dict)
     holders: dict[str, DataFrame] = field(default_factory=dict)
 
+    # Where ids tell the table and the key: the objects of an id, or of an external id, from the one table that may hold it.
+    lookup: Callable[[int | str], DataFrame | None] | None = None
+
+    def one(self, object_id: int) -> DataFrame:
+        """The object of an id, read from the one table that may hold it where ids tell that."""
+        found = self.lookup(object_id) if self.lookup else None
+        return self.objects.where(F.col("object_id") == object_id) if found is None else found
+
+    def named(self, external_id: str) -> DataFrame:
+        """The objects of an external id; links have none."""
+        found = self.lookup(external_id) if self.lookup else None
+        return self.objects.where(F.col("external_id") == external_id) if found is None else found
+
     @property
     def spark(self) -> SparkSession:
         return self.objects.sparkSession
 
     def with_(self, **changes) -> Graph:
-        return replace(self, **changes)
+        # Other objects cannot be looked up where the old ones lie.
+        return replace(self, **({"lookup": None} if "objects" in changes else {}) | changes)
 
     def cell(self, key: str) -> Cell:
         """Columns of a key in a frame that ``widened`` has made ready."""

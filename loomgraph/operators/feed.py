@@ -1,41 +1,69 @@
 """Feeds in batch form: coalescing, version de-duplication, sweeps and claims over a log of words.
 
 ``words``: (source_id, seq, word, external_id, version, scope[, payload]) with
-word one of OBSERVED, REMOVED, COMPLETE, UNAVAILABLE, AVAILABLE. Everything is
-window functions over a source and what it names; no window spans sources.
+word one of OBSERVED, REMOVED, COMPLETE, UNAVAILABLE, AVAILABLE. Windows go
+over what a source names, over stretches of its words, or over its few words
+on completions and availability; no task ever sorts a whole source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STRETCH, MOST_STRETCHES = 5_000, 100_000  # words of a stretch on average, and stretches at most
 WORD = "source_id int, seq long, word string, external_id string, version string, scope int, payload string"
 
 
+def running(rows: DataFrame, flag: Column, parts: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with the number of flagged rows of the same ``parts`` up to each row's own ``seq``.
+
+    A part may hold most rows, so none is sorted in one task: rows are counted
+    in stretches of ``seq``, the counts of the stretches before are summed, and
+    only rows of one stretch are put in order together.
+    """
+    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    stretches = min(MOST_STRETCHES, max(1, n // STRETCH))
+    width = max(1, ((high or 0) - (low or 0)) // stretches + 1)
+    marked = rows.withColumn("_stretch", F.floor((F.col("seq") - F.lit(low or 0)) / width)).withColumn("_flag", F.when(flag, 1).otherwise(0))
+    own = [F.col(c).alias(f"_p_{c}") for c in parts]
+    counts = marked.groupBy(*own, F.col("_stretch").alias("_at")).agg(F.sum("_flag").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*[f"_p_{c}" for c in parts]).orderBy("_at")) - F.col("_n")
+    counts = counts.select(*[f"_p_{c}" for c in parts], "_at", before.alias("_before"))
+    same = F.col("_stretch") == F.col("_at")
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    inside = F.sum("_flag").over(Window.partitionBy(*parts, "_stretch").orderBy("seq"))
+    return marked.withColumn("_inside", inside).join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def coalesced(words: DataFrame) -> DataFrame:
     """The last observation of each external id between two words of another kind."""
-    upto = Window.partitionBy("source_id").orderBy("seq")
-    epoch = F.sum(F.when(F.col("word") != "OBSERVED", 1).otherwise(0)).over(upto)
-    seen = words.withColumn("epoch", epoch).where("word = 'OBSERVED'")
+    seen = running(words, F.col("word") != "OBSERVED", ["source_id"], "epoch").where("word = 'OBSERVED'")
     fields = [c for c in words.columns if c not in ("source_id", "external_id", "word")]
     return seen.groupBy("source_id", "external_id", "epoch").agg(F.max_by(F.struct(*fields), "seq").alias("w")).select("source_id", "external_id", "epoch", "w.*")
 
 
-def rounds(words: DataFrame) -> DataFrame:
-    """Words with ``stale`` (no word counts as complete) and ``round``, the completions of the word's scope so far."""
+def completed(words: DataFrame) -> DataFrame:
+    """(source_id, scope, seq) of the completions that count: not while the source was unavailable."""
+    few = words.where(F.col("word").isin("COMPLETE", "UNAVAILABLE", "AVAILABLE")).select("source_id", "scope", "seq", "word")
     upto = Window.partitionBy("source_id").orderBy("seq")
-    state = F.last(F.when(F.col("word").isin("UNAVAILABLE", "AVAILABLE"), F.col("word")), ignorenulls=True).over(upto)
-    marked = words.withColumn("stale", F.coalesce(state == "UNAVAILABLE", F.lit(False)))
-    counted = F.when((F.col("word") == "COMPLETE") & ~F.col("stale"), 1).otherwise(0)
-    own = Window.partitionBy("source_id", "scope").orderBy("seq")
-    return marked.withColumn("round", F.sum(counted).over(own))
+    state = F.last(F.when(F.col("word") != "COMPLETE", F.col("word")), ignorenulls=True).over(upto)
+    return few.withColumn("_state", state).where("word = 'COMPLETE' and coalesce(_state, '') <> 'UNAVAILABLE'").select("source_id", "scope", "seq")
+
+
+def rounds(words: DataFrame) -> DataFrame:
+    """Words, without completions that do not count, with ``round``: the completions of the word's scope so far."""
+    done = completed(words).withColumn("word", F.lit("COMPLETE"))
+    rows = words.where("word <> 'COMPLETE'").unionByName(done, allowMissingColumns=True)
+    return running(rows, F.col("word") == "COMPLETE", ["source_id", "scope"], "round")
 
 
 def completions(words: DataFrame) -> DataFrame:
     """(source_id, scope, rounds): how often each scope was completed."""
-    done = rounds(words).where("word = 'COMPLETE' and not stale")
-    return done.groupBy("source_id", "scope").agg(F.count(F.lit(1)).alias("rounds"))
+    return completed(words).groupBy("source_id", "scope").agg(F.count(F.lit(1)).alias("rounds"))
 
 
 def observations(words: DataFrame) -> DataFrame:
@@ -57,16 +85,31 @@ def observations(words: DataFrame) -> DataFrame:
     return seen.withColumn("materialized", again)
 
 
-def alive(words: DataFrame) -> DataFrame:
-    """(source_id, external_id, scope, version, payload, seq) of the entries at the end of the log."""
-    seen = observations(words)
-    fields = [c for c in ("scope", "version", "payload", "seq", "round", "removals") if c in seen.columns]
-    last = seen.groupBy("source_id", "external_id").agg(F.max_by(F.struct(*fields), "seq").alias("w")).select("source_id", "external_id", "w.*")
-    gone = words.where("word = 'REMOVED'").groupBy("source_id", "external_id").agg(F.count(F.lit(1)).alias("_gone"))
-    done = completions(words).withColumnRenamed("scope", "_scope")
-    joined = last.join(gone, ["source_id", "external_id"], "left").join(done.withColumnRenamed("source_id", "_s"), (F.col("source_id") == F.col("_s")) & F.col("scope").eqNullSafe(F.col("_scope")), "left")
-    kept = (F.coalesce("rounds", F.lit(0)) - F.col("round") <= 1) & (F.coalesce("_gone", F.lit(0)) == F.col("removals"))
-    return joined.where(kept).select("source_id", "external_id", *[c for c in fields if c not in ("round", "removals")])
+def alive(words: DataFrame, demand: DataFrame | None = None) -> DataFrame:
+    """(source_id, external_id, scope, version, payload, seq) of the entries at the end of the log.
+
+    An entry ends when it is removed, or when a round of its scope begins and
+    is completed after it was last seen. ``demand`` (source_id, external_id,
+    level, raised) tells of the level each entry is wanted at now, OFF being 0,
+    and the ``seq`` at which it was last raised, or null: a sweep spares
+    entries at OFF, which nobody asks for, and those raised after its round
+    began, which the source could not have known to send.
+    """
+    life = ["source_id", "external_id"]
+    seen = words.where("word = 'OBSERVED'")
+    fields = [c for c in ("scope", "version", "payload", "seq") if c in words.columns]
+    last = seen.groupBy(*life).agg(F.max_by(F.struct(*fields), "seq").alias("w")).select(*life, "w.*")
+    gone = words.where("word = 'REMOVED'").groupBy(*life).agg(F.max("seq").alias("_gone"))
+    # Of the completions, which are few, the last but one begins the last round.
+    order = Window.partitionBy("source_id", "scope").orderBy(F.col("seq").desc())
+    begun = completed(words).withColumn("_nth", F.row_number().over(order)).where("_nth = 2").select(F.col("source_id").alias("_s"), F.col("scope").alias("_scope"), F.col("seq").alias("_begun"))
+    joined = last.join(gone, life, "left").join(begun, (F.col("source_id") == F.col("_s")) & F.col("scope").eqNullSafe(F.col("_scope")), "left")
+    since, spared = F.col("seq"), F.lit(False)
+    if demand is not None:
+        joined = joined.join(demand.select(*life, F.col("level").alias("_level"), F.col("raised").alias("_raised")), life, "left")
+        since, spared = F.greatest("seq", "_raised"), F.coalesce(F.col("_level") == 0, F.lit(False))
+    kept = spared | F.coalesce(since > F.col("_begun"), F.lit(True))
+    return joined.where(kept & F.coalesce(F.col("seq") > F.col("_gone"), F.lit(True))).select(*life, *fields)
 
 
 def states(words: DataFrame) -> DataFrame:

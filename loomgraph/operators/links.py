@@ -28,28 +28,29 @@ def draw(declared: DataFrame, routes: DataFrame | None = None) -> DataFrame:
 
     A provider and a requirer of one address are linked when one is an output
     and the other an input and the provider's domain can be reached: it is the
-    requirer's own, the unnamed one, or there is a route. The join is on the
-    address; routes are a small table of domains, and its size decides how it
-    is joined.
+    requirer's own, the unnamed one, or there is a route. Providers of a named
+    domain are joined on address and each domain they reach, so that no pairs
+    out of reach are made; those of the unnamed domain on the address alone.
+    A pair comes once, as declarations and routes are distinct.
     """
     side = lambda role, p: declared.where(F.col("role") == role).select(
         F.col("address"), *[F.col(c).alias(f"{p}_{c}") for c in ("port_id", "kind", "type", "domain")]
     )
-    pairs = side("provide", "p").join(side("require", "r"), "address").where("p_kind <> r_kind and p_port_id <> r_port_id")
-    near = (F.col("p_domain") == F.col("r_domain")) | (F.col("p_domain") == "")
-    if routes is None:
-        pairs = pairs.where(near)
-    else:
-        known = routes.distinct().select(F.col("requiring_domain").alias("_r"), F.col("providing_domain").alias("_p"), F.lit(True).alias("_routed"))
-        joined = pairs.join(known, (F.col("r_domain") == F.col("_r")) & (F.col("p_domain") == F.col("_p")), "left")
-        pairs = joined.where(near | F.col("_routed").isNotNull())
+    providers, requirers = side("provide", "p"), side("require", "r")
+    named = providers.where("p_domain <> ''")
+    reach = named.withColumn("r_domain", F.col("p_domain"))
+    if routes is not None:
+        known = routes.distinct().where("requiring_domain <> providing_domain").select(F.col("requiring_domain").alias("r_domain"), F.col("providing_domain").alias("_p"))
+        reach = reach.unionByName(named.join(known, F.col("p_domain") == F.col("_p")).drop("_p"))
+    pairs = reach.join(requirers, ["address", "r_domain"]).unionByName(providers.where("p_domain = ''").join(requirers, "address"))
+    pairs = pairs.where("p_kind <> r_kind and p_port_id <> r_port_id")
     out = F.col("p_kind") == "OUTPUT"
     return pairs.select(
         F.when(out, F.col("p_port_id")).otherwise(F.col("r_port_id")).alias("from_id"),
         F.when(out, F.col("r_port_id")).otherwise(F.col("p_port_id")).alias("to_id"),
         F.col("address").alias("name"),
         F.col("p_type").alias("type"),
-    ).distinct()
+    )
 
 
 def link_counts(ports: DataFrame, links: DataFrame) -> DataFrame:

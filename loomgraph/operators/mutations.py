@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import drop, keep
+from ..functions.lineage import cut
 from ..model import Graph
 
 VALUE = ("vtype", "l", "d", "b", "t")
@@ -56,7 +57,8 @@ def closure(objects: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def remove(graph: Graph, removed: DataFrame) -> Graph:
-    gone = closure(graph.objects, removed)
+    # Every part of the graph is freed of them, so they are found once.
+    gone = cut(closure(graph.objects, removed))
     without = lambda frame, column: drop(frame, gone, column, distinct=False)
     return graph.with_(
         objects=without(graph.objects, "object_id"),

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.joins import drop, keep
 from ..model import FIELD, INTRINSIC, Graph
 from ..plans.selector import parse
@@ -81,7 +82,7 @@ def snapshot(graph: Graph, selector: str, keys: Sequence[str] | None = None) ->
 
 def delta(before: Graph, after: Graph, selector: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Records that lead from the view of one graph to that of the next."""
-    old, new = members(before, selector), members(after, selector)
+    old, new = cut(members(before, selector)), cut(members(after, selector))
     ids_old, ids_new = old.select("object_id"), new.select("object_id")
     added = drop(new, ids_old, "object_id", distinct=False)
     removed = drop(old, ids_new, "object_id", distinct=False)
@@ -105,7 +106,7 @@ def delta(before: Graph, after: Graph, selector: str, keys: Sequence[str] | None
 
 def touched(graph: Graph, object_id: int) -> DataFrame:
     """Records that state all properties of one object again."""
-    return _record(entries(graph, graph.objects.where(F.col("object_id") == object_id)), "PROPERTY_CHANGED")
+    return _record(entries(graph, graph.one(object_id)), "PROPERTY_CHANGED")
 
 
 def replica(records: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def replica(records: DataFrame) -> DataFrame:
 
 def snapshot_object(graph: Graph, object_id: int) -> DataFrame:
     """One row with a map of all properties of an object, as text."""
-    own = entries(graph, graph.objects.where(F.col("object_id") == object_id))
+    own = entries(graph, graph.one(object_id))
     text = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("b").cast("string"), F.col("t"))
     return own.groupBy("object_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", text.alias("value"))))).alias("properties"))
 

@@ -71,12 +71,12 @@ selects("sel_not_between", "link[lines>1] & !touching(node[$type=supplier][acctb
 
 @query("find_external_id", f"select {C} as object_id, 'customer' as type from customer where c_custkey = 42")
 def find_external_id(spark, d):
-    return tpch.bind(spark, d).objects.where("external_id = 'customer:42'").select("object_id", "type")
+    return tpch.bind(spark, d).named("customer:42").select("object_id", "type")
 
 
 @query("find_id", f"select {S} as object_id, s_name as name from supplier where s_suppkey = 7")
 def find_id(spark, d):
-    return tpch.bind(spark, d).objects.where(F.col("object_id") == 4 * tpch.UNIT + 7).select("object_id", "name")
+    return tpch.bind(spark, d).one(4 * tpch.UNIT + 7).select("object_id", "name")
 
 
 @query(
@@ -445,6 +445,23 @@ def feed_sweep(spark, d):
     return feed.alive(tpch.words(spark, d)).select("source_id", "external_id", "scope", "version")
 
 
+DEMAND = "dm as (select distinct source_id, external_id, case when hash_key % 3 = 0 then 0 else 2 end as level, case when hash_key % 3 = 1 then mx - 86400000000 * 8 end as raised from (select source_id, external_id, substr(external_id, 6)::bigint as hash_key, (select max(seq) from w) as mx from w where external_id is not null))"
+SPARED = "b as (select source_id, scope, seq as begun from w where word = 'COMPLETE' qualify row_number() over (partition by source_id, scope order by seq desc) = 2)"
+
+
+@query("feed_sweep_demand", f"""with {WORDS}, {DEMAND}, {SPARED}, l as (select * from w where word = 'OBSERVED' qualify row_number() over (partition by source_id, external_id order by seq desc) = 1)
+  select l.source_id, l.external_id, l.scope, l.version from l left join b using (source_id, scope) left join dm using (source_id, external_id)
+  where (coalesce(level = 0, false) or begun is null or l.seq > begun or coalesce(raised > begun, false)) and not exists (select 1 from w r where r.word = 'REMOVED' and r.source_id = l.source_id and r.external_id = l.external_id and r.seq >= l.seq)""")
+def feed_sweep_demand(spark, d):
+    words = tpch.words(spark, d)
+    number = F.substring("external_id", 6, 20).cast("long")
+    raised = (words.agg(F.max("seq")).first()[0] or 0) - 86_400_000_000 * 8
+    wanted = words.where("external_id is not null").select("source_id", "external_id").distinct().select(
+        "source_id", "external_id", F.when(number % 3 == 0, 0).otherwise(2).alias("level"), F.when(number % 3 == 1, F.lit(raised)).alias("raised")
+    )
+    return feed.alive(words, wanted).select("source_id", "external_id", "scope", "version")
+
+
 @query("feed_removed", f"with {WORDS}, {ALIVE} select distinct source_id, external_id from n where external_id not in (select external_id from a)")
 def feed_removed(spark, d):
     words = tpch.words(spark, d)

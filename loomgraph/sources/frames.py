@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def frames(records: DataFrame, view: str, seq: int, snapshot: bool, per_frame: i
     part = F.pmod(F.xxhash64(F.floor(F.col("object_id") / per_frame)), F.lit(1 << 40))
     each = shown.select(part.alias("part"), F.struct("rank", "object_id", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("parent_id", F.lit(0)).alias("parent_id"), item.alias("item")).alias("s"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["item"]), ",")
-    head = F.lit(f'{{"view":"{view}","seq":{seq},"snapshot":{str(snapshot).lower()},"changes":[')
+    head = F.lit(f'{{"view":{json.dumps(view)},"seq":{seq},"snapshot":{str(snapshot).lower()},"changes":[')
     return each.groupBy("part").agg(F.concat(head, body, F.lit("]}")).alias("frame")).select(F.lit(view).alias("view"), F.lit(seq).alias("seq"), "part", "frame")
 
 

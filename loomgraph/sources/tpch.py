@@ -10,6 +10,7 @@ supplier``, good for keys of suppliers under a million.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,22 +109,36 @@ def _bind(spark: SparkSession, sf_dir: str) -> Graph:
     ext = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     ship = shipments(spark, sf_dir)
     out_port, in_port = F.lit(PORT["supplier"] * UNIT), F.lit(PORT["order"] * UNIT)
-    objects = [
-        _objects(region, "NODE", "region", node_id("region", F.col("r_regionkey")), name=F.col("r_name"), external_id=ext("region", "r_regionkey"), axis=F.lit("placement")),
-        _objects(nation, "NODE", "nation", node_id("nation", F.col("n_nationkey")), name=F.col("n_name"), external_id=ext("nation", "n_nationkey"), axis=F.lit("placement")),
-        _objects(customer, "NODE", "customer", node_id("customer", F.col("c_custkey")), name=F.col("c_name"), external_id=ext("customer", "c_custkey"), acctbal=F.col("c_acctbal"), segment=F.col("c_mktsegment")),
-        _objects(supplier, "NODE", "supplier", node_id("supplier", F.col("s_suppkey")), name=F.col("s_name"), external_id=ext("supplier", "s_suppkey"), acctbal=F.col("s_acctbal")),
-        _objects(part, "NODE", "part", node_id("part", F.col("p_partkey")), name=F.col("p_name"), external_id=ext("part", "p_partkey"), brand=F.col("p_brand"), size=F.col("p_size"), price=F.col("p_retailprice")),
-        _objects(orders, "NODE", "order", node_id("order", F.col("o_orderkey")), name=ext("order", "o_orderkey"), external_id=ext("order", "o_orderkey"), status=F.col("o_orderstatus"), total=F.col("o_totalprice"), priority=F.col("o_orderpriority")),
-        _objects(supplier, "OUTPUT", "supply", out_port + F.col("s_suppkey"), name=F.lit("out"), external_id=F.concat(ext("supplier", "s_suppkey"), F.lit(">out")), node_id=node_id("supplier", F.col("s_suppkey")), role=F.lit("provide")),
-        _objects(orders, "INPUT", "demand", in_port + F.col("o_orderkey"), name=F.lit("in"), external_id=F.concat(ext("order", "o_orderkey"), F.lit("<in")), node_id=node_id("order", F.col("o_orderkey")), role=F.lit("require")),
-        _objects(part, "INPUT", "stock", F.lit(PORT["part"] * UNIT) + F.col("p_partkey"), name=F.lit("in"), external_id=F.concat(ext("part", "p_partkey"), F.lit("<in")), node_id=node_id("part", F.col("p_partkey")), role=F.lit("require")),
-        _objects(
-            ship, "LINK", "shipment", F.lit(LINK) + F.col("o") * LINK_STEP + F.col("s"), name=F.lit("shipment"), derived=F.lit(False),
-            from_id=out_port + F.col("s"), to_id=in_port + F.col("o"), from_node=node_id("supplier", F.col("s")), to_node=node_id("order", F.col("o")),
-            quantity=F.col("quantity"), revenue=F.col("revenue"), lines=F.col("lines"),
-        ),
+    # What makes the objects of each kind: first part of their ids, table, key, external ids, and the projection.
+    makers = [
+        (NODE["region"], region, "r_regionkey", "region:", lambda t: _objects(t, "NODE", "region", node_id("region", F.col("r_regionkey")), name=F.col("r_name"), external_id=ext("region", "r_regionkey"), axis=F.lit("placement"))),
+        (NODE["nation"], nation, "n_nationkey", "nation:", lambda t: _objects(t, "NODE", "nation", node_id("nation", F.col("n_nationkey")), name=F.col("n_name"), external_id=ext("nation", "n_nationkey"), axis=F.lit("placement"))),
+        (NODE["customer"], customer, "c_custkey", "customer:", lambda t: _objects(t, "NODE", "customer", node_id("customer", F.col("c_custkey")), name=F.col("c_name"), external_id=ext("customer", "c_custkey"), acctbal=F.col("c_acctbal"), segment=F.col("c_mktsegment"))),
+        (NODE["supplier"], supplier, "s_suppkey", "supplier:", lambda t: _objects(t, "NODE", "supplier", node_id("supplier", F.col("s_suppkey")), name=F.col("s_name"), external_id=ext("supplier", "s_suppkey"), acctbal=F.col("s_acctbal"))),
+        (NODE["part"], part, "p_partkey", "part:", lambda t: _objects(t, "NODE", "part", node_id("part", F.col("p_partkey")), name=F.col("p_name"), external_id=ext("part", "p_partkey"), brand=F.col("p_brand"), size=F.col("p_size"), price=F.col("p_retailprice"))),
+        (NODE["order"], orders, "o_orderkey", "order:", lambda t: _objects(t, "NODE", "order", node_id("order", F.col("o_orderkey")), name=ext("order", "o_orderkey"), external_id=ext("order", "o_orderkey"), status=F.col("o_orderstatus"), total=F.col("o_totalprice"), priority=F.col("o_orderpriority"))),
+        (PORT["supplier"], supplier, "s_suppkey", "supplier:>out", lambda t: _objects(t, "OUTPUT", "supply", out_port + F.col("s_suppkey"), name=F.lit("out"), external_id=F.concat(ext("supplier", "s_suppkey"), F.lit(">out")), node_id=node_id("supplier", F.col("s_suppkey")), role=F.lit("provide"))),
+        (PORT["order"], orders, "o_orderkey", "order:<in", lambda t: _objects(t, "INPUT", "demand", in_port + F.col("o_orderkey"), name=F.lit("in"), external_id=F.concat(ext("order", "o_orderkey"), F.lit("<in")), node_id=node_id("order", F.col("o_orderkey")), role=F.lit("require"))),
+        (PORT["part"], part, "p_partkey", "part:<in", lambda t: _objects(t, "INPUT", "stock", F.lit(PORT["part"] * UNIT) + F.col("p_partkey"), name=F.lit("in"), external_id=F.concat(ext("part", "p_partkey"), F.lit("<in")), node_id=node_id("part", F.col("p_partkey")), role=F.lit("require"))),
     ]
+    shipped = lambda ship: _objects(
+        ship, "LINK", "shipment", F.lit(LINK) + F.col("o") * LINK_STEP + F.col("s"), name=F.lit("shipment"), derived=F.lit(False),
+        from_id=out_port + F.col("s"), to_id=in_port + F.col("o"), from_node=node_id("supplier", F.col("s")), to_node=node_id("order", F.col("o")),
+        quantity=F.col("quantity"), revenue=F.col("revenue"), lines=F.col("lines"),
+    )
+    objects = [*(make(rows) for _, rows, _, _, make in makers), shipped(ship)]
+
+    def lookup(wanted: int | str) -> DataFrame | None:
+        """Objects of an id or external id by a filter on the key of their table, which reaches its scan."""
+        if isinstance(wanted, int):
+            if wanted >= LINK:
+                order, supplier_key = divmod(wanted - LINK, LINK_STEP)
+                return shipped(ship.where((F.col("o") == order) & (F.col("s") == supplier_key)))
+            unit, key = divmod(wanted, UNIT)
+            return next((make(rows.where(F.col(c) == key)) for k, rows, c, _, make in makers if k == unit), None)
+        m = re.fullmatch(r"([a-z]+:)(\d+)(>out|<in)?", wanted)
+        return m and next((make(rows.where(F.col(c) == int(m[2]))) for _, rows, c, form, make in makers if form == m[1] + (m[3] or "")), None)
+
     edge = lambda frame, axis, pk, pc, ck, cc: frame.select(F.lit(axis).alias("axis"), node_id(pk, F.col(pc)).alias("parent_id"), node_id(ck, F.col(cc)).alias("child_id"))
     places = [edge(nation, "placement", "region", "n_regionkey", "nation", "n_nationkey")]
     places += [edge(customer, "placement", "nation", "c_nationkey", "customer", "c_custkey").unionAll(edge(supplier, "placement", "nation", "s_nationkey", "supplier", "s_suppkey"))]
@@ -135,6 +150,7 @@ def _bind(spark: SparkSession, sf_dir: str) -> Graph:
         bound=BOUND,
         levels={"placement": places, "ownership": owned},
         holders={"placement": objects[0].unionAll(objects[1]), "ownership": objects[2]},
+        lookup=lookup,
     )
 
 
