@@ -32,6 +32,22 @@ def levels(objects: DataFrame, interests: DataFrame, overrides: DataFrame) -> Da
     return joined.select("object_id", level.cast("int").alias("level"))
 
 
+def set_interests(interests: DataFrame, overrides: DataFrame, changes: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Interests and overrides after clients replaced or cleared theirs.
+
+    ``changes`` is (client, base, seq), with a null base where a client is
+    forgotten; ``given`` (client, object_id, level, seq) has the overrides that
+    came with a change. The last change of a client counts and replaces all
+    that the client wanted before.
+    """
+    last = changes.groupBy("client").agg(F.max_by(F.struct("base"), "seq").alias("_b"), F.max("seq").alias("seq"))
+    set_ = last.where("_b.base is not null")
+    kept = lambda frame: frame.join(last.select("client"), "client", "left_anti")
+    bases = kept(interests).select("client", "base").unionByName(set_.select("client", F.col("_b.base").alias("base")))
+    fresh = given.join(set_.select("client", "seq"), ["client", "seq"]).groupBy("client", "object_id").agg(F.max("level").alias("level"))
+    return bases, kept(overrides).select("client", "object_id", "level").unionByName(fresh)
+
+
 def dropped(properties: DataFrame, level: DataFrame, supplied: Mapping[str, int], source_id: int) -> DataFrame:
     """Properties that a source wrote and that lie above their object's level now."""
     limit = F.lit(None).cast("int")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.values import fold_min_double, fold_sum_long
 from ..plans.selector import SelectorError
 
@@ -79,26 +80,22 @@ def own_and_children(own: DataFrame, contain: DataFrame, summands: DataFrame, fo
     return own.select("object_id", "l", "d").unionAll(below.join(roots, "object_id", "left_semi")).groupBy("object_id").agg(*folded(fold))
 
 
-def nested(derivations: DataFrame, contain: DataFrame, objects: DataFrame, values: DataFrame, levels: int | None = None) -> DataFrame:
-    """Values of declared folds that chain down the hierarchy.
+def leaves(derivations: DataFrame, contain: DataFrame, objects: DataFrame, levels: int | None = None) -> DataFrame:
+    """(root, root_key, fold, leaf, leaf_key): what declared folds over children sum up, chains followed down.
 
     ``derivations``: (object_id, key, fold, child_key, child_type) and, where a
-    fold also has own summands, the flag ``own``. ``values``: (object_id, key,
-    l, d) of what is written; ``own_values`` are values of (object_id, key)
-    pairs of the declared key itself flagged so.
-
-    A child that folds the key read with the same fold, and without own
-    summands, gives all its own summands in place of its value, whatever its
-    type; others give their value where the type fits. A leaf that two chains
-    reach counts twice. Chains are followed level by level, with one
-    aggregation at the end.
+    fold also has own summands, the flag ``own``. A child that folds the key
+    read with the same fold, and without own summands, gives all its own
+    summands in place of its value, whatever its type; others give their value
+    where the type fits. A leaf that two chains reach counts twice. Chains are
+    followed level by level, as far as they go or ``levels`` deep.
     """
     spec = derivations.select("object_id", "key", "fold", "child_key", "child_type", *(["own"] if "own" in derivations.columns else [F.lit(False).alias("own")]))
     edges = contain.select("parent_id", "child_id").distinct()
     chains = spec.where("not own").select(F.col("object_id").alias("c_id"), F.col("key").alias("c_key"), F.col("fold").alias("c_fold"), F.col("child_key").alias("c_child_key"), F.col("child_type").alias("c_child_type"))
     level = spec.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"), "fold", F.col("object_id").alias("at"), "child_key", "child_type")
     types = objects.select(F.col("object_id").alias("_o"), F.col("type").alias("_type"))
-    leaves = None
+    out = None
     n = 0
     while True:
         step = level.join(edges, F.col("at") == F.col("parent_id")).join(
@@ -110,15 +107,25 @@ def nested(derivations: DataFrame, contain: DataFrame, objects: DataFrame, value
             .where(F.col("child_type").isNull() | (F.col("child_type") == F.col("_type")))
             .select("root", "root_key", "fold", F.col("child_id").alias("leaf"), F.col("child_key").alias("leaf_key"))
         )
-        leaves = own if leaves is None else leaves.unionAll(own)
+        out = own if out is None else out.unionAll(own)
         n += 1
         if levels is not None and n >= levels:
-            break
+            return out
         level = step.where("c_id is not null").select("root", "root_key", "fold", F.col("c_id").alias("at"), F.col("c_child_key").alias("child_key"), F.col("c_child_type").alias("child_type"))
-        if levels is None and level.isEmpty():
-            break
+        if levels is None:
+            level = cut(level)
+            if level.isEmpty():
+                return out
+
+
+def nested(derivations: DataFrame, contain: DataFrame, objects: DataFrame, values: DataFrame, levels: int | None = None) -> DataFrame:
+    """(object_id, key, l, d, known, total) of declared folds that chain down the hierarchy (``leaves``).
+
+    ``values``: (object_id, key, l, d) of what is written. What children derive
+    in other ways than by a chain is read by ``derived.tallies``. One aggregation.
+    """
     read = values.select(F.col("object_id").alias("_v"), F.col("key").alias("_k"), "l", "d")
-    joined = leaves.join(read, (F.col("leaf") == F.col("_v")) & (F.col("leaf_key") == F.col("_k")), "left")
+    joined = leaves(derivations, contain, objects, levels).join(read, (F.col("leaf") == F.col("_v")) & (F.col("leaf_key") == F.col("_k")), "left")
     out = None
     for fold in FOLDS:
         part = joined.where(F.col("fold") == fold).groupBy(F.col("root").alias("object_id"), F.col("root_key").alias("key")).agg(*folded(fold))

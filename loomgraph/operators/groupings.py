@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.values import Cell, canonical
-from ..model import Graph
+from ..model import INTRINSIC, Graph
+from .derived import GROUPED
 from .folds import folded
 from .select import matched
 
@@ -60,17 +62,16 @@ def with_paths(graph: Graph, members: DataFrame, paths: Sequence[str]) -> tuple[
     return frame, cells
 
 
-def group_by(graph: Graph, selector: str, by: Sequence[str], over: Sequence[tuple[str, str, str]] = (), exclude: DataFrame | None = None) -> DataFrame:
+def group_by(graph: Graph, selector: str, by: Sequence[str], over: Sequence[tuple[str, str, str]] = (), parts: bool = False) -> DataFrame:
     """Groups of the members: ``name`` (the canonical key), one column per key path, members, and folds.
 
     ``over`` lists (column, fold, path): ``column_l``, ``column_d``,
     ``column_known`` and ``column_total`` fold the path over the members. A
-    member without a value for a key path is in no group. ``exclude`` has the
-    object_id of group nodes, which are never members.
+    member without a value for a key path is in no group. Group nodes are
+    never members. With ``parts`` the typed values of the key are kept as
+    structs ``part0``, ``part1``, ..
     """
-    members = matched(graph, selector)
-    if exclude is not None:
-        members = members.join(exclude.select("object_id"), "object_id", "left_anti")
+    members = matched(graph, selector).where(~(F.col("kind") == "NODE") | ~F.coalesce(F.col("derived"), F.lit(False)))
     frame, cells = with_paths(graph, members, [*by, *[p for _, _, p in over]])
     keys = [canonical(cells[p]).alias(f"_key{i}") for i, p in enumerate(by)]
     values: list[Column] = []
@@ -78,10 +79,12 @@ def group_by(graph: Graph, selector: str, by: Sequence[str], over: Sequence[tupl
         cell = cells[p]
         values.append((cell.long if cell.long is not None else F.lit(None)).cast("long").alias(f"_l_{name}"))
         values.append((cell.double if cell.double is not None else F.lit(None)).cast("double").alias(f"_d_{name}"))
-    rows = frame.select("object_id", *keys, *values)
+    typed = [F.struct(*[(F.lit(None) if c is None else c).cast(t).alias(n) for n, t, c in _typed(cells[p])]).alias(f"part{i}") for i, p in enumerate(by)] if parts else []
+    rows = frame.select("object_id", *keys, *values, *typed)
     for i in range(len(by)):
         rows = rows.where(F.col(f"_key{i}").isNotNull())
-    aggregates = [F.count(F.lit(1)).alias("members")]
+    # The canonical key tells the typed value, so any member's will do.
+    aggregates = [F.count(F.lit(1)).alias("members"), *[F.first(f"part{i}").alias(f"part{i}") for i in range(len(typed))]]
     for name, fold, _ in over:
         parts = folded(fold, F.col(f"_l_{name}"), F.col(f"_d_{name}"))
         aggregates += [c.alias(f"{name}_{part}") for c, part in zip(parts, ("l", "d", "known", "total"), strict=True)]
@@ -90,8 +93,45 @@ def group_by(graph: Graph, selector: str, by: Sequence[str], over: Sequence[tupl
     return grouped.select(name, *[F.col(f"_key{i}").alias(f"key{i}") for i in range(len(by))], *[c for c in grouped.columns if not c.startswith("_key")])
 
 
+def _typed(cell: Cell):
+    return [("l", "long", cell.long), ("d", "double", cell.double), ("b", "boolean", cell.boolean), ("t", "string", cell.text)]
+
+
 def group_nodes(groups: DataFrame, grouping: str, type: str) -> DataFrame:
     """(name, type, external_id) of the node of each group."""
     if ":" in grouping:
         raise ValueError("a grouping's name has no ':'")
     return groups.select("name", F.lit(type).alias("type"), F.concat(F.lit(f"{grouping}:"), "name").alias("external_id"))
+
+
+def as_nodes(graph: Graph, grouping: str, type: str, selector: str, by: Sequence[str], over: Sequence[tuple[str, str, str]] = ()) -> Graph:
+    """The graph with a node for each group, which selectors and views hold like any other.
+
+    The parts of the key are properties under the text of their paths (but for
+    intrinsic keys, which a node answers from its own), folds under their name
+    with ``.known`` and ``.total``. Nodes of groups are ``derived``; their ids
+    follow from the external id alone, so that a group keeps its id.
+    """
+    if ":" in grouping:
+        raise ValueError("a grouping's name has no ':'")
+    for name, _, _ in over:
+        if name in graph.bound or name in INTRINSIC:
+            raise ValueError(f"{name!r} is a column of the objects")
+    external = F.concat(F.lit(f"{grouping}:"), "name")
+    made = F.shiftrightunsigned(F.xxhash64(external), 3).bitwiseOR(F.lit(1 << 61)).alias("object_id")
+    found = cut(group_by(graph, selector, by, over, parts=True).select(made, external.alias("external_id"), "*"))
+    column = {"LONG": "l", "DOUBLE": "d", "BOOLEAN": "b", "TEXT": "t"}
+    bound = [F.col(f"part{i}.{column[graph.bound[p]]}").alias(p) for i, p in enumerate(by) if p in graph.bound]
+    nodes = found.select("object_id", F.lit("NODE").alias("kind"), "name", F.lit(type).alias("type"), "external_id", F.lit(True).alias("derived"), *bound)
+    null = {"l": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "b": F.lit(None).cast("boolean"), "t": F.lit(None).cast("string")}
+    item = lambda key, **given: F.struct(F.lit(key).alias("key"), *[given.get(c, null[c]).alias(c) for c in null])
+    items = [item(p, **{c: F.col(f"part{i}.{c}") for c in null}) for i, p in enumerate(by) if p not in graph.bound and p not in INTRINSIC]
+    for name, _, _ in over:
+        items += [item(name, l=F.col(f"{name}_l"), d=F.col(f"{name}_d")), item(f"{name}.known", l=F.col(f"{name}_known")), item(f"{name}.total", l=F.col(f"{name}_total"))]
+    objects = graph.objects.unionByName(nodes, allowMissingColumns=True)
+    if not items:
+        return graph.with_(objects=objects)
+    kind = F.when(F.col("l").isNotNull(), "LONG").when(F.col("d").isNotNull(), "DOUBLE").when(F.col("b").isNotNull(), "BOOLEAN").when(F.col("t").isNotNull(), "TEXT").alias("vtype")
+    rows = found.select("object_id", F.explode(F.array(*items)).alias("_v")).select("object_id", "_v.*")
+    rows = rows.select("object_id", "key", kind, "l", "d", "b", "t", F.lit(GROUPED).alias("source_id")).where("vtype is not null")
+    return graph.with_(objects=objects, properties=rows if graph.properties is None else graph.properties.unionByName(rows))

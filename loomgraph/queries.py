@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import assembly, demand, feed, folds, groupings, links, mutations, placement, views
+from .operators import assembly, demand, derived, feed, folds, groupings, guards, links, mutations, placement, views
+from .operators.derived import Rule
 from .operators.select import matched, matched_ids
 from .plans.path import Path
 from .sources import frames, tpch
@@ -550,5 +551,153 @@ def demand_notify(spark, d):
     return demand.notices(before, demand_level(spark, d), nodes.select("object_id", "external_id"))
 
 
+#: Nations and regions know their best customer, regions the least of these and how many they are; parts and customers fold what is theirs.
+RULES = (
+    Rule("node[$type=nation]", "best", "MAX", children="acctbal", child_type="customer"),
+    Rule("node[$type=region]", "best", "MAX", children="best"),
+    Rule("node[$type=region]", "floor", "MIN", children="best"),
+    Rule("node[$type=region]", "people", "SUM", children="best.known"),
+    Rule("node[$type=part]", "worth", "SUM", own=("size", "price")),
+    Rule("node[$type=customer]", "dearest", "MAX", children="total"),
+)
+BEST = "(select n_nationkey, n_regionkey, max(c_acctbal) as best, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey group by all)"
+
+
+@query("sel_on_derived", f"""select {N} as object_id from {BEST} where best > 9950 union all select {R} from region where r_regionkey in (select n_regionkey from {BEST} where best > 9950)
+  union all select {P} from part where p_size + p_retailprice < 950 union all select 3000000000000 + o_custkey from orders group by o_custkey having count(*) >= 18""")
+def sel_on_derived(spark, d):
+    graph = derived.derive(tpch.bind(spark, d), RULES)
+    return matched_ids(graph, "node[best>9950], node[worth<950], node[dearest.total>=18]")
+
+
+@query("fold_strata", f"""with g as (select 1000000000000 + n_regionkey as object_id, max(best) as best, min(best) as low, sum(n)::bigint as n, count(*) as nations, count(best) as known from {BEST} group by 1)
+  select object_id, 'best' as key, null::bigint as l, best as d from g where best is not null union all select object_id, 'best.known', n, null from g union all select object_id, 'best.total', n, null from g
+  union all select object_id, 'floor', null, low from g where low is not null union all select object_id, 'floor.known', known, null from g union all select object_id, 'floor.total', nations, null from g
+  union all select object_id, 'people', n, null from g union all select object_id, 'people.known', nations, null from g union all select object_id, 'people.total', nations, null from g""")
+def fold_strata(spark, d):
+    graph = derived.derive(tpch.bind(spark, d), RULES)
+    return views.query(graph, "node[$type=region]").where("not startswith(key, '$')").select("object_id", "key", "l", "d")
+
+
+@query("fold_sum_mixed", f"select {P} as object_id, 'worth' as key, p_size + p_retailprice as d from part")
+def fold_sum_mixed(spark, d):
+    graph = derived.derive(tpch.bind(spark, d), RULES[4:5])
+    return graph.properties.select("object_id", "key", "d")
+
+
+@query("fold_sum_wraps", f"""select 2000000000000 + c_nationkey as object_id, ((sum(9000000000000000000::hugeint - c_custkey) + 9223372036854775808::hugeint) % 18446744073709551616::hugeint - 9223372036854775808::hugeint)::bigint as l from customer group by 1""")
+def fold_sum_wraps(spark, d):
+    graph = tpch.bind(spark, d)
+    large = graph.objects.where("kind = 'NODE' and type = 'customer'").select("object_id", (F.lit(9 * 10**18) - F.col("object_id") % tpch.UNIT).alias("l"), F.lit(None).cast("double").alias("d"))
+    return folds.over_children(graph.contain, large, "SUM", "placement").select("object_id", "l")
+
+
+@query("fold_rule_faults", f"""select 'declared twice' as fault, {R} as object_id, 'best' as key from region union all select 'not a node', 7000000000000 + s_suppkey, 'sold' from supplier
+  union all select 'reserved key', {N}, '$size' from nation union all select 'own key is derived', {N}, 'above' from nation union all select 'no such fold', {P}, 'mean' from part
+  union all select 'written by a source', {C}, 'acctbal' from customer""")
+def fold_rule_faults(spark, d):
+    graph = tpch.bind(spark, d)
+    rules = [
+        Rule("node[$type=region]", "best", "MAX", children="acctbal"), Rule("node[$type=region]", "best", "MIN", children="acctbal"),
+        Rule("output", "sold", "SUM", children="lines"), Rule("node[$type=nation]", "$size", "SUM", own=("size",)),
+        Rule("node[$type=nation]", "above", "SUM", own=("below",)), Rule("node[$type=nation]", "below", "SUM", own=("size",)), Rule("node[$type=nation]", "below", "SUM", own=("size",)),
+        Rule("node[$type=part]", "mean", "AVG", own=("size",)), Rule("node[$type=customer]", "acctbal", "SUM", own=("lines",)),
+    ]
+    return derived.faults(derived.declarations(graph, rules), graph.objects, stored(spark, d))
+
+
+def with_segments(spark, d):
+    return groupings.as_nodes(tpch.bind(spark, d), "segments", "segment", "node[$type=customer]", ["segment"], [("top", "MAX", "acctbal")])
+
+
+@query("sel_group_node", "select c_mktsegment as name, 'segments:' || c_mktsegment as external_id from customer group by all having max(c_acctbal) > 9990 or c_mktsegment = 'BUILDING'")
+def sel_group_node(spark, d):
+    return matched(with_segments(spark, d), "node[$type=segment][top>9990], node[$type=segment][segment=BUILDING][top.total>0]").select("name", "external_id")
+
+
+@query("view_with_groups", """with g as (select c_mktsegment as s, max(c_acctbal) as top from customer group by 1)
+  select 'ADDED' as change, null::varchar as key, null::varchar as value from g union all select 'PROPERTY_CHANGED', unnest(['$name', '$type', '$externalId', 'segment', 'top']), unnest([s, 'segment', 'segments:' || s, s, top::varchar]) from g""")
+def view_with_groups(spark, d):
+    records = views.snapshot(with_segments(spark, d), "node[$type=segment]", ["segment", "top"])
+    return records.where("key is null or key <> '$id'").select("change", "key", as_text(records).alias("value"))
+
+
+@query("group_not_member", "select type as name, count(*) as members from (select 'region' as type from region union all select 'nation' from nation union all select 'customer' from customer union all select 'supplier' from supplier union all select 'part' from part union all select 'order' from orders) group by 1")
+def group_not_member(spark, d):
+    return groupings.group_by(with_segments(spark, d), "node", ["$type"]).select("name", "members")
+
+
+groups("group_missing_part", "node", ["brand"], [("smallest", "MIN", "size")], ["name", "members", "smallest_l"], "select p_brand as name, count(*) as members, min(p_size)::bigint as smallest_l from part group by 1")
+
+
+@query("guard_writes", f"""select 'no such object' as fault, {C} + 500000000000 as object_id, 'note' as key from customer where c_custkey % 10 = 0
+  union all select 'reserved key', {C}, '$name' from customer where c_mktsegment = 'BUILDING' and c_custkey % 10 <> 0 union all select 'derived', {N}, 'best' from nation where n_nationkey in (select c_nationkey from customer)""")
+def guard_writes(spark, d):
+    graph = derived.derive(tpch.bind(spark, d), RULES[:1])
+    customers = graph.objects.where("kind = 'NODE' and type = 'customer'")
+    tenth = F.col("object_id") % 10 == 0
+    own = customers.select(F.when(tenth, F.col("object_id") + 500_000_000_000).otherwise(F.col("object_id")).alias("object_id"), F.when(~tenth & (F.col("segment") == "BUILDING"), "$name").otherwise("note").alias("key"))
+    nations = graph.objects.where("kind = 'NODE' and type = 'nation'").select("object_id", F.lit("best").alias("key"))
+    return guards.write_faults(own.unionAll(nations), graph.objects, graph.properties)
+
+
+@query("guard_links", f"""select unnest(['from no output', 'to no input']) as fault, object_id from {LINKS} where s % 2 = 0 union all select 'to nothing', object_id from {LINKS} where s % 2 = 1 and o % 5 = 0""")
+def guard_links(spark, d):
+    graph = tpch.bind(spark, d)
+    even, fifth = F.col("from_id") % 2 == 0, F.col("to_id") % 5 == 0
+    links_ = graph.objects.where("kind = 'LINK'").select(
+        "object_id", F.when(even, F.col("to_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(even, F.col("from_id")).when(fifth, 0).otherwise(F.col("to_id")).alias("to_id")
+    )
+    return guards.link_faults(links_, graph.objects)
+
+
+@query("guard_placement", f"select distinct 'parent is no node' as fault, 7000000000001 + c_custkey % 10 as object_id from customer where c_custkey % 3 = 0 union all select 'in itself', {C} from customer where c_custkey % 3 = 1")
+def guard_placement(spark, d):
+    graph = tpch.bind(spark, d)
+    key = F.col("object_id") % tpch.UNIT
+    parent = F.when(key % 3 == 0, F.lit(7 * tpch.UNIT + 1) + key % 10).when(key % 3 == 1, F.col("object_id")).otherwise(F.lit(tpch.UNIT))
+    placed = graph.objects.where("kind = 'NODE' and type = 'customer'").select(parent.alias("parent_id"), F.col("object_id").alias("child_id"))
+    return guards.placement_faults(placed, graph.objects)
+
+
+@query("guard_removal", "select 'group' as fault, count(distinct c_mktsegment) as n from customer having n > 0")
+def guard_removal(spark, d):
+    graph = with_segments(spark, d)
+    return guards.removal_faults(matched_ids(graph, "node[segment]"), graph.objects).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("placement_faults_found", f"""select 'two parents' as fault, {C} as object_id from customer where c_custkey % 7 = 0 union all select 'two axes', 2000000000003
+  union all select 'cycle', 2000000000002 union all select 'cycle', 1000000000000 + n_regionkey from nation where n_nationkey = 2""")
+def placement_faults_found(spark, d):
+    graph = tpch.bind(spark, d)
+    row = lambda axis, parent, child: F.struct(F.lit(axis).alias("axis"), parent.alias("parent_id"), child.alias("child_id"))
+    key = F.col("child_id") % tpch.UNIT
+    nation = lambda n: F.lit(2 * tpch.UNIT) + n
+    customer = F.col("child_id").between(3 * tpch.UNIT, 4 * tpch.UNIT - 1)
+    again = F.when(customer & (key % 7 == 0), row("placement", nation((F.col("parent_id") + 1) % 25), F.col("child_id")))
+    round_ = F.when(F.col("child_id") == nation(2), row("placement", F.col("child_id"), F.col("parent_id")))
+    other = F.when(F.col("child_id") == nation(3), row("other", F.col("child_id"), F.lit(5 * tpch.UNIT + 1)))
+    more = graph.contain.where("axis = 'placement'").select(F.explode(F.filter(F.array(again, round_, other), lambda x: x.isNotNull())).alias("_r")).select("_r.*")
+    return placement.faults(graph.with_(contain=graph.contain.unionByName(more), levels={}, holders={}))
+
+
+@query("identity_faults_found", "select 'twin' as external_id, count(*) as n from customer where c_custkey % 50 = 0 having n > 1 union all select ' ', count(*) from supplier where s_suppkey % 5 = 0 having count(*) > 0")
+def identity_faults_found(spark, d):
+    objects = tpch.bind(spark, d).objects
+    key, of = F.col("object_id") % tpch.UNIT, lambda t: (F.col("kind") == "NODE") & (F.col("type") == t)
+    named = F.when(of("customer") & (key % 50 == 0), "twin").when(of("supplier") & (key % 5 == 0), " ").otherwise(F.col("external_id"))
+    return mutations.identity_faults(objects.withColumn("external_id", named))
+
+
+@query("demand_interests", f"select {C} as object_id, case when c_acctbal > 9000 or c_mktsegment = 'BUILDING' then 2 else 0 end as level from customer")
+def demand_interests(spark, d):
+    """Client b is forgotten, c changes twice, and d comes."""
+    nodes = tpch.bind(spark, d).objects.where("kind = 'NODE' and type = 'customer'")
+    changes = spark.createDataFrame([("b", None, 2), ("c", 2, 1), ("c", 0, 3), ("d", 0, 1)], "client string, base int, seq long")
+    wish = lambda rows, client, seq: rows.select(F.lit(client).alias("client"), "object_id", F.lit(2).alias("level"), F.lit(seq).cast("long").alias("seq"))
+    given = wish(nodes.where("segment = 'BUILDING'"), "c", 3).unionAll(wish(nodes.where("acctbal < 0"), "c", 1)).unionAll(wish(nodes, "b", 2))
+    return demand.levels(nodes, *demand.set_interests(clients(spark), overrides(spark, d), changes, given))
+
+
 #: The flagship: the minimum that needs the parser, the planner, placement and pruning.
 FLAGSHIP = "sel_under"

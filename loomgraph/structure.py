@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.joins import drop
 from .model import CONTAIN, OBJECT, PROPERTY, Graph, graph_of
-from .operators import folds, groupings, links, mutations, placement, views
+from .operators import derived, folds, groupings, guards, links, mutations, placement, views
 from .operators.select import matched_ids
 from .plans.path import Path
 from .streaming.delivery import View
@@ -115,6 +115,7 @@ class Structure:
         self.declarations = spark.createDataFrame([], DECLARE).drop("seq")
         self.routes: set[tuple[str, str]] = set()
         self.groupings: dict[str, tuple] = {}
+        self.rules: tuple[derived.Rule, ...] = ()
         self.views: dict[str, View] = {}
 
     def run(self, task: Callable[[Task], object], source_id: int = NO_SOURCE):
@@ -138,13 +139,12 @@ class Structure:
             declarations = declarations.join(last.select("port_id"), "port_id", "left_anti").unionByName(last.where(F.size("addresses") > 0))
         if own.removed:
             gone = frame(own.removed, "object_id long")
-            if own.removed and drop(gone, self.graph().objects.where("not coalesce(derived, false)").select("object_id"), "object_id").join(self.graph().objects.where("derived"), "object_id").count():
-                raise Refused("a derived link cannot be removed")
+            self._refuse(guards.removal_faults(gone, self.graph().objects), "what the graph itself made cannot be removed")
             closed = mutations.closure(base.objects, gone)
             base = mutations.remove(base, gone)
             declarations = drop(declarations, closed, "port_id", distinct=False)
         base = base.with_(objects=self._settled(base.objects), contain=self._settled(base.contain), properties=self._settled(base.properties))
-        self._check(base)
+        self._check(base, own)
         self.base, self.declarations, self.next = base, self._settled(declarations), own.next
         return result
 
@@ -154,11 +154,34 @@ class Structure:
             return frame
         return frame.checkpoint()
 
-    def _check(self, base: Graph) -> None:
-        for found, what in ((mutations.identity_faults(base.objects), "external ids are used twice"), (placement.faults(base), "containment is not a forest on each axis")):
-            rows = found.limit(5).collect()
-            if rows:
-                raise Refused(f"{what}: {', '.join(map(str, rows))}")
+    @staticmethod
+    def _refuse(found: DataFrame, what: str) -> None:
+        rows = found.limit(5).collect()
+        if rows:
+            raise Refused(f"{what}: {', '.join(map(str, rows))}")
+
+    def _check(self, base: Graph, own: Task) -> None:
+        """Of the kinds of things that were written, the written rows only are held against the graph."""
+        frame = lambda rows, schema: self.spark.createDataFrame(rows, schema)
+        kinds = {o[1] for o in own.objects}
+        made = frame(own.objects, OBJECT)
+        if "LINK" in kinds:
+            self._refuse(guards.link_faults(made.where("kind = 'LINK'"), base.objects), "a link leads from an output to an input")
+        if kinds & {"INPUT", "OUTPUT"}:
+            self._refuse(guards.port_faults(made.where("kind <> 'LINK' and kind <> 'NODE'"), base.objects), "a port is on a node")
+        if own.objects:
+            self._refuse(mutations.identity_faults(base.objects), "external ids are used twice")
+            if self.groupings:
+                self._refuse(guards.name_faults(made, list(self.groupings)), "a grouping has this name")
+        if own.placed:
+            nodes = self.graph().objects if self.groupings else base.objects
+            self._refuse(guards.placement_faults(frame(own.placed, CONTAIN), base.objects.select("object_id", "kind").union(nodes.select("object_id", "kind")).distinct()), "nodes contain nodes")
+            self._refuse(placement.faults(base), "containment is not a forest on each axis")
+        if own.values:
+            now = self.graph() if self.groupings or self.rules else base
+            # What the same task made counts, and what it removed was there to be written.
+            there = now.objects.select("object_id", "kind").union(base.objects.select("object_id", "kind")).union(self.base.objects.select("object_id", "kind")).distinct()
+            self._refuse(guards.write_faults(frame(own.values, PROPERTY + ", seq long"), there, now.properties), "this cannot be written")
 
     def allow_route(self, requiring: str, providing: str) -> None:
         self.routes.add((requiring, providing))
@@ -167,7 +190,7 @@ class Structure:
         self.routes.discard((requiring, providing))
 
     def graph(self) -> Graph:
-        """The graph with what follows from declarations: derived links, addresses of ports, counts of links, axes."""
+        """The graph with what follows from declarations: derived links, addresses of ports, counts of links, axes, nodes of groups, derived properties."""
         base = self.base
         ports = base.objects.where(F.col("kind").isin("INPUT", "OUTPUT"))
         declared = links.declare(ports, self.declarations)
@@ -175,14 +198,17 @@ class Structure:
         drawn = links.draw(declared, routes)
         # High ids that depend on what the link joins only.
         made = F.shiftrightunsigned(F.xxhash64("from_id", "to_id", "name"), 2).bitwiseOR(F.lit(1 << 62)).alias("object_id")
-        derived = drawn.select(made, F.lit("LINK").alias("kind"), "name", "type", "from_id", "to_id", F.lit(True).alias("derived"))
+        drawn_links = drawn.select(made, F.lit("LINK").alias("kind"), "name", "type", "from_id", "to_id", F.lit(True).alias("derived"))
         counts = links.link_counts(ports, base.objects.where("kind = 'LINK'").select("from_id", "to_id").unionAll(drawn.select("from_id", "to_id"))).select(F.col("port_id").alias("_port"), F.col("links").alias("_links"))
         own = self.declarations.select(F.col("port_id").alias("_declared"), F.col("role").alias("_role"), F.col("domain").alias("_domain"), F.array_sort(F.array_distinct("addresses")).alias("_address"))
         axes = base.contain.select(F.col("parent_id").alias("_holder"), F.col("axis").alias("_axis")).distinct()
         objects = base.objects.join(counts, F.col("object_id") == F.col("_port"), "left").join(own, F.col("object_id") == F.col("_declared"), "left").join(axes, F.col("object_id") == F.col("_holder"), "left")
         filled = {"links": F.col("_links"), "role": F.coalesce("_role", "role"), "domain": F.coalesce("_domain", "domain"), "address": F.coalesce("_address", "address"), "axis": F.coalesce("_axis", "axis")}
-        objects = objects.withColumns(filled).select(*base.objects.columns).unionByName(derived, allowMissingColumns=True)
-        return base.with_(objects=objects, declared=declared, routes=routes)
+        objects = objects.withColumns(filled).select(*base.objects.columns).unionByName(drawn_links, allowMissingColumns=True)
+        graph = base.with_(objects=objects, declared=declared, routes=routes)
+        for name, (type, selector, by, over) in self.groupings.items():
+            graph = groupings.as_nodes(graph, name, type, selector, by, over)
+        return derived.derive(graph, self.rules) if self.rules else graph
 
     def matched_object_ids(self, selector: str) -> DataFrame:
         return matched_ids(self.graph(), selector)
@@ -226,6 +252,7 @@ class Structure:
             raise Refused(f"a grouping cannot be called {name!r}")
         for path in by:
             groupings.KeyPath(path)
+        self._refuse(guards.name_faults(self.base.objects, [name]), f"an external id lies under {name!r}")
         self.groupings[name] = (type, selector, tuple(by), tuple(over))
 
     def groups(self, name: str) -> DataFrame:
@@ -236,6 +263,18 @@ class Structure:
     def remove_grouping(self, name: str) -> None:
         self.groupings.pop(name, None)
 
+    def derive(self, rule: derived.Rule) -> None:
+        """Declare a derived property; what is declared already, and what is not allowed, changes nothing."""
+        if rule in self.rules:
+            return
+        before = self.rules
+        self.rules = (*before, rule)
+        try:
+            self.graph()
+        except ValueError as e:
+            self.rules = before
+            raise Refused(str(e)) from e
+
     def fold_children(self, key: str, fold: str, axis: str, child_type: str | None = None) -> DataFrame:
         """Fold of a loose property over the children of each node."""
         graph = self.graph()

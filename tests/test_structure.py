@@ -43,4 +43,7 @@ def test_a_graph_in_tasks(spark):
     assert s.snapshot_object(billing)["rate"] == "5"
 
     s.run(lambda t: t.remove(billing))
+    # The node of the group that is left is an object like any other, until the grouping goes.
+    assert [r.external_id for r in s.groups("rates").collect()] == ["rates:2.5"] and len(ids(s.matched_object_ids("node[$type=band]"))) == 1
+    s.remove_grouping("rates")
     assert ids(s.matched_object_ids("")) == sorted([query, region, into])
