@@ -11,11 +11,17 @@ An object stays as long as some alive entry reaches it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import keep
+from ..functions.lineage import cut
+from ..model import PROPERTY, Graph
+from . import mutations
+
 OFF, COARSE, FINE = 0, 1, 2
 WRITE = (
     "source_id int, external_id string, ord int, op string, object string, other string, name string, type string, "
@@ -77,6 +83,13 @@ class Emit:
         field = {"LONG": "l", "DOUBLE": "d", "BOOLEAN": "b", "TEXT": "t"}.get(kind)
         self._add("SET", object, key=key, vtype=kind, **({field: value} if field else {}))
 
+    def remove_property(self, object: str, key: str) -> None:
+        self.set(object, key, None)
+
+    def remove(self, object: str) -> None:
+        """Remove an object with its ports and links, whoever made it; nothing where there is none."""
+        self._add("REMOVE", object)
+
 
 def materialize(entries: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
     """Writes of all entries (source_id, external_id, .., and a ``level`` if demand is known)."""
@@ -139,3 +152,73 @@ def released(before: DataFrame, after: DataFrame) -> DataFrame:
     held = before.join(failed, (F.col("source_id") == F.col("_s")) & (F.col("external_id") == F.col("_e")), "left_semi")
     gone = objects(before).join(kept, F.col("object") == F.col("_now"), "left_anti")
     return gone.join(objects(held).select(F.col("object").alias("_held")), F.col("object") == F.col("_held"), "left_anti").select("object")
+
+
+def conflicts(graph: Graph, writes: DataFrame) -> DataFrame:
+    """(source_id, external_id, error) of entries whose writes the graph does not allow.
+
+    An external id that the graph has names that object, of that kind; one that
+    is new gets the kind that the least entry gives it. An entry fails that
+    asks for another kind, for a node of a group, or writes to what neither
+    the graph has nor any entry makes.
+    """
+    made = writes.where("op in ('NODE', 'INPUT', 'OUTPUT')")
+    order = F.struct("source_id", "external_id", "ord")
+    new = made.groupBy(F.col("object").alias("_ext")).agg(F.min_by("op", order).alias("_new"))
+    there = graph.objects.where("external_id is not null").select(F.col("external_id").alias("_ext"), F.col("kind").alias("_old"), F.coalesce("derived", F.lit(False)).alias("_group"))
+    asked = writes.where("op not in ('ERROR', 'REMOVE')")
+    item = lambda name, want: F.struct(F.col(name).alias("name"), want.alias("want"))
+    own = F.when(F.col("op").isin("NODE", "INPUT", "OUTPUT"), F.col("op")).when(F.col("op") == "CONTAIN", "NODE").when(F.col("op") == "DECLARE", "PORT")
+    names = asked.select("source_id", "external_id", F.explode(F.array(item("object", own), item("other", F.lit("NODE")))).alias("_n")).select("source_id", "external_id", "_n.*").where("name is not null").distinct()
+    # Only the objects that are named are looked at further.
+    wanted = cut(names.select(F.col("name").alias("_ext")).distinct())
+    known = wanted.join(there, "_ext", "left").join(new, "_ext", "left").select("_ext", F.coalesce("_old", "_new").alias("_kind"), F.coalesce("_group", F.lit(False)).alias("_group"))
+    joined = names.join(known, F.col("name") == F.col("_ext"))
+    fits = F.col("want").isNull() | (F.col("want") == F.col("_kind")) | ((F.col("want") == "PORT") & F.col("_kind").isin("INPUT", "OUTPUT"))
+    error = F.when(F.col("_kind").isNull(), F.concat(F.lit("no such object: "), "name")).when(F.col("_group"), F.concat(F.lit("a group's node: "), "name")).when(~fits, F.concat(F.lit("another kind: "), "name"))
+    found = joined.select("source_id", "external_id", error.alias("error")).where("error is not null")
+    return found.groupBy("source_id", "external_id").agg(F.min("error").alias("error"))
+
+
+def allowed(graph: Graph, writes: DataFrame) -> DataFrame:
+    """The writes, where an entry with conflicts has a row with its error and none of its writes."""
+    failed = cut(conflicts(graph, writes))
+    ids = failed.select(F.col("source_id").alias("_s"), F.col("external_id").alias("_e"))
+    kept = writes.join(ids, (F.col("source_id") == F.col("_s")) & (F.col("external_id") == F.col("_e")), "left_anti")
+    told = failed.select("source_id", "external_id", F.lit(0).alias("ord"), F.lit("ERROR").alias("op"), "error")
+    return kept.unionByName(told, allowMissingColumns=True)
+
+
+def applied(graph: Graph, writes: DataFrame, gone: DataFrame | None = None) -> Graph:
+    """The graph with allowed writes; ``gone`` (object) has the external ids that were ``released``.
+
+    Objects are got by external id or created; the id of a new one follows from
+    its external id. Of several writes to one thing the greatest (source,
+    entry, position) counts; removals come last.
+    """
+    writes = cut(writes.where("op <> 'ERROR'"))
+    made = objects(writes)
+    removed = writes.where("op = 'REMOVE'").select("object")
+    removed = (removed if gone is None else removed.unionAll(gone.select("object"))).distinct()
+    names = reduce(DataFrame.union, [writes.select("object"), writes.select("other").where("other is not null"), removed]).distinct()
+    there = graph.objects.where("external_id is not null").select(F.col("external_id").alias("_there"), F.col("object_id").alias("_id"), F.col("kind").alias("_kind"), F.col("type").alias("_type"))
+    fresh = F.shiftrightunsigned(F.xxhash64("object"), 4).bitwiseOR(F.lit(1 << 60))
+    ids = names.join(there, F.col("object") == F.col("_there"), "left").join(made.drop("claims").withColumnRenamed("object", "_made"), F.col("object") == F.col("_made"), "left")
+    ids = cut(ids.select(F.col("object").alias("_name"), F.coalesce("_id", fresh).alias("_object_id"), F.col("_id").isNull().alias("_new"), F.coalesce("_kind", "kind").alias("_kind"), F.coalesce("_type", "type").alias("_type"), "name", "node").where("_kind is not null"))
+    of = lambda frame, column, to: frame.join(ids.select(F.col("_name").alias("_n"), F.col("_object_id").alias(to)), F.col(column) == F.col("_n")).drop("_n")
+    create = ids.where("_new")
+    nodes = ids.select(F.col("_name").alias("_node"), F.col("_object_id").alias("node_id"))
+    created = create.join(nodes, F.col("node") == F.col("_node"), "left").select(F.col("_object_id").alias("object_id"), F.col("_kind").alias("kind"), "name", F.col("_type").alias("type"), F.col("_name").alias("external_id"), "node_id")
+    placed = of(of(containment(writes), "child", "child_id"), "parent", "parent_id").select("axis", "parent_id", "child_id")
+    sets = of(writes.where("op = 'SET'"), "object", "object_id").select("object_id", "key", "vtype", "l", "d", "b", "t", F.col("source_id").cast("int").alias("source_id"), F.struct("source_id", "external_id", "ord").alias("seq"))
+    properties = graph.properties if graph.properties is not None else graph.spark.createDataFrame([], PROPERTY)
+    last = F.max_by(F.struct("role", "domain", "addresses"), F.struct("source_id", "external_id", "ord"))
+    said = writes.where("op = 'DECLARE'").groupBy("object").agg(last.alias("v")).join(ids, F.col("object") == F.col("_name"))
+    said = cut(said.select(F.col("_object_id").alias("port_id"), F.col("_kind").alias("kind"), F.col("_type").alias("type"), F.col("v.role").alias("role"), F.col("v.domain").alias("domain"), F.array_distinct("v.addresses").alias("addresses")))
+    declared = said.select("port_id", "kind", "type", "role", "domain", F.explode("addresses").alias("address"))
+    if graph.declared is not None:
+        declared = graph.declared.select("port_id", "kind", "type", "role", "domain", "address").join(said.select("port_id"), "port_id", "left_anti").unionByName(declared)
+    after = graph.with_(
+        objects=graph.objects.unionByName(created, allowMissingColumns=True), contain=mutations.move(graph.contain, placed), properties=mutations.apply(properties, sets), declared=declared, levels={}, holders={}
+    )
+    return mutations.remove(after, keep(ids, removed, "_name", distinct=False).select(F.col("_object_id").alias("object_id")))

@@ -518,6 +518,55 @@ def assembly_rejected(spark, d):
     return assembly.rejected(user_writes(spark, d))
 
 
+def owner(row: dict, emit: assembly.Emit) -> None:
+    """What a customer's user was last seen doing, at the customer and in an account of its own; every ninth asks for a port as a node."""
+    key = row["external_id"].removeprefix("user:")
+    known = emit.node(f"customer:{key}", f"customer {key}", "customer")
+    account = emit.node(f"account:{key}", key, "account")
+    emit.contain(known, account, "accounts")
+    emit.set(known, "seen", row["version"])
+    if int(key) % 9 == 4:
+        emit.node("supplier:1>out", "out", "supply")
+    if int(key) % 9 == 5:
+        emit.remove(account)
+
+
+def with_owners(spark, d):
+    graph = tpch.bind(spark, d)
+    writes = assembly.allowed(graph, assembly.materialize(feed.alive(tpch.words(spark, d)), owner))
+    return assembly.applied(graph, writes)
+
+
+SEEN = f"with {WORDS}, {ALIVE}, g as (select *, substr(external_id, 6)::bigint as k from a where substr(external_id, 6)::bigint % 9 <> 4)"
+
+
+@query("assembly_applied", SEEN + " select 'customer:' || k as external_id, k in (select c_custkey from customer) as known, version as seen from g")
+def assembly_applied(spark, d):
+    graph = with_owners(spark, d)
+    own = matched(graph, "node[$type=customer][seen]").select("object_id", "external_id", (F.col("object_id") < 4 * tpch.UNIT).alias("known"))
+    seen = graph.properties.where("key = 'seen'").select("object_id", F.col("t").alias("seen"))
+    return own.join(seen, "object_id").select("external_id", "known", "seen")
+
+
+@query("assembly_applied_under", SEEN + " select 'account:' || k as external_id from g where k % 9 <> 5 and k in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def assembly_applied_under(spark, d):
+    graph = with_owners(spark, d)
+    path = groupings.with_paths(graph, matched(graph, "node[$type=account]"), ["parent(accounts).segment"])
+    return path[0].where(path[1]["parent(accounts).segment"].text == "BUILDING").select("external_id")
+
+
+@query("assembly_conflicts", f"with {WORDS}, {ALIVE} select source_id, external_id, 'another kind: supplier:1>out' as error from a where substr(external_id, 6)::bigint % 9 = 4")
+def assembly_conflicts(spark, d):
+    return assembly.conflicts(tpch.bind(spark, d), assembly.materialize(feed.alive(tpch.words(spark, d)), owner))
+
+
+@query("assembly_released", f"with {WORDS}, {ALIVE} select distinct external_id as object from w where word = 'OBSERVED' and external_id not like '%9' and external_id not in (select external_id from a) union all select distinct 'scope:' || scope from w where word = 'OBSERVED' and external_id not like '%9' and scope not in (select scope from a where external_id not like '%9')")
+def assembly_released(spark, d):
+    words = tpch.words(spark, d)
+    once = words.where("word = 'OBSERVED'").select("source_id", "external_id", "scope").distinct().withColumn("version", F.lit("v"))
+    return assembly.released(assembly.materialize(once, user), user_writes(spark, d))
+
+
 def clients(spark):
     return spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "client string, base int")
 
