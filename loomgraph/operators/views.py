@@ -106,7 +106,12 @@ def delta(before: Graph, after: Graph, selector: str, keys: Sequence[str] | None
 
 def touched(graph: Graph, object_id: int) -> DataFrame:
     """Records that state all properties of one object again."""
-    return _record(entries(graph, graph.one(object_id)), "PROPERTY_CHANGED")
+    return stated(graph, graph.one(object_id))
+
+
+def stated(graph: Graph, objects: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Records that state the properties of objects."""
+    return _record(entries(graph, objects, keys), "PROPERTY_CHANGED")
 
 
 def replica(records: DataFrame) -> DataFrame:

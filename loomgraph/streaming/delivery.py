@@ -11,12 +11,22 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..operators import mutations, views
 
 MOST_FAILURES = 3
+#: Parts of a graph that batches may change.
+PARTS = ("objects", "contain", "properties", "declared", "routes")
+STATE = "batch long, seq long, " + ", ".join(f"{p} long" for p in PARTS)
+
+
+def written(graph: Graph, writes: DataFrame) -> Graph:
+    """The step for writes to loose properties (object_id, key, vtype, l, d, b, t, source_id, seq)."""
+    return graph.with_(properties=mutations.apply(graph.properties, writes))
 
 
 @dataclass
@@ -29,7 +39,10 @@ class Subscription:
 
 @dataclass
 class View:
-    """A view over loose properties that a stream writes; everything else in ``graph`` stays."""
+    """A view over a graph that a stream changes, by ``step(graph, batch)``; parts that a step leaves alone are not written.
+
+    Steps for what feeds emit: ``lambda graph, rows: applied(graph, allowed(graph, rows))`` of ``operators.assembly``.
+    """
 
     graph: Graph
     selector: str
@@ -38,6 +51,21 @@ class View:
     seq: int = 0
     subscriptions: list[Subscription] = field(default_factory=list)
     batch: int = -1
+    step: Callable[[Graph, DataFrame], Graph] = written
+    parts: dict[str, int] = field(default_factory=dict)
+    stream: tuple | None = None
+    running: object = None
+
+    def __post_init__(self) -> None:
+        """Go on from the last batch in the folder, if there is one."""
+        try:
+            last = self.graph.spark.read.schema(STATE).parquet(f"{self.folder}/state").orderBy(F.desc("batch")).first()
+        except AnalysisException:  # no batch yet
+            return
+        if last is not None:
+            self.batch, self.seq = last.batch, last.seq
+            self.parts = {p: last[p] for p in PARTS if last[p] is not None}
+            self.graph = self._read(self.graph, self.parts)
 
     def subscribe(self, on_batch, on_error=lambda e: None) -> Callable[[], None]:
         own = Subscription(on_batch, on_error)
@@ -46,7 +74,8 @@ class View:
         return lambda: self.subscriptions.remove(own) if own in self.subscriptions else None
 
     def snapshot(self, on_batch) -> None:
-        """The view as it is, to one receiver only."""
+        """The view as it is, to one receiver only; what the stream has goes to all before."""
+        self.flush()
         on_batch(views.snapshot(self._now(), self.selector, self.keys), self.seq, True)
 
     def select(self, selector: str, keys: Sequence[str] | None = None) -> None:
@@ -56,28 +85,68 @@ class View:
         for s in list(self.subscriptions):
             self._deliver(s, views.snapshot(self._now(), selector, keys), True)
 
-    def apply(self, writes: DataFrame, batch_id: int) -> None:
-        """Take one batch of writes (object_id, key, vtype, l, d, b, t, source_id, seq)."""
+    def apply(self, rows: DataFrame, batch_id: int) -> None:
+        """Take one batch of the stream; one that was taken already changes nothing."""
+        if batch_id <= self.batch:
+            return
         before = self._now()
-        path = f"{self.folder}/{batch_id}"
-        mutations.apply(before.properties, writes).write.mode("overwrite").parquet(path)
-        after = before.with_(properties=self.graph.spark.read.parquet(path))
+        stepped = self.step(before, rows)
+        changed = [p for p in PARTS if getattr(stepped, p) is not getattr(before, p)]
+        for p in changed:
+            getattr(stepped, p).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/{p}")
+        after = self._read(stepped, dict.fromkeys(changed, batch_id))
         records = views.delta(before, after, self.selector, self.keys).persist()
         try:
-            self.batch, self.graph = batch_id, after
-            if not records.isEmpty():
-                self.seq += 1
+            said = not records.isEmpty()
+            parts, seq = self.parts | dict.fromkeys(changed, batch_id), self.seq + said
+            state = [(batch_id, seq, *(parts.get(p) for p in PARTS))]
+            self.graph.spark.createDataFrame(state, STATE).coalesce(1).write.mode("append").parquet(f"{self.folder}/state")
+            self.batch, self.seq, self.parts, self.graph = batch_id, seq, parts, after
+            if said:
                 for s in list(self.subscriptions):
                     self._deliver(s, records, False)
         finally:
             records.unpersist()
 
-    def start(self, writes: DataFrame, checkpoint: str, interval: str | None = None):
-        """Follow a stream of writes; ``interval`` is the least time between batches, none for on change."""
-        sink = writes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
-        return (sink.trigger(processingTime=interval) if interval else sink).start()
+    def _read(self, graph: Graph, parts: dict[str, int]) -> Graph:
+        if not parts:
+            return graph
+        placed = {"levels": {}, "holders": {}} if parts.keys() & {"objects", "contain"} else {}
+        return graph.with_(**{p: graph.spark.read.parquet(f"{self.folder}/{n}/{p}") for p, n in parts.items()}, **placed)
+
+    def touch(self, object_id: int) -> None:
+        """State all properties of an object again, where the view holds it."""
+        now = self._now()
+        own = views.members(now, self.selector).where(F.col("object_id") == object_id)
+        if own.isEmpty():
+            return
+        records = views.stated(now, own, self.keys)
+        self.seq += 1
+        for s in list(self.subscriptions):
+            self._deliver(s, records, False)
+
+    def start(self, rows: DataFrame, checkpoint: str, interval: str | None = None):
+        """Follow a stream; ``interval`` is the least time between batches, none for on change."""
+        sink = rows.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
+        self.stream = (rows, checkpoint)
+        self.running = (sink.trigger(processingTime=interval) if interval else sink).start()
+        return self.running
+
+    def deliver(self, interval: str | None):
+        """Another least time between batches, from the next batch on."""
+        if self.running is None:
+            raise ValueError("the view follows no stream")
+        self.running.stop()
+        return self.start(*self.stream, interval)
+
+    def flush(self) -> None:
+        """Take and deliver now what the stream has."""
+        if self.running is not None:
+            self.running.processAllAvailable()
 
     def close(self) -> None:
+        if self.running is not None:
+            self.running.stop()
         for s in self.subscriptions:
             s.on_error(RuntimeError("the view was removed"))
         self.subscriptions.clear()

@@ -289,6 +289,11 @@ class Structure:
         self.views[name] = View(self.graph(), selector, folder, keys)
         return self.views[name]
 
+    def flush_all(self) -> None:
+        """Deliver now what the streams of all views have."""
+        for view in self.views.values():
+            view.flush()
+
     def view_ids(self) -> list[str]:
         return sorted(self.views)
 
