@@ -254,7 +254,8 @@ OP7_SQL = r"""
 with n as (
   select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as plain from documents
 ), r as (
-  select *, first_value(doc_id) over (partition by plain order by chars desc, doc_id) as keep_id, count(*) over (partition by plain) as group_size from n
+  select *, first_value(doc_id) over w as keep_id, count(*) over (partition by plain) as group_size, row_number() over w as place from n
+  window w as (partition by plain order by chars desc, doc_id)
 )
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(plain) as text_sha256 from r
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(plain) as text_sha256 from r
 """
