@@ -412,6 +412,16 @@ def view_frames(spark, d):
     return frames.frames(views.snapshot(tpch.bind(spark, d), "node[$type=region], node[$type=nation]"), "places", 0, True)
 
 
+@query("view_frame_changes", """with o as (select 1000000000000 + r_regionkey as id, r_name as name, 'region' as type, 'region:' || r_regionkey as ext from region union all select 2000000000000 + n_nationkey, n_name, 'nation', 'nation:' || n_nationkey from nation)
+  select '+' as change, id as object_id, 'NODE' as first, null::varchar as second from o union all select 'c', 2000000000000 + n_nationkey, (1000000000000 + n_regionkey)::varchar, null from nation
+  union all select 'p', id, unnest(['$name', '$type', '$externalId', '$axis']), unnest([name, type, ext, 'placement']) from o""")
+def view_frame_changes(spark, d):
+    """The frames read again, as a client would."""
+    read = F.from_json("frame", "changes array<array<string>>")["changes"]
+    each = view_frames(spark, d).select(F.explode(read).alias("c"))
+    return each.select(F.col("c")[0].alias("change"), F.col("c")[1].cast("long").alias("object_id"), F.get("c", F.lit(2)).alias("first"), F.get("c", F.lit(3)).alias("second"))
+
+
 @query("query_properties", f"select {P} as object_id, unnest(['$id', '$name', '$type', '$externalId', 'brand', 'size', 'price']) as key, unnest([({P})::varchar, p_name, 'part', 'part:' || p_partkey, p_brand, p_size::varchar, p_retailprice::varchar]) as value from part where p_size = 7")
 def query_properties(spark, d):
     rows = views.query(tpch.bind(spark, d), "node[size=7]")

@@ -40,6 +40,7 @@ class Task:
         self.declared: list[tuple] = []
         self.values: list[tuple] = []
         self.removed: list[tuple] = []
+        self.moved: list[tuple] = []
         self.externals: dict[int, str | None] = {}
 
     def _add(self, kind: str, name: str, type: str, external_id=None, node_id=None, from_id=None, to_id=None) -> int:
@@ -70,6 +71,10 @@ class Task:
     def create_link(self, output: int, input: int, name: str, type: str) -> int:
         return self._add("LINK", name, type, from_id=output, to_id=input)
 
+    def retarget_link(self, link: int, output: int | None = None, input: int | None = None) -> None:
+        """Other ends for a link; an end that is not said stays."""
+        self.moved.append((link, output, input))
+
     def contain(self, parent: int, child: int, axis: str) -> None:
         self.placed.append((axis, parent, child))
 
@@ -126,6 +131,11 @@ class Structure:
         base, declarations = self.base, self.declarations
         if own.objects:
             base = base.with_(objects=base.objects.unionByName(frame(own.objects, OBJECT), allowMissingColumns=True))
+        if own.moved:
+            moves = frame(own.moved, "link_id long, from_id long, to_id long")
+            known = self.graph().objects.where("kind = 'LINK' and not coalesce(derived, false)").select("object_id").unionAll(base.objects.where("kind = 'LINK'").select("object_id"))
+            self._refuse(drop(moves, known, "link_id"), "only links that were written can be moved")
+            base = base.with_(objects=mutations.retarget(base.objects, moves))
         if own.taken:
             gone = frame(own.taken, "parent_id long, child_id long")
             base = base.with_(contain=base.contain.join(gone, ["parent_id", "child_id"], "left_anti").select("axis", "parent_id", "child_id"))
@@ -165,8 +175,12 @@ class Structure:
         frame = lambda rows, schema: self.spark.createDataFrame(rows, schema)
         kinds = {o[1] for o in own.objects}
         made = frame(own.objects, OBJECT)
-        if "LINK" in kinds:
-            self._refuse(guards.link_faults(made.where("kind = 'LINK'"), base.objects), "a link leads from an output to an input")
+        if "LINK" in kinds or own.moved:
+            written = made.where("kind = 'LINK'").select("object_id", "from_id", "to_id")
+            if own.moved:
+                moved = frame([(m[0],) for m in own.moved], "object_id long")
+                written = written.unionAll(base.objects.where("kind = 'LINK'").select("object_id", "from_id", "to_id").join(moved, "object_id", "left_semi"))
+            self._refuse(guards.link_faults(written, base.objects), "a link leads from an output to an input")
         if kinds & {"INPUT", "OUTPUT"}:
             self._refuse(guards.port_faults(made.where("kind <> 'LINK' and kind <> 'NODE'"), base.objects), "a port is on a node")
         if own.objects:
@@ -234,16 +248,27 @@ class Structure:
         row = placement.path_of(self.base, axis).where(F.col("object_id") == object_id).first()
         return row and row.path
 
+    def require(self, object_id: int, *kinds: str) -> None:
+        """KeyError for an id of nothing, Refused for an object of another kind."""
+        row = self.graph().one(object_id).select("kind").first()
+        if row is None:
+            raise KeyError(object_id)
+        if row.kind not in kinds:
+            raise Refused(f"{object_id} is {row.kind}, not {' or '.join(kinds)}")
+
     def children(self, object_id: int) -> DataFrame:
+        self.require(object_id, "NODE")
         return placement.children(self.base, object_id)
 
     def parents(self, object_id: int) -> DataFrame:
         return placement.parents(self.base, object_id)
 
     def link_endpoints(self, link_id: int) -> DataFrame:
+        self.require(link_id, "LINK")
         return links.endpoints(self.graph()).where(F.col("link_id") == link_id)
 
     def node_ports(self, node_id: int, kind: str) -> DataFrame:
+        self.require(node_id, "NODE")
         return links.node_ports(self.base, node_id, kind)
 
     def group_by(self, name: str, type: str, selector: str, by: Sequence[str], over: Sequence[tuple[str, str, str]] = ()) -> None:

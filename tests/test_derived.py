@@ -112,7 +112,18 @@ def test_tasks_are_guarded(spark):
         s.run(lambda t: t.remove(group))
     with pytest.raises(Refused):
         s.run(lambda t: t.create_node("x", "y", "kinds:z"))
-    s.run(lambda t: t.create_link(out, into, "l", "pipe"))
+    link = s.run(lambda t: t.create_link(out, into, "l", "pipe"))
+    other = s.run(lambda t: t.add_input(b, "back", "water"))
+    s.run(lambda t: t.retarget_link(link, input=other))
+    assert [(r.from_port, r.to_port) for r in s.link_endpoints(link).select("from_port", "to_port").collect()] == [(out, other)]
+    for wrong in (lambda t: t.retarget_link(link, input=out), lambda t: t.retarget_link(a, input=other), lambda t: t.retarget_link(999, input=other)):
+        with pytest.raises(Refused):
+            s.run(wrong)
+    assert {r.object_id for r in s.children(hall).collect()} == {a, b} and s.node_ports(b, "INPUT").count() == 1
+    with pytest.raises(Refused):
+        s.children(out)
+    with pytest.raises(KeyError):
+        s.link_endpoints(999)
     s.run(lambda t: t.set(b, "flow", 5))
     assert [r.object_id for r in s.matched_object_ids("node[flow=8]").collect()] == [hall]
 
