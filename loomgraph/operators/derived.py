@@ -114,9 +114,8 @@ def tallies(graph: Graph, declared: DataFrame, keys: Sequence[str]) -> DataFrame
             raise ValueError("derived properties depend on each other in a circle")
         read = values.select(F.col("object_id").alias("leaf"), F.col("key").alias("leaf_key"), "l", "d")
         rows = summed.join(ready, ["root", "root_key"], "left_semi").join(read, ["leaf", "leaf_key"], "left")
-        parts = [rows.where(F.col("fold") == f).groupBy(F.col("root").alias("object_id"), F.col("root_key").alias("key")).agg(*folds.folded(f)) for f in folds.FOLDS]
         # What has no children is told too: nothing of nothing is known.
-        found = ready.select(F.col("root").alias("object_id"), F.col("root_key").alias("key")).join(reduce(DataFrame.unionAll, parts), ["object_id", "key"], "left")
+        found = ready.select(F.col("root").alias("object_id"), F.col("root_key").alias("key")).join(folds.by_fold(rows), ["object_id", "key"], "left")
         found = cut(found.fillna(0, ["known", "total"]))
         out = found if out is None else out.unionAll(found)
         values = values.unionByName(named(found, declared).select("object_id", "key", "l", "d"))

@@ -8,6 +8,7 @@ numbers is a whole number and wraps; one known double makes it a double.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,11 +127,15 @@ def nested(derivations: DataFrame, contain: DataFrame, objects: DataFrame, value
     """
     read = values.select(F.col("object_id").alias("_v"), F.col("key").alias("_k"), "l", "d")
     joined = leaves(derivations, contain, objects, levels).join(read, (F.col("leaf") == F.col("_v")) & (F.col("leaf_key") == F.col("_k")), "left")
-    out = None
-    for fold in FOLDS:
-        part = joined.where(F.col("fold") == fold).groupBy(F.col("root").alias("object_id"), F.col("root_key").alias("key")).agg(*folded(fold))
-        out = part if out is None else out.unionAll(part)
-    return out
+    return by_fold(joined)
+
+
+def by_fold(rows: DataFrame) -> DataFrame:
+    """(object_id, key, l, d, known, total) of rows (root, root_key, fold, l, d): each root by its own fold, in one aggregation."""
+    parts = [c.alias(f"{fold}_{name}") for fold in FOLDS for c, name in zip(folded(fold), ("l", "d", "known", "total"), strict=True)]
+    grouped = rows.groupBy(F.col("root").alias("object_id"), F.col("root_key").alias("key"), "fold").agg(*parts)
+    own = lambda name: reduce(lambda out, fold: out.when(F.col("fold") == fold, F.col(f"{fold}_{name}")), FOLDS, F).alias(name)
+    return grouped.select("object_id", "key", own("l"), own("d"), own("known"), own("total"))
 
 
 def faults(derivations: DataFrame, objects: DataFrame, written: DataFrame | None = None) -> DataFrame:
