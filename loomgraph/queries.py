@@ -710,7 +710,7 @@ def guard_links(spark, d):
     return guards.link_faults(links_, graph.objects)
 
 
-@query("guard_placement", f"select distinct 'parent is no node' as fault, 7000000000001 + c_custkey % 10 as object_id from customer where c_custkey % 3 = 0 union all select 'in itself', {C} from customer where c_custkey % 3 = 1")
+@query("guard_placement", f"select distinct case when 1 + c_custkey % 10 in (select s_suppkey from supplier) then 'parent is no node' else 'parent is nothing' end as fault, 7000000000001 + c_custkey % 10 as object_id from customer where c_custkey % 3 = 0 union all select 'in itself', {C} from customer where c_custkey % 3 = 1")
 def guard_placement(spark, d):
     graph = tpch.bind(spark, d)
     key = F.col("object_id") % tpch.UNIT
