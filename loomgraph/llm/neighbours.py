@@ -151,18 +151,14 @@ def blocks(rows: DataFrame, size: int, of: Learned, name: str) -> DataFrame:
     """``rows(row, id, x)`` in blocks of about ``size`` rows: (name, rows, ids, codes, x)."""
     count = max(1, -(-rows.count() // size))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            x = matrix(table.column("x").combine_chunks(), of.dim)
-            codes = encode(x, of.mean, of.turned)
-            listed = [pa.array([table.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("row", "id")]
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *listed, pa.array([codes.tobytes()]), pa.array([x.tobytes()])], [name, "rows", "ids", "codes", "x"])
-
-    return cut(rows.repartition(count, "row").mapInArrow(build, f"{name} int, rows array<long>, ids array<long>, codes binary, x binary"))
+    def build(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("x").combine_chunks(), of.dim)
+        codes = encode(x, of.mean, of.turned)
+        listed = [pa.array([table.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("row", "id")]
+        return pa.table([table.column(name).slice(0, 1), *listed, pa.array([codes.tobytes()]), pa.array([x.tobytes()])], names=[name, "rows", "ids", "codes", "x"])
+
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
+    return cut(dealt.groupBy(name).applyInArrow(build, f"{name} int, rows array<long>, ids array<long>, codes binary, x binary"))
 
 
 def ask(index: DataFrame, queries: DataFrame, radius: int, k: int, of: Learned) -> DataFrame:
