@@ -6,7 +6,8 @@ the least of every window is kept (winnowing). Hash and place go into an
 inverted index. A document is fingerprinted in the same way with the same
 windows, so any passage it shares with a template that is as long as a window
 leaves a common fingerprint. Hits of a template whose places grow in text and
-template alike are chained over gaps; each chain picks a stretch of the
+template alike are chained over gaps of up to a quarter of the template's
+words, put in or left out between two hits; each chain picks a stretch of the
 document, and a banded alignment of the whole template against the stretch
 reports what matched.
 
@@ -21,7 +22,7 @@ between; texts are scanned whole.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -36,7 +37,6 @@ from .textvec import Batch, mixed, portions, word_spans
 GRAM, WINDOW = 3, 2
 COVERAGE = 0.8
 BAND = 8
-GAP = 64  # words put in or left out between two hits of one notice, at most
 PRIME = np.uint64(0x100000001B3)
 SCHEMA = "doc_id long, license string, template int, start long, end long, matched long, template_words long, coverage double, matched_text string"
 
@@ -79,10 +79,19 @@ class Templates:
                 self.names.append(name)
                 self.numbers.append(k)
                 self.words.append(words)
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.hashes = np.array(sorted(index), np.uint64)
         self.postings = [index[int(x)] for x in self.hashes]
 
 
+def in_common(bag: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> int:
+    """Words that a template and a text have in common in any order; no alignment matches more."""
+    known, counts = bag
+    at = np.searchsorted(known, text)
+    at[at == len(known)] = 0
+    return int(np.minimum(np.bincount(at[known[at] == text], minlength=len(known)), counts).sum())
+
+
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """Longest common subsequence of the template and a stretch near ``shift``: matched words, first and last + 1.
 
@@ -115,23 +124,39 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return int(score[k]), int(first[k]), int(last[k]) + 1
 
 
-def chains(hits: list[tuple[int, int]], drift: int) -> list[list[tuple[int, int]]]:
-    """Hits (place in the text, place in the template) as chains in which both places grow.
+def chains(hits: list[tuple[int, int]], drift: int, size: int) -> list[list[tuple[int, int]]]:
+    """Hits (place in the text, place in the template) as chains in which both places grow, in the order of their first places.
 
-    A hit goes on the latest chain whose last hit lies before it in both, at a
-    shift that differs by at most ``drift``; where the template begins anew, so
-    does a chain, and a notice that stands twice gives two.
+    Each hit follows the hit before it that ends the longest chain, the nearest
+    of those as long; their shifts differ by at most ``drift``, so only hits of
+    the last ``size + drift`` places are looked at. The longest chain is taken
+    first, and others do without its hits. A notice's own words inside it are
+    chains of their own, and a notice that stands twice gives two.
     """
+    own = np.array(sorted(hits), np.int64).reshape(-1, 2)
+    place, p = own[:, 0], own[:, 1]
+    shift = place - p
+    length, before = np.ones(len(own), np.int64), np.full(len(own), -1)
+    since = np.searchsorted(place, place - size - drift)
+    upto = np.searchsorted(place, place)
+    for k in range(len(own)):
+        a, b = since[k], upto[k]
+        fits = np.flatnonzero((p[a:b] < p[k]) & (np.abs(shift[a:b] - shift[k]) <= drift))
+        if len(fits):
+            longest = length[a:b][fits]
+            at = a + fits[len(fits) - 1 - int(np.argmax(longest[::-1]))]
+            before[k], length[k] = at, length[at] + 1
+    used = np.zeros(len(own), bool)
     out: list[list[tuple[int, int]]] = []
-    for place, p in sorted(hits):
-        for chain in reversed(out[-4:]):
-            before, q = chain[-1]
-            if before < place and q < p and abs((place - p) - (before - q)) <= drift:
-                chain.append((place, p))
-                break
-        else:
-            out.append([(place, p)])
-    return out
+    for k in np.lexsort((place, -length)).tolist():
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append((int(place[k]), int(p[k])))
+            k = int(before[k])
+        if chain:
+            out.append(chain[::-1])
+    return sorted(out)
 
 
 def scan_words(words: np.ndarray, known: Templates, coverage: float, band: int) -> list[tuple]:
@@ -148,16 +173,23 @@ def scan_words(words: np.ndarray, known: Templates, coverage: float, band: int)
     for template, own in hits.items():
         size = len(known.words[template])
         # Words put in or left out in the middle: up to a quarter of the template.
-        drift = min(GAP, max(2, size // 4))
-        groups = chains(own, drift)
+        drift = max(2, size // 4)
+        groups = chains(own, drift, size)
         bounds = [(g[0][0] - g[0][1], g[-1][0] + size - g[-1][1]) for g in groups]
+        # Chains over half a template or more may be notices of their own, which others leave to them.
+        whole = [k for k, g in enumerate(groups) if 2 * (g[-1][1] + known.gram - g[0][1]) >= size]
+        begins = [groups[k][0][0] for k in whole]
         for k, g in enumerate(groups):
             # The stretch that the chain points to, and not what its neighbours point to.
             low, high = max(0, bounds[k][0] - band), min(len(words), bounds[k][1] + band)
-            if k:
-                low = max(low, min(bounds[k - 1][1], g[0][0]))
-            if k + 1 < len(groups):
-                high = min(high, max(bounds[k + 1][0], g[-1][0] + known.gram))
+            after = bisect_right(begins, g[-1][0])
+            if after < len(whole):
+                high = min(high, max(bounds[whole[after]][0], g[-1][0] + known.gram))
+            ahead = bisect_left(begins, g[0][0]) - 1
+            if ahead >= 0 and groups[whole[ahead]][-1][0] < g[0][0]:
+                low = max(low, min(bounds[whole[ahead]][1], g[0][0]))
+            if in_common(known.bags[template], words[low:high]) < coverage * size:
+                continue
             shifts = [place - p - low for place, p in g]
             middle = (min(shifts) + max(shifts)) // 2
             matched, first, last = align(known.words[template], words[low:high], middle, band + max(shifts) - middle)

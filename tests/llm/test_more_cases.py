@@ -78,6 +78,52 @@ def test_scan_equals_all_stretches():
         assert got == want
 
 
+@pytest.mark.parametrize("times", range(21))
+def test_a_notice_with_its_own_words_inside(times):
+    """Its first words stand any number of times in its middle, one after the other or apart."""
+    known = Templates(license_scan.TEMPLATES, license_scan.GRAM, license_scan.WINDOW)
+    text = license_scan.TEMPLATES["MIT"][2].split()
+    size, half = len(hashed(" ".join(text))), len(text) // 2
+    most = size // 4
+    inner = (text[:5] * times)[:most]
+    found = scan_words(hashed(" ".join(text[:half] + inner + text[half:])), known, 0.8, license_scan.BAND)
+    assert [f[3] for f in found if known.names[f[0]] == "MIT" and f[3] > 20] == [size]
+    spread, step = [], max(1, len(text) // (times + 1))
+    for k, w in enumerate(text):
+        spread += ([*text[:5]] if times and k and k % step == 0 and len(spread) - k < most - 5 else []) + [w]
+    found = scan_words(hashed(" ".join(spread)), known, 0.8, license_scan.BAND)
+    assert [f[3] for f in found if known.names[f[0]] == "MIT" and f[3] > 20] == [size]
+
+
+def test_scan_with_repeated_grams_equals_all_stretches():
+    """Templates whose grams occur several times in them, and texts made of their pieces."""
+    rng = random.Random(4)
+    names = {"A": ("a b c d a b c e a b c f g h",), "B": ("x y z x y z w v u t",)}
+    known = Templates(names, 3, 2)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            notice = rng.choice(list(names.values()))[0].split()
+            at = rng.randrange(3, len(notice) - 3)
+            inner = notice[:3] if rng.random() < 0.6 else []
+            words += [f"o{rng.randrange(50)}" for _ in range(rng.choice((0, 4, 8)))] + notice[:at] + inner[: max(2, len(notice) // 4)] + notice[at:]
+        text = hashed(" ".join(words))
+        got = scan_words(text, known, 0.8, 8)
+        want = brute_scan(text.tolist(), [w.tolist() for w in known.words], 0.8)
+        # The same notices with as many words; where one begins may differ by words that stand twice.
+        assert sorted((t, n) for t, _, _, n in got) == sorted((t, n) for t, _, _, n in want)
+
+
+def test_many_hits_take_little_time():
+    import time
+
+    known = Templates(license_scan.TEMPLATES, license_scan.GRAM, license_scan.WINDOW)
+    words = hashed(" ".join(license_scan.TEMPLATES["MIT"][2].split()[:7] * 8000))
+    began = time.perf_counter()
+    scan_words(words, known, 0.8, license_scan.BAND)
+    assert time.perf_counter() - began < 20
+
+
 def test_sections_that_cannot_be(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
     rows = [(1, 0, 0, 7), (1, 1, 4, 13), (1, 2, None, 5), (1, 3, 9, 2), (1, 4, 13, 99), (2, 0, 0, 5), (1, None, -5, -1)]
