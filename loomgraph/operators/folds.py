@@ -1,5 +1,7 @@
 """Folds: SUM, MAX and MIN over own keys, children and members, with known and total counts.
 
+Sums over children and of derived properties are exact (``functions.sums``).
+
 A summand is a row (.., l, d): a whole number or a double, both null where the
 value is unknown. Unknown summands count in the total only. A fold of whole
 numbers is a whole number and wraps; one known double makes it a double.
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions import sums
 from ..functions.values import fold_min_double, fold_sum_long
 from ..plans.selector import SelectorError
 
@@ -46,7 +49,12 @@ def over_children(contain: DataFrame, summands: DataFrame, fold: str, axis: str
     """(object_id, l, d, known, total) of each parent; ``summands`` is (object_id, l, d), one row per child that counts."""
     edges = contain if axis is None else contain.where(F.col("axis") == axis)
     joined = edges.select("parent_id", "child_id").join(summands, F.col("child_id") == F.col("object_id"))
-    return joined.groupBy(F.col("parent_id").alias("object_id")).agg(*folded(fold))
+    return fold_rows(joined.select(F.col("parent_id").alias("object_id"), "l", "d"), ["object_id"], fold)
+
+
+def fold_rows(rows: DataFrame, by: Sequence[str], fold: str) -> DataFrame:
+    """(by.., l, d, known, total) of summands (by.., l, d); double sums are exact."""
+    return sums.summed(rows, by) if fold == "SUM" else rows.groupBy(*by).agg(*folded(fold))
 
 
 def over_keys(rows: DataFrame, id_col: str, keys: Sequence[tuple[Column | None, Column | None]], fold: str) -> DataFrame:
@@ -78,7 +86,7 @@ def own_and_children(own: DataFrame, contain: DataFrame, summands: DataFrame, fo
     below = contain.select("parent_id", "child_id").join(summands, F.col("child_id") == F.col("object_id")).select(F.col("parent_id").alias("object_id"), "l", "d")
     # Only what declares the fold, that is what has own summands, is folded.
     roots = own.select("object_id").distinct()
-    return own.select("object_id", "l", "d").unionAll(below.join(roots, "object_id", "left_semi")).groupBy("object_id").agg(*folded(fold))
+    return fold_rows(own.select("object_id", "l", "d").unionAll(below.join(roots, "object_id", "left_semi")), ["object_id"], fold)
 
 
 def leaves(derivations: DataFrame, contain: DataFrame, objects: DataFrame, levels: int | None = None) -> DataFrame:
@@ -131,11 +139,20 @@ def nested(derivations: DataFrame, contain: DataFrame, objects: DataFrame, value
 
 
 def by_fold(rows: DataFrame) -> DataFrame:
-    """(object_id, key, l, d, known, total) of rows (root, root_key, fold, l, d): each root by its own fold, in one aggregation."""
-    parts = [c.alias(f"{fold}_{name}") for fold in FOLDS for c, name in zip(folded(fold), ("l", "d", "known", "total"), strict=True)]
-    grouped = rows.groupBy(F.col("root").alias("object_id"), F.col("root_key").alias("key"), "fold").agg(*parts)
-    own = lambda name: reduce(lambda out, fold: out.when(F.col("fold") == fold, F.col(f"{fold}_{name}")), FOLDS, F).alias(name)
-    return grouped.select("object_id", "key", own("l"), own("d"), own("known"), own("total"))
+    """(object_id, key, l, d, known, total) of rows (root, root_key, fold, l, d): each root by its own fold."""
+    own = rows.select(F.col("root").alias("object_id"), F.col("root_key").alias("key"), "fold", "l", "d")
+    by = ["object_id", "key"]
+    out = sums.summed(own.where("fold = 'SUM'"), by)
+    return out.unionByName(extremes(own.where("fold <> 'SUM'")).drop("fold"))
+
+
+def extremes(rows: DataFrame) -> DataFrame:
+    """(object_id, key, fold, l, d, known, total) of rows (object_id, key, fold, l, d) whose fold is MAX or MIN, in one aggregation."""
+    names = ("l", "d", "known", "total")
+    parts = [c.alias(f"{fold}_{name}") for fold in ("MAX", "MIN") for c, name in zip(folded(fold), names, strict=True)]
+    grouped = rows.groupBy("object_id", "key", "fold").agg(*parts)
+    own = lambda name: F.when(F.col("fold") == "MAX", F.col(f"MAX_{name}")).otherwise(F.col(f"MIN_{name}")).alias(name)
+    return grouped.select("object_id", "key", "fold", *map(own, names))
 
 
 def faults(derivations: DataFrame, objects: DataFrame, written: DataFrame | None = None) -> DataFrame:

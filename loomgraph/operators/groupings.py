@@ -93,6 +93,33 @@ def group_by(graph: Graph, selector: str, by: Sequence[str], over: Sequence[tupl
     return grouped.select(name, *[F.col(f"_key{i}").alias(f"key{i}") for i in range(len(by))], *[c for c in grouped.columns if not c.startswith("_key")])
 
 
+def member_keys(graph: Graph, selector: str, by: Sequence[str], among: DataFrame | None = None) -> DataFrame:
+    """(object_id, name): the group of each member, among the ids of ``among`` where they are given."""
+    members = matched(graph, selector, among).where(~(F.col("kind") == "NODE") | ~F.coalesce(F.col("derived"), F.lit(False)))
+    frame, cells = with_paths(graph, members, by)
+    keys = [canonical(cells[p]) for p in by]
+    there = [k.isNotNull() for k in keys]
+    rows = frame.select("object_id", F.concat_ws(",", *keys).alias("name"), F.array(*there).alias("_there"))
+    return rows.where(F.forall("_there", lambda x: x)).drop("_there")
+
+
+def moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name, members): signed counts of members (object_id, name) that left a group and that came to one."""
+    old, new = before.select("object_id", F.col("name").alias("_old")), after.select("object_id", F.col("name").alias("_new"))
+    both = old.join(new, "object_id", "full").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    signed = both.select(F.explode(F.array(F.struct(F.col("_old").alias("name"), F.lit(-1).alias("n")), F.struct(F.col("_new").alias("name"), F.lit(1).alias("n")))).alias("_m")).select("_m.*")
+    return signed.where("name is not null").groupBy("name").agg(F.sum("n").alias("members")).where("members <> 0")
+
+
+def moved(counts: DataFrame, moves: DataFrame) -> DataFrame:
+    """(name, members, state) of the groups that moves change, over their counts (name, members) before: MADE with the first member, REMOVED with the last, or CHANGED."""
+    old = counts.select("name", F.col("members").alias("_had"))
+    joined = moves.join(old, "name", "left").withColumn("_had", F.coalesce("_had", F.lit(0)))
+    now = F.col("_had") + F.col("members")
+    state = F.when(F.col("_had") == 0, "MADE").when(now == 0, "REMOVED").otherwise("CHANGED")
+    return joined.select("name", now.alias("members"), state.alias("state"))
+
+
 def _typed(cell: Cell):
     return [("l", "long", cell.long), ("d", "double", cell.double), ("b", "boolean", cell.boolean), ("t", "string", cell.text)]
 

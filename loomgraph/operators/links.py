@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..model import Graph
 
 
@@ -33,17 +34,30 @@ def draw(declared: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     out of reach are made; those of the unnamed domain on the address alone.
     A pair comes once, as declarations and routes are distinct.
     """
-    side = lambda role, p: declared.where(F.col("role") == role).select(
-        F.col("address"), *[F.col(c).alias(f"{p}_{c}") for c in ("port_id", "kind", "type", "domain")]
-    )
-    providers, requirers = side("provide", "p"), side("require", "r")
+    return _as_links(_pairs(_side(declared, "provide"), _side(declared, "require"), routes))
+
+
+def _side(declared: DataFrame, role: str) -> DataFrame:
+    p = role[0]
+    return declared.where(F.col("role") == role).select(F.col("address"), *[F.col(c).alias(f"{p}_{c}") for c in ("port_id", "kind", "type", "domain")])
+
+
+def _pairs(providers: DataFrame, requirers: DataFrame, routes: DataFrame | None) -> DataFrame:
     named = providers.where("p_domain <> ''")
     reach = named.withColumn("r_domain", F.col("p_domain"))
     if routes is not None:
-        known = routes.distinct().where("requiring_domain <> providing_domain").select(F.col("requiring_domain").alias("r_domain"), F.col("providing_domain").alias("_p"))
-        reach = reach.unionByName(named.join(known, F.col("p_domain") == F.col("_p")).drop("_p"))
+        reach = reach.unionByName(_led(named, routes))
     pairs = reach.join(requirers, ["address", "r_domain"]).unionByName(providers.where("p_domain = ''").join(requirers, "address"))
-    pairs = pairs.where("p_kind <> r_kind and p_port_id <> r_port_id")
+    return pairs.where("p_kind <> r_kind and p_port_id <> r_port_id")
+
+
+def _led(providers: DataFrame, routes: DataFrame) -> DataFrame:
+    """Providers of named domains with each other domain that routes lead from."""
+    known = routes.distinct().where("requiring_domain <> providing_domain and providing_domain <> ''").select(F.col("requiring_domain").alias("r_domain"), F.col("providing_domain").alias("_p"))
+    return providers.join(known, F.col("p_domain") == F.col("_p")).drop("_p")
+
+
+def _as_links(pairs: DataFrame) -> DataFrame:
     out = F.col("p_kind") == "OUTPUT"
     return pairs.select(
         F.when(out, F.col("p_port_id")).otherwise(F.col("r_port_id")).alias("from_id"),
@@ -53,6 +67,59 @@ def draw(declared: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     )
 
 
+DECLARATION = ["port_id", "kind", "type", "role", "domain", "address"]
+
+
+def declaration_changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``declared`` that went and that came."""
+    rows = lambda frame: frame.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "domain" else c for c in DECLARATION])
+    old, new = rows(before), rows(after)
+    return old.exceptAll(new), new.exceptAll(old)
+
+
+def redraw(before: DataFrame, went: DataFrame, came: DataFrame, routes: DataFrame | None = None, denied: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(sign, from_id, to_id, name, type): what a change of declarations and routes does to the links drawn.
+
+    ``before`` and ``routes`` are those before the change, ``went`` and ``came``
+    rows of declarations, ``denied`` and ``allowed`` rows of routes. Only
+    declarations of the addresses that came or went meet, and for routes those
+    of the domains that they open or close; what both states draw is not
+    mentioned.
+    """
+    went, came = cut(went.select(*DECLARATION)), cut(came.select(*DECLARATION))
+    own = before.select(*DECLARATION)
+    touched = went.select("address").union(came.select("address")).distinct()
+    near = cut(own.join(touched, "address", "left_semi"))
+    stayed = near.join(went, DECLARATION, "left_anti")
+    now = cut(stayed.unionByName(came))
+    after = routes
+    if denied is not None:
+        after = None if after is None else after.join(denied, ["requiring_domain", "providing_domain"], "left_anti")
+    if allowed is not None:
+        after = allowed if after is None else after.unionByName(allowed).distinct()
+
+    def about(rows: DataFrame, all_: DataFrame, routes: DataFrame | None) -> DataFrame:
+        """Pairs of which ``rows`` make one side at least."""
+        p, r = _side(all_, "provide"), _side(all_, "require")
+        rest = all_.join(rows, DECLARATION, "left_anti")
+        return _pairs(_side(rows, "provide"), r, routes).unionByName(_pairs(_side(rest, "provide"), _side(rows, "require"), routes))
+
+    def through(routes: DataFrame, all_: DataFrame) -> DataFrame:
+        """Pairs that reach each other by one of the routes."""
+        pairs = _led(_side(all_, "provide"), routes).join(_side(all_, "require"), ["address", "r_domain"])
+        return pairs.where("p_kind <> r_kind and p_port_id <> r_port_id")
+
+    link = ["from_id", "to_id", "name", "type"]
+    lost, made = _as_links(about(went, near, routes)), _as_links(about(came, now, after))
+    if denied is not None and routes is not None:
+        lost = lost.unionByName(_as_links(through(denied.join(routes, ["requiring_domain", "providing_domain"], "left_semi"), own)))
+    if allowed is not None:
+        fresh = allowed if routes is None else allowed.join(routes, ["requiring_domain", "providing_domain"], "left_anti")
+        made = made.unionByName(_as_links(through(fresh, own.join(went, DECLARATION, "left_anti").unionByName(came))))
+    signed = lost.distinct().withColumn("sign", F.lit(-1)).unionByName(made.distinct().withColumn("sign", F.lit(1)))
+    return signed.groupBy(*link).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0").select("sign", *link)
+
+
 def link_counts(ports: DataFrame, links: DataFrame) -> DataFrame:
     """(port_id, links): all links at each port, none counts 0."""
     ends = links.select(F.col("from_id").alias("_end")).unionAll(links.select(F.col("to_id").alias("_end")))

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import drop, keep
+from ..functions.lineage import cut
 from ..model import Graph
 from ..plans.path import SPECIAL, Path, Segment
 
 MOST_LEVELS = 200
+MOST_DOUBLINGS = 16
 
 
 def ancestors(graph: Graph, axis: str) -> DataFrame:
     """(object_id, chain): the chain of ancestors of each placed object, root first.
 
-    Levels are joined one by one from the roots down. Where the graph knows
-    the levels of the axis, only their edges and holders are read; otherwise a
-    level is looked at before the next one is joined.
+    Where the graph knows the levels of the axis, they are joined one by one
+    from the roots down, and only their edges and holders are read; otherwise
+    chains are doubled, written once a round.
     """
     known = graph.levels.get(axis)
     holders = graph.holders.get(axis, graph.nodes())
@@ -35,15 +37,54 @@ def ancestors(graph: Graph, axis: str) -> DataFrame:
             level = next_level(stepped(edges), level)
             out = out.union(level)
         return out
-    own = graph.contain.where(F.col("axis") == axis)
-    steps = stepped(own)
-    level = out = root(drop(steps, own.select("child_id"), "parent_id", distinct=False))
-    for _ in range(1, MOST_LEVELS):
-        level = next_level(steps, level)
-        if level.isEmpty():
-            return out
-        out = out.union(level)
-    raise ValueError(f"more than {MOST_LEVELS} levels on {axis}, or a cycle")
+    # Each round doubles how far up a chain leads: a chain of n levels takes log n of them.
+    rows = cut(stepped(graph.contain.where(F.col("axis") == axis)).select(F.col("child_id").alias("object_id"), F.col("parent_id").alias("top"), F.array("_step").alias("chain")))
+    for _ in range(MOST_DOUBLINGS):
+        above = rows.select(F.col("object_id").alias("_up"), F.col("top").alias("_top"), F.col("chain").alias("_chain"))
+        further = rows.join(above, F.col("top") == F.col("_up"), "left")
+        rows = cut(further.select("object_id", F.coalesce("_top", "top").alias("top"), F.when(F.col("_up").isNull(), F.col("chain")).otherwise(F.concat("_chain", "chain")).alias("chain"), F.col("_up").isNotNull().alias("_moved")))
+        if rows.where("_moved").isEmpty():
+            return rows.select("object_id", "chain")
+        rows = rows.drop("_moved")
+    raise ValueError(f"more than {1 << MOST_DOUBLINGS} levels on {axis}, or a cycle")
+
+
+def climbed(graph: Graph, axis: str, ids: DataFrame) -> DataFrame:
+    """``ancestors`` of the objects in ``ids`` alone, followed upwards from them."""
+    edges = graph.contain.where(F.col("axis") == axis).select(F.col("child_id").alias("_c"), F.col("parent_id").alias("_p"))
+    holders = graph.holders.get(axis, graph.nodes())
+    named = holders.select(F.col("object_id").alias("_id"), F.struct(F.col("object_id").alias("id"), "name", "type").alias("_step"))
+    at = ids.select("object_id", F.col("object_id").alias("at"), F.expr("cast(array() as array<struct<id: bigint, name: string, type: string>>)").alias("chain"))
+    levels = graph.levels.get(axis)
+    out = None
+    for n in range(MOST_LEVELS):
+        at = keep(edges, at.select("at"), "_c").join(at, F.col("_c") == F.col("at"))
+        at = at.join(named, F.col("_p") == F.col("_id")).select("object_id", F.col("_p").alias("at"), F.concat(F.array("_step"), "chain").alias("chain"))
+        # A chain is whole where nothing is above; shorter ones give way to it.
+        if levels is None:
+            at = cut(at)
+            if at.isEmpty():
+                break
+        out = at if out is None else out.unionAll(at)
+        if levels is not None and n + 1 >= len(levels):
+            break
+    else:
+        raise ValueError(f"more than {MOST_LEVELS} levels on {axis}, or a cycle")
+    if out is None:
+        return at.select("object_id", "chain")
+    return out.groupBy("object_id").agg(F.max_by("chain", F.size("chain")).alias("chain"))
+
+
+def under(graph: Graph, ids: DataFrame) -> DataFrame:
+    """(object_id): what lies anywhere below the objects in ``ids``, on any axes."""
+    edges = graph.contain.select("parent_id", F.col("child_id").alias("_below"))
+    seen = at = cut(ids.select("object_id").distinct())
+    while True:
+        found = keep(edges, at, "parent_id", distinct=False).select(F.col("_below").alias("object_id")).distinct()
+        at = cut(drop(found, seen, "object_id", distinct=False))
+        if at.isEmpty():
+            return drop(seen, ids, "object_id")
+        seen = cut(seen.unionAll(at))
 
 
 def fits(step: Column, segment: Segment) -> Column:

@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import keep
 from ..functions.values import Cell, any_of, matches, sure
 from ..model import Graph
 from ..plans import selector as s
-from .placement import ancestors, below
+from .placement import ancestors, below, climbed
 
 
 def _addresses(compare: s.Compare) -> Column:
@@ -28,8 +29,9 @@ def _addresses(compare: s.Compare) -> Column:
 
 
 class _Plan:
-    def __init__(self, graph: Graph, frame: DataFrame) -> None:
-        self.graph, self.frame, self.marks = graph, frame, 0
+    def __init__(self, graph: Graph, frame: DataFrame, few: bool = False) -> None:
+        # Of few objects only what they hang on is looked at.
+        self.graph, self.frame, self.marks, self.few = graph, frame, 0, few
 
     def mark(self, ids: DataFrame, key: str) -> Column:
         """Whether ``key`` of a row is one of the distinct ids in the column ``id``."""
@@ -59,19 +61,24 @@ class _Plan:
             case s.Not(inner):
                 return ~sure(self.column(inner))
             case s.Under(axis, path):
-                found = ancestors(self.graph, axis).where(below(F.col("chain"), path)).select(F.col("object_id").alias("id")).distinct()
+                chains = climbed(self.graph, axis, self.frame.select("object_id")) if self.few else ancestors(self.graph, axis)
+                found = chains.where(below(F.col("chain"), path)).select(F.col("object_id").alias("id")).distinct()
                 return self.mark(found, "object_id")
             case s.On(inner):
-                return F.col("kind").isin("INPUT", "OUTPUT") & self.mark(self.nodes(inner), "node_id")
+                return F.col("kind").isin("INPUT", "OUTPUT") & self.mark(self.nodes(inner, "node_id"), "node_id")
             case s.Ends(both, inner):
-                ids = self.nodes(inner)
                 self.with_ends()
+                ids = self.nodes(inner, "from_node", "to_node")
                 a, b = self.mark(ids, "from_node"), self.mark(ids, "to_node")
                 return (F.col("kind") == "LINK") & (a & b if both else a | b)
         raise TypeError(term)
 
-    def nodes(self, inner: s.Term) -> DataFrame:
-        return matched(self.graph, s.And((s.Kind("NODE"), inner))).select(F.col("object_id").alias("id"))
+    def nodes(self, inner: s.Term, *at: str) -> DataFrame:
+        """Ids of the nodes that the inner term holds; those in the columns ``at`` alone, where rows are few."""
+        among = None
+        if self.few:
+            among = self.frame.select(F.explode(F.array(*at)).alias("object_id")).where("object_id is not null").distinct()
+        return matched(self.graph, s.And((s.Kind("NODE"), inner)), among).select(F.col("object_id").alias("id"))
 
     def with_ends(self) -> None:
         if "from_node" in self.frame.columns:
@@ -82,16 +89,18 @@ class _Plan:
             self.frame = self.frame.join(side, F.col(f"{end}_id") == F.col(f"_{end}"), "left").drop(f"_{end}")
 
 
-def matched(graph: Graph, selector: str | s.Term) -> DataFrame:
-    """Rows of ``objects`` that the selector holds."""
+def matched(graph: Graph, selector: str | s.Term, among: DataFrame | None = None) -> DataFrame:
+    """Rows of ``objects`` that the selector holds, of those whose distinct ids are in ``among`` if that is given."""
     term = s.parse(selector) if isinstance(selector, str) else selector
     kinds = term.kinds()
     frame = graph.objects
     if kinds != s.KINDS:
         frame = frame.where(F.col("kind").isin(*sorted(kinds))) if kinds else frame.where(F.lit(False))
+    if among is not None:
+        frame = keep(frame, among, "object_id", distinct=False)
     # Terms inside sets of ids are read by their own plans.
     own = _own_keys(term)
-    plan = _Plan(graph, graph.widened(frame, own))
+    plan = _Plan(graph, graph.widened(frame, own), among is not None)
     column = plan.column(term)
     return plan.frame.where(column).select(*graph.objects.columns)
 

@@ -83,6 +83,11 @@ def snapshot(graph: Graph, selector: str, keys: Sequence[str] | None = None) ->
 def delta(before: Graph, after: Graph, selector: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Records that lead from the view of one graph to that of the next."""
     old, new = cut(members(before, selector)), cut(members(after, selector))
+    return difference(before, after, old, new, pairs(before, old), pairs(after, new), new.select("object_id"), keys)
+
+
+def difference(before: Graph, after: Graph, old: DataFrame, new: DataFrame, pairs_old: DataFrame, pairs_new: DataFrame, staying: DataFrame, keys: Sequence[str] | None) -> DataFrame:
+    """Records that lead from members and pairs to others; ``staying`` are the ids that the new state holds."""
     ids_old, ids_new = old.select("object_id"), new.select("object_id")
     added = drop(new, ids_old, "object_id", distinct=False)
     removed = drop(old, ids_new, "object_id", distinct=False)
@@ -91,13 +96,13 @@ def delta(before: Graph, after: Graph, selector: str, keys: Sequence[str] | None
     both = e_new.join(e_old, ["object_id", "key"], "full")
     differs = F.col("o").isNull() | F.col("n").isNull() | ~same_value("n", "o")
     changed = both.where(differs).select("object_id", "key", *[F.col(f"n.{c}").alias(c) for c in VALUE])
-    p_old, p_new = pairs(before, old).select("axis", "parent_id", "child_id"), pairs(after, new).select("axis", "parent_id", "child_id")
     names = ["axis", "parent_id", "child_id"]
+    p_old, p_new = pairs_old.select(*names), pairs_new.select(*names)
     both_pairs = p_new.withColumn("_new", F.lit(True)).join(p_old.withColumn("_old", F.lit(True)), names, "full")
     came = both_pairs.where("_old is null").select(*names)
     # A pair ends by itself only while both ends stay; one that leaves says so alone.
     went = both_pairs.where("_new is null").select(*names)
-    went = keep(keep(went, ids_new, "parent_id", distinct=False), ids_new, "child_id", distinct=False)
+    went = keep(keep(went, staying, "parent_id", distinct=False), staying, "child_id", distinct=False)
     out = _record(added, "ADDED").unionByName(_record(removed, "REMOVED")).unionByName(_record(changed, "PROPERTY_CHANGED"))
     for frame, change in ((came, "CONTAINED"), (went, "UNCONTAINED")):
         out = out.unionByName(_record(frame.select(F.col("child_id").alias("object_id"), "parent_id"), change))
