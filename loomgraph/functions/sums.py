@@ -7,10 +7,9 @@ nearest double. NaN and the infinities are counted apart. What was added can
 be taken out again without a trace, so a tally is upheld by signed rows.
 """
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,24 +60,25 @@ def tally(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
 
-@F.pandas_udf("double")
-def rounded(items):
-    """The double nearest to sums of (range, part)."""
-    import pandas as pd
-
-    def one(parts) -> float | None:
-        if parts is None or not len(parts):
-            return None
-        low = min(p["range"] for p in parts)
-        number = sum(int(p["part"]) << RANGE * (p["range"] - low) for p in parts)
-        power = RANGE * low
-        try:
-            # Division of whole numbers rounds once, correctly.
-            return float(number << power) if power >= 0 else number / (1 << -power)
-        except OverflowError:
-            return float("inf") if number > 0 else float("-inf")
-
-    return pd.Series([one(parts) for parts in items], dtype="float64")
+def _nearest(parts) -> float | None:
+    """The double nearest to the sum of (range, part)."""
+    if parts is None or not len(parts):
+        return None
+    low = min(p["range"] for p in parts)
+    number = sum(int(p["part"]) << RANGE * (p["range"] - low) for p in parts)
+    power = RANGE * low
+    try:
+        # Division of whole numbers rounds once, correctly.
+        return float(number << power) if power >= 0 else number / (1 << -power)
+    except OverflowError:
+        return float("inf") if number > 0 else float("-inf")
+
+
+def rounded(parts: Column) -> Column:
+    def each(items: pd.Series) -> pd.Series:
+        return pd.Series([_nearest(x) for x in items], dtype="float64")
+
+    return F.pandas_udf(each, "double")(parts)
 
 
 def value(tallies: DataFrame, by: Sequence[str]) -> DataFrame:

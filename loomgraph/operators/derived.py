@@ -141,16 +141,22 @@ def property_rows(values: DataFrame, source_id: int) -> DataFrame:
     return values.select("object_id", "key", kind, "l", "d", F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("string").alias("t"), F.lit(source_id).alias("source_id"))
 
 
-def derive(graph: Graph, rules: Sequence[Rule]) -> Graph:
+def without_derived(graph: Graph) -> Graph:
+    """The graph less what rules wrote into it."""
+    return graph if graph.properties is None else graph.with_(properties=graph.properties.where(F.col("source_id") != DERIVED))
+
+
+def derive(graph: Graph, rules: Sequence[Rule], anew: bool = True) -> Graph:
     """The graph with the values of all rules; ValueError where a rule is not allowed.
 
     A key that is a column of the objects (``bound``) is read but not derived.
+    Where not all is derived ``anew``, what other rules gave stays and is read.
     """
     for rule in rules:
         if rule.key in graph.bound or rule.key in INTRINSIC:
             raise ValueError(f"{rule.key!r} is a column of the objects")
-    if graph.properties is not None:
-        graph = graph.with_(properties=graph.properties.where(F.col("source_id") != DERIVED))
+    if anew:
+        graph = without_derived(graph)
     declared = cut(declarations(graph, rules))
     wrong = faults(declared, graph.objects, graph.properties).limit(5).collect()
     if wrong:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import drop
 from ..functions.lineage import cut
 from ..model import Graph
 
@@ -109,7 +110,6 @@ def redraw(before: DataFrame, went: DataFrame, came: DataFrame, routes: DataFram
         pairs = _led(_side(all_, "provide"), routes).join(_side(all_, "require"), ["address", "r_domain"])
         return pairs.where("p_kind <> r_kind and p_port_id <> r_port_id")
 
-    link = ["from_id", "to_id", "name", "type"]
     lost, made = _as_links(about(went, near, routes)), _as_links(about(came, now, after))
     if denied is not None and routes is not None:
         lost = lost.unionByName(_as_links(through(denied.join(routes, ["requiring_domain", "providing_domain"], "left_semi"), own)))
@@ -117,7 +117,39 @@ def redraw(before: DataFrame, went: DataFrame, came: DataFrame, routes: DataFram
         fresh = allowed if routes is None else allowed.join(routes, ["requiring_domain", "providing_domain"], "left_anti")
         made = made.unionByName(_as_links(through(fresh, own.join(went, DECLARATION, "left_anti").unionByName(came))))
     signed = lost.distinct().withColumn("sign", F.lit(-1)).unionByName(made.distinct().withColumn("sign", F.lit(1)))
-    return signed.groupBy(*link).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0").select("sign", *link)
+    return signed.groupBy(*LINK).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0").select("sign", *LINK)
+
+
+LINK = ["from_id", "to_id", "name", "type"]
+
+
+def apply_signed(drawn: DataFrame, signed: DataFrame) -> DataFrame:
+    """Links (from_id, to_id, name, type) after the signed rows of ``redraw``."""
+    gone = signed.where("sign < 0").select(*LINK)
+    return drawn.select(*LINK).join(gone, LINK, "left_anti").unionByName(signed.where("sign > 0").select(*LINK))
+
+
+def link_objects(drawn: DataFrame) -> DataFrame:
+    """Rows of objects for drawn links; their high ids depend on what a link joins only."""
+    made = F.shiftrightunsigned(F.xxhash64("from_id", "to_id", "name"), 2).bitwiseOR(F.lit(1 << 62)).alias("object_id")
+    return drawn.select(made, F.lit("LINK").alias("kind"), "name", "type", "from_id", "to_id", F.lit(True).alias("derived"))
+
+
+def redrawn(before: Graph, after: Graph) -> Graph:
+    """``after``, whose declarations or routes are others than ``before``'s, with the links that came and without those that went, and their ports' counts."""
+    went, came = declaration_changes(before.declared, after.declared)
+    route = ["requiring_domain", "providing_domain"]
+    denied = allowed = None
+    if after.routes is not before.routes:
+        allowed = after.routes if before.routes is None else None if after.routes is None else after.routes.join(before.routes, route, "left_anti")
+        denied = before.routes if after.routes is None else None if before.routes is None else before.routes.join(after.routes, route, "left_anti")
+    signed = cut(redraw(before.declared, went, came, before.routes, denied, allowed))
+    gone = link_objects(signed.where("sign < 0")).select("object_id")
+    per_port = signed.select(F.explode(F.array("from_id", "to_id")).alias("_port"), "sign").groupBy("_port").agg(F.sum("sign").alias("_n"))
+    objects = drop(after.objects, gone, "object_id").join(per_port, F.col("object_id") == F.col("_port"), "left")
+    links = F.when(F.col("_n").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("_n")).otherwise(F.col("links"))
+    objects = objects.withColumn("links", links).select(*after.objects.columns)
+    return after.with_(objects=objects.unionByName(link_objects(signed.where("sign > 0")), allowMissingColumns=True))
 
 
 def link_counts(ports: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import folds, groupings, links, reach, upkeep
+from .operators import derived, folds, groupings, links, reach, strata, upkeep
+from .operators.derived import Rule
+from .operators.select import matched
 from .queries import DECLARED, DELTA_SQL, DRAWN, LINKS, PLACED, SHIP, C, changed, nested_derivations, query, routes
 from .sources import tpch
 
@@ -138,3 +140,45 @@ def view_reach_below(spark, d):
     change = reach.Change(None, None, moved.unionByName(moved.withColumn("parent_id", parent)))
     records = reach.delta(before, after, "node[$type=customer][acctbal>5000] & under(placement, /region:ASIA)", change)
     return records.where("change in ('ADDED', 'REMOVED')").select("change", "object_id")
+
+
+#: Nations know their best customer's size class and how many customers they have; groups of nations are made of that, and folded.
+NATION_RULES = (
+    Rule("node[$type=nation]", "owed", "SUM", children="low", child_type="customer"),
+    Rule("node[$type=customer][acctbal<0]", "low", "SUM", own=("one",)),
+)
+BANDS = strata.Grouping("bands", "band", "node[$type=nation][owed.total>0]", ("parent(placement)", "owed"), (("owing", "SUM", "owed"), ("most", "MAX", "owed.total")))
+OWED = "(select n_nationkey, n_regionkey, nullif(count(*) filter (c_acctbal < 0), 0) as owed, count(*) as total from nation join customer on c_nationkey = n_nationkey group by 1, 2)"
+
+
+def with_ones(spark, d):
+    """Customers carry a 1, so that a rule can count them."""
+    graph = tpch.bind(spark, d)
+    rows = graph.nodes().where(F.col("type") == "customer").select("object_id", F.lit("one").alias("key"), F.lit(1).cast("long").alias("l"), F.lit(None).cast("double").alias("d"))
+    return graph.with_(properties=derived.property_rows(rows, 1))
+
+
+@query("group_by_derived", f"select (1000000000000 + n_regionkey)::varchar || ',' || owed as name, count(*)::bigint as members, sum(owed)::bigint as owing, max(total)::bigint as most from {OWED} where owed is not null group by n_regionkey, owed")
+def group_by_derived(spark, d):
+    """Groups of nations by their region and by how many customers owe, which is derived; the groups fold derived values."""
+    graph = strata.settle(with_ones(spark, d), NATION_RULES, [BANDS])
+    keyed = graph.widened(graph.nodes().where("type = 'band'"), {"owing", "owing.total", "most"})
+    return keyed.select("name", F.col("`owing.total`.l").alias("members"), F.col("owing.l").alias("owing"), F.col("most.l").alias("most"))
+
+
+@query("group_folds_derived", f"""with b as (select n_regionkey, owed, sum(owed)::bigint as owing, count(*) as members from {OWED} where owed is not null group by 1, 2)
+  select (1000000000000 + n_regionkey)::varchar || ',' || owed as name, 'band' as type, owing + members as weight from b where owing + members > 10
+  union all select n_name, 'nation', owed * 2 from {OWED} join nation using (n_nationkey) where owed * 2 > 10""")
+def group_folds_derived(spark, d):
+    """A rule over the nodes of groups and over nations alike reads what groups fold and what other rules derive; a selector reads the rule."""
+    rules = (
+        *NATION_RULES[1:], NATION_RULES[0],
+        Rule("node[$type=band]", "weight", "SUM", own=("owing", "owing.total")),
+        Rule("node[$type=nation]", "weight", "SUM", children="twice", child_type="customer"),
+        Rule("node[$type=customer][acctbal<0]", "twice", "SUM", own=("one", "also")),
+    )
+    graph = with_ones(spark, d)
+    graph = graph.with_(properties=graph.properties.unionByName(graph.properties.withColumn("key", F.lit("also"))))
+    out = strata.settle(graph, rules, [BANDS])
+    keyed = out.widened(matched(out, "node[weight>10]"), {"weight"})
+    return keyed.select("name", "type", F.col("weight.l").alias("weight"))

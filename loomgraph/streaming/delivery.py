@@ -8,6 +8,7 @@ the view, so that a batch that is tried again starts from the same state.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,8 +16,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..model import Graph
-from ..operators import mutations, views
+from ..operators import derived, links, mutations, reach, strata, views
 
 MOST_FAILURES = 3
 #: Parts of a graph that batches may change.
@@ -29,6 +31,13 @@ def written(graph: Graph, writes: DataFrame) -> Graph:
     return graph.with_(properties=mutations.apply(graph.properties, writes))
 
 
+def stripped(graph: Graph) -> Graph:
+    """The graph less the nodes of groups and what rules and groupings wrote."""
+    objects = graph.objects.where(~((F.col("kind") == "NODE") & F.coalesce("derived", F.lit(False))))
+    own = None if graph.properties is None else graph.properties.where(~F.col("source_id").isin(derived.DERIVED, derived.GROUPED))
+    return graph.with_(objects=objects, properties=own)
+
+
 @dataclass
 class Subscription:
     on_batch: Callable[[DataFrame, int, bool], None]
@@ -39,7 +48,13 @@ class Subscription:
 
 @dataclass
 class View:
-    """A view over a graph that a stream changes, by ``step(graph, batch)``; parts that a step leaves alone are not written.
+    """A view over a graph that tasks change (``take``), or that a stream changes, by ``step(graph, batch)``; parts that a step leaves alone are not written.
+
+    ``rules`` and ``groupings`` are worked out again after each batch of a
+    stream, and links that declarations draw are redrawn by what came and went.
+    ``interval`` is the least time in seconds between two deliveries of tasks;
+    what comes before it has passed is held and delivered together, with the
+    first task after that or by ``flush``.
 
     Steps for what feeds emit: ``lambda graph, rows: applied(graph, allowed(graph, rows))`` of ``operators.assembly``.
     """
@@ -55,6 +70,12 @@ class View:
     parts: dict[str, int] = field(default_factory=dict)
     stream: tuple | None = None
     running: object = None
+    interval: float = 0.0
+    rules: tuple = ()
+    groupings: tuple = ()
+    held: list[reach.Change] = field(default_factory=list)
+    latest: Graph | None = None
+    delivered: float = float("-inf")
 
     def __post_init__(self) -> None:
         """Go on from the last batch in the folder, if there is one."""
@@ -68,6 +89,8 @@ class View:
             self.graph = self._read(self.graph, self.parts)
 
     def subscribe(self, on_batch, on_error=lambda e: None) -> Callable[[], None]:
+        # Who is there already hears what is held first, so that all go on from one state.
+        self._hand_over()
         own = Subscription(on_batch, on_error)
         self.subscriptions.append(own)
         self._deliver(own, views.snapshot(self._now(), self.selector, self.keys), True)
@@ -80,6 +103,8 @@ class View:
 
     def select(self, selector: str, keys: Sequence[str] | None = None) -> None:
         """Another selector or key filter: everyone gets a new snapshot."""
+        if self.latest is not None:
+            self.graph, self.held = self.latest, []
         views.members(self._now(), selector)  # refuses what is not a selector before anything changes
         self.selector, self.keys = selector, keys
         for s in list(self.subscriptions):
@@ -90,12 +115,12 @@ class View:
         if batch_id <= self.batch:
             return
         before = self._now()
-        stepped = self.step(before, rows)
+        stepped = self._follow(before, self.step(before, rows))
         changed = [p for p in PARTS if getattr(stepped, p) is not getattr(before, p)]
         for p in changed:
             getattr(stepped, p).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/{p}")
         after = self._read(stepped, dict.fromkeys(changed, batch_id))
-        records = views.delta(before, after, self.selector, self.keys).persist()
+        records = reach.delta(before, after, self.selector, reach.between(before, after), self.keys).persist()
         try:
             said = not records.isEmpty()
             parts, seq = self.parts | dict.fromkeys(changed, batch_id), self.seq + said
@@ -108,6 +133,40 @@ class View:
         finally:
             records.unpersist()
 
+    def _follow(self, before: Graph, stepped: Graph) -> Graph:
+        """What follows from the changed parts: links, then nodes of groups and derived values."""
+        if stepped is before:
+            return stepped
+        if stepped.declared is not before.declared or stepped.routes is not before.routes:
+            stepped = links.redrawn(before, stepped)
+        if not (self.rules or self.groupings):
+            return stepped
+        return strata.settle(stripped(stepped), self.rules, self.groupings)
+
+    def take(self, after: Graph, change: reach.Change) -> None:
+        """Take the graph after a task; a view that follows a stream keeps to that."""
+        if self.stream is not None:
+            return
+        self.latest = after
+        self.held.append(change)
+        if time.monotonic() - self.delivered >= self.interval:
+            self._hand_over()
+
+    def _hand_over(self) -> None:
+        if not self.held:
+            return
+        joined: dict = dict.fromkeys(("objects", "properties", "contain"))
+        for change in self.held:
+            for name, had in joined.items():
+                own = getattr(change, name)
+                joined[name] = had if own is None else own if had is None else had.unionByName(own).distinct()
+        records = cut(reach.delta(self.graph, self.latest, self.selector, reach.Change(**joined), self.keys))
+        self.graph, self.held, self.delivered = self.latest, [], time.monotonic()
+        if not records.isEmpty():
+            self.seq += 1
+            for s in list(self.subscriptions):
+                self._deliver(s, records, False)
+
     def _read(self, graph: Graph, parts: dict[str, int]) -> Graph:
         if not parts:
             return graph
@@ -140,9 +199,11 @@ class View:
         return self.start(*self.stream, interval)
 
     def flush(self) -> None:
-        """Take and deliver now what the stream has."""
+        """Take and deliver now what the stream has, or what tasks left to deliver."""
         if self.running is not None:
             self.running.processAllAvailable()
+        else:
+            self._hand_over()
 
     def close(self) -> None:
         if self.running is not None:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.joins import drop
+from .functions.lineage import cut
 from .model import CONTAIN, OBJECT, PROPERTY, Graph, graph_of
-from .operators import derived, folds, groupings, guards, links, mutations, placement, views
+from .operators import derived, folds, groupings, guards, links, mutations, placement, reach, strata, views
 from .operators.select import matched_ids
 from .plans.path import Path
 from .streaming.delivery import View
@@ -119,9 +120,13 @@ class Structure:
         self.base = graph or graph_of(spark)
         self.declarations = spark.createDataFrame([], DECLARE).drop("seq")
         self.routes: set[tuple[str, str]] = set()
-        self.groupings: dict[str, tuple] = {}
+        self.groupings: dict[str, strata.Grouping] = {}
         self.rules: tuple[derived.Rule, ...] = ()
         self.views: dict[str, View] = {}
+        # What was worked out from the state: the graph before groups and rules, and whole; and the links drawn, from what.
+        self._plain: Graph | None = None
+        self._whole: Graph | None = None
+        self._drawn: tuple[DataFrame, DataFrame, frozenset] | None = None
 
     def run(self, task: Callable[[Task], object], source_id: int = NO_SOURCE):
         """Apply what ``task`` writes; what it returns."""
@@ -153,16 +158,33 @@ class Structure:
             closed = mutations.closure(base.objects, gone)
             base = mutations.remove(base, gone)
             declarations = drop(declarations, closed, "port_id", distinct=False)
-        base = base.with_(objects=self._settled(base.objects), contain=self._settled(base.contain), properties=self._settled(base.properties))
+        # Only what the task writes is written again.
+        parts = {p: cut(getattr(base, p)) for p in ("objects", "contain", "properties") if getattr(base, p) is not getattr(self.base, p)}
+        base = base.with_(**parts)
         self._check(base, own)
-        self.base, self.declarations, self.next = base, self._settled(declarations), own.next
+        if declarations is not self.declarations:
+            declarations = cut(declarations)
+        elif not parts:
+            self.next = own.next
+            return result
+        before = self.graph() if self.views else None
+        only_values = not parts.keys() - {"properties"} and declarations is self.declarations
+        self.base, self.declarations, self.next = base, declarations, own.next
+        self._whole = None
+        self._plain = self._plain.with_(properties=base.properties) if only_values and self._plain is not None else None
+        written = reach.Change(None, frame([v[:2] for v in own.values], "object_id long, key string").distinct()) if only_values else None
+        self._deliver(before, written)
         return result
 
-    def _settled(self, frame: DataFrame) -> DataFrame:
-        """Cut lineage where there is a folder for it; tasks would pile up plans otherwise."""
-        if self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            return frame
-        return frame.checkpoint()
+    def _deliver(self, before: Graph | None, written: reach.Change | None = None) -> None:
+        """Hand the change since ``before`` to the views that follow no stream; ``written`` is it, where nothing is derived."""
+        if before is None:
+            return
+        after = self.graph()
+        derives = self.rules or self.groupings
+        change = written if written is not None and not derives else reach.between(before, after)
+        for view in self.views.values():
+            view.take(after, change)
 
     @staticmethod
     def _refuse(found: DataFrame, what: str) -> None:
@@ -198,31 +220,55 @@ class Structure:
             self._refuse(guards.write_faults(frame(own.values, PROPERTY + ", seq long"), there, now.properties), "this cannot be written")
 
     def allow_route(self, requiring: str, providing: str) -> None:
-        self.routes.add((requiring, providing))
+        self._reroute(self.routes | {(requiring, providing)})
 
     def deny_route(self, requiring: str, providing: str) -> None:
-        self.routes.discard((requiring, providing))
+        self._reroute(self.routes - {(requiring, providing)})
+
+    def _reroute(self, routes: set[tuple[str, str]]) -> None:
+        if routes == self.routes:
+            return
+        before = self.graph() if self.views else None
+        self.routes = routes
+        self._plain = self._whole = None
+        self._deliver(before)
+
+    def _route_rows(self, routes) -> DataFrame | None:
+        return self.spark.createDataFrame(sorted(routes), "requiring_domain string, providing_domain string") if routes else None
+
+    def _redraw(self) -> tuple[DataFrame, DataFrame]:
+        """What is declared, and the links that follow: drawn once, and after that by what came and went."""
+        ports = self.base.objects.where(F.col("kind").isin("INPUT", "OUTPUT"))
+        declared = cut(links.declare(ports, self.declarations))
+        if self._drawn is None:
+            drawn = cut(links.draw(declared, self._route_rows(self.routes)))
+        else:
+            old, drawn, routes = self._drawn
+            went, came = links.declaration_changes(old, declared)
+            signed = cut(links.redraw(old, went, came, self._route_rows(routes), self._route_rows(routes - self.routes), self._route_rows(self.routes - routes)))
+            drawn = cut(links.apply_signed(drawn, signed))
+        self._drawn = (declared, drawn, frozenset(self.routes))
+        return declared, drawn
 
     def graph(self) -> Graph:
         """The graph with what follows from declarations: derived links, addresses of ports, counts of links, axes, nodes of groups, derived properties."""
+        if self._plain is None:
+            self._plain = self._with_links()
+        if self._whole is None:
+            self._whole = strata.settle(self._plain, self.rules, list(self.groupings.values())) if self.rules or self.groupings else self._plain
+        return self._whole
+
+    def _with_links(self) -> Graph:
         base = self.base
         ports = base.objects.where(F.col("kind").isin("INPUT", "OUTPUT"))
-        declared = links.declare(ports, self.declarations)
-        routes = self.spark.createDataFrame(sorted(self.routes), "requiring_domain string, providing_domain string") if self.routes else None
-        drawn = links.draw(declared, routes)
-        # High ids that depend on what the link joins only.
-        made = F.shiftrightunsigned(F.xxhash64("from_id", "to_id", "name"), 2).bitwiseOR(F.lit(1 << 62)).alias("object_id")
-        drawn_links = drawn.select(made, F.lit("LINK").alias("kind"), "name", "type", "from_id", "to_id", F.lit(True).alias("derived"))
+        declared, drawn = self._redraw()
         counts = links.link_counts(ports, base.objects.where("kind = 'LINK'").select("from_id", "to_id").unionAll(drawn.select("from_id", "to_id"))).select(F.col("port_id").alias("_port"), F.col("links").alias("_links"))
         own = self.declarations.select(F.col("port_id").alias("_declared"), F.col("role").alias("_role"), F.col("domain").alias("_domain"), F.array_sort(F.array_distinct("addresses")).alias("_address"))
         axes = base.contain.select(F.col("parent_id").alias("_holder"), F.col("axis").alias("_axis")).distinct()
         objects = base.objects.join(counts, F.col("object_id") == F.col("_port"), "left").join(own, F.col("object_id") == F.col("_declared"), "left").join(axes, F.col("object_id") == F.col("_holder"), "left")
         filled = {"links": F.col("_links"), "role": F.coalesce("_role", "role"), "domain": F.coalesce("_domain", "domain"), "address": F.coalesce("_address", "address"), "axis": F.coalesce("_axis", "axis")}
-        objects = objects.withColumns(filled).select(*base.objects.columns).unionByName(drawn_links, allowMissingColumns=True)
-        graph = base.with_(objects=objects, declared=declared, routes=routes)
-        for name, (type, selector, by, over) in self.groupings.items():
-            graph = groupings.as_nodes(graph, name, type, selector, by, over)
-        return derived.derive(graph, self.rules) if self.rules else graph
+        objects = objects.withColumns(filled).select(*base.objects.columns).unionByName(links.link_objects(drawn), allowMissingColumns=True)
+        return base.with_(objects=cut(objects), declared=declared, routes=self._route_rows(self.routes))
 
     def matched_object_ids(self, selector: str) -> DataFrame:
         return matched_ids(self.graph(), selector)
@@ -278,27 +324,50 @@ class Structure:
         for path in by:
             groupings.KeyPath(path)
         self._refuse(guards.name_faults(self.base.objects, [name]), f"an external id lies under {name!r}")
-        self.groupings[name] = (type, selector, tuple(by), tuple(over))
+        self._declare(self.rules, self.groupings | {name: strata.Grouping(name, type, selector, tuple(by), tuple(over))})
+
+    def derive_each(self, name: str, key: str, fold: str, path: str) -> None:
+        """Fold a path over the members of each group, those there are and those to come; refused as a whole where one group has the key."""
+        own = self.groupings[name]
+        if (key, fold, path) in own.over:
+            return
+        if fold not in folds.FOLDS:
+            raise Refused(f"no such fold: {fold}")
+        names, taken = {key, f"{key}.known", f"{key}.total"}, own.writes() | set(own.by)
+        if key.startswith("$") or names & taken:
+            raise Refused(f"{key!r} is a key of the groups of {name!r}")
+        groupings.KeyPath(path)
+        now = self.graph()
+        made = now.nodes().where(F.col("external_id").startswith(f"{name}:") & F.coalesce("derived", F.lit(False))).select("object_id")
+        held = now.properties.where(F.col("key").isin(*names) & (F.col("source_id") != NO_SOURCE)).join(made, "object_id", "left_semi")
+        self._refuse(held.select("object_id", "key", "source_id"), f"{key!r} has a writer")
+        self._declare(self.rules, self.groupings | {name: strata.Grouping(own.name, own.type, own.selector, own.by, (*own.over, (key, fold, path)))})
 
     def groups(self, name: str) -> DataFrame:
-        type, selector, by, over = self.groupings[name]
-        found = groupings.group_by(self.graph(), selector, by, over)
-        return found.withColumns({"type": F.lit(type), "external_id": F.concat(F.lit(f"{name}:"), "name")})
+        own = self.groupings[name]
+        found = groupings.group_by(self.graph(), own.selector, own.by, own.over)
+        return found.withColumns({"type": F.lit(own.type), "external_id": F.concat(F.lit(f"{name}:"), "name")})
 
     def remove_grouping(self, name: str) -> None:
-        self.groupings.pop(name, None)
-
-    def derive(self, rule: derived.Rule) -> None:
-        """Declare a derived property; what is declared already, and what is not allowed, changes nothing."""
-        if rule in self.rules:
-            return
-        before = self.rules
-        self.rules = (*before, rule)
+        if name in self.groupings:
+            self._declare(self.rules, {n: g for n, g in self.groupings.items() if n != name})
+
+    def _declare(self, rules: tuple, groups: dict) -> None:
+        """Other rules and groupings, whole or not at all; views hear what follows."""
+        held = self.rules, self.groupings, self._whole
+        before = self.graph() if self.views else None
+        self.rules, self.groupings, self._whole = rules, groups, None
         try:
             self.graph()
         except ValueError as e:
-            self.rules = before
+            self.rules, self.groupings, self._whole = held
             raise Refused(str(e)) from e
+        self._deliver(before)
+
+    def derive(self, rule: derived.Rule) -> None:
+        """Declare a derived property; what is declared already, and what is not allowed, changes nothing."""
+        if rule not in self.rules:
+            self._declare((*self.rules, rule), self.groupings)
 
     def fold_children(self, key: str, fold: str, axis: str, child_type: str | None = None) -> DataFrame:
         """Fold of a loose property over the children of each node."""
@@ -307,15 +376,18 @@ class Structure:
         own = own if child_type is None else own.where(F.col("type") == child_type)
         return folds.over_children(graph.contain, own.select("object_id", F.col(f"`{key}`.l").alias("l"), F.col(f"`{key}`.d").alias("d")), fold, axis)
 
-    def create_view(self, name: str, selector: str, folder: str, keys: Sequence[str] | None = None) -> View:
-        """A view over a stream of writes (``View.start``), from the graph as it is now."""
+    def create_view(self, name: str, selector: str, folder: str, keys: Sequence[str] | None = None, interval: float = 0.0) -> View:
+        """A view of the graph: what tasks change is delivered after each, and not more often than every ``interval`` seconds.
+
+        One that is given a stream of writes (``View.start``) follows that instead, from the graph as it is now.
+        """
         if name in self.views:
             raise Refused(f"there is a view {name!r}")
-        self.views[name] = View(self.graph(), selector, folder, keys)
+        self.views[name] = View(self.graph(), selector, folder, keys, interval=interval, rules=self.rules, groupings=tuple(self.groupings.values()))
         return self.views[name]
 
     def flush_all(self) -> None:
-        """Deliver now what the streams of all views have."""
+        """Deliver now what the streams of all views have, and what was held back."""
         for view in self.views.values():
             view.flush()
 
