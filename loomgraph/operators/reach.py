@@ -129,9 +129,13 @@ def delta(before: Graph, after: Graph, selector: str, change: Change, keys: Sequ
     """The records of ``views.delta``, by selecting only what the change reaches."""
     ids = candidates(before, after, selector, change)
     old, new = cut(members_among(before, selector, ids)), cut(members_among(after, selector, ids))
+    names = ["axis", "parent_id", "child_id"]
+    if "NODE" not in s.parse(selector).kinds():
+        none = after.contain.select(*names).where(F.lit(False))
+        return views.difference(before, after, old, new, none, none, new.select("object_id"), keys)
     # Pairs reach beyond: the other end may be a member that the change leaves alone.
-    near = lambda g: keep(g.contain, ids, "child_id", distinct=False).unionByName(keep(g.contain, ids, "parent_id", distinct=False)).distinct()
-    p_old, p_new = cut(near(before)), cut(near(after))
+    near = lambda g: keep(g.contain.select(*names), ids, "child_id", distinct=False).unionByName(keep(g.contain.select(*names), ids, "parent_id", distinct=False)).distinct()
+    p_old, p_new = near(before), near(after)
     ends = p_old.unionByName(p_new).select(F.explode(F.array("parent_id", "child_id")).alias("object_id")).distinct()
     standing = cut(members_among(after, selector, drop(ends, ids, "object_id", distinct=False)).select("object_id", "kind"))
     nodes = lambda own: own.where("kind = 'NODE'").select("object_id").unionAll(standing.where("kind = 'NODE'").select("object_id"))
