@@ -85,7 +85,8 @@ def test_query(spark, folder):
     got = plain(registry.queries()["op11_spelling"](spark, folder).collect())
     assert got == brute_variants(brute_words(own)) and len(got) > 5
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    # Its loops take long over a run of a million letters, which is no word here.
+    c.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet') where not starts_with(coalesce(text, ''), 'zzz')")
     assert sorted((w, f or "", r, n, k, m or 0) for w, f, r, n, k, m in c.execute(registry.oracle_sql()["op11_spelling"]).fetchall()) == got
 
 
