@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import keep
 from ..functions.lineage import cut
 from ..model import PROPERTY, Graph
-from . import mutations
+from . import feed, mutations
 
 OFF, COARSE, FINE = 0, 1, 2
 WRITE = (
@@ -114,6 +114,52 @@ def materialize(entries: DataFrame, function: Callable[[dict, Emit], None], supp
     return entries.mapInArrow(run, WRITE)
 
 
+def tried(entries: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
+    """``entries`` with ``error``: what their mapping fails with, null where it does not."""
+    names, levels = entries.columns, dict(supplied or {})
+
+    def fault(row: dict) -> str | None:
+        level = row.get("level")
+        try:
+            function(row, Emit(row["source_id"], row["external_id"], FINE if level is None else level, levels))
+        except Exception as fault:  # the function's, told per entry
+            return f"{type(fault).__name__}: {fault}"
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = [fault(dict(zip(names, values, strict=True))) for values in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string())], [*names, "error"])
+
+    return entries.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*entries.dtypes, ("error", "string")]))
+
+
+def attempts(words: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
+    """The observations that are mapped, with the ``error`` of those that fail; a version that failed is mapped again when it comes again.
+
+    What is mapped anyway is tried first; after a failure, what follows it
+    under the same version is tried as well.
+    """
+    seen = cut(feed.observations(words))
+    order = Window.partitionBy("source_id", "external_id").orderBy("seq")
+    runs = seen.withColumn("_run", F.sum(F.col("materialized").cast("int")).over(order))
+    first = cut(tried(runs.where("materialized"), function, supplied))
+    open_runs = first.where("error is not null").select("source_id", "external_id", "_run")
+    more = tried(runs.where("not materialized").join(open_runs, ["source_id", "external_id", "_run"], "left_semi").select(*runs.columns), function, supplied)
+    marked = first.unionByName(more).withColumn("failed", F.col("error").isNotNull()).drop("_run")
+    return feed.retried(marked).where("materialized").drop("materialized", "failed")
+
+
+def state_writes(changes: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
+    """Writes for the state that each feed is in (``feed.state_changes``), by a function as for observations; the entry is ``source:<id>``.
+
+    What is written for a state stands until the next, so the last one of each
+    source is mapped.
+    """
+    last = changes.groupBy("source_id").agg(F.max_by(F.struct("state", "reason", "seq"), "seq").alias("_s")).select("source_id", "_s.*")
+    return materialize(last.withColumn("external_id", F.concat(F.lit("source:"), F.col("source_id").cast("string"))), function, supplied)
+
+
 def rejected(writes: DataFrame) -> DataFrame:
     return writes.where("op = 'ERROR'").select("source_id", "external_id", "error")
 

@@ -85,6 +85,40 @@ def observations(words: DataFrame) -> DataFrame:
     return seen.withColumn("materialized", again)
 
 
+def retried(seen: DataFrame) -> DataFrame:
+    """``seen`` of ``observations``, with a flag ``failed`` of those whose mapping fails, and ``materialized`` as that has it.
+
+    A version whose mapping failed is not remembered, so what follows is mapped
+    again, until it succeeds or another reason comes.
+    """
+    life = Window.partitionBy("source_id", "external_id").orderBy("seq")
+    run = Window.partitionBy("source_id", "external_id", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    runs = seen.withColumn("_run", F.sum(F.col("materialized").cast("int")).over(life))
+    again = F.coalesce(F.min(F.col("failed").cast("int")).over(run) == 1, F.lit(False))
+    return runs.withColumn("materialized", F.col("materialized") | again).drop("_run")
+
+
+def state_changes(words: DataFrame) -> DataFrame:
+    """(source_id, seq, state, reason): each state that a feed comes to, in the order of words; it begins LOADING.
+
+    STALE while its source is unavailable, CONVERGED once a round was completed
+    while it was not, CLOSED for good. ``reason`` is the payload of the word
+    that made it stale.
+    """
+    few = words.where(F.col("word").isin("COMPLETE", "UNAVAILABLE", "AVAILABLE", "CLOSED"))
+    order = Window.partitionBy("source_id").orderBy("seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    word = F.col("word")
+    stale = F.coalesce(F.last(F.when(word.isin("UNAVAILABLE", "AVAILABLE"), word == "UNAVAILABLE"), ignorenulls=True).over(upto), F.lit(False))
+    marked = few.withColumn("_stale", stale)
+    done = F.max(((word == "COMPLETE") & ~F.col("_stale")).cast("int")).over(upto) == 1
+    closed = F.max((word == "CLOSED").cast("int")).over(upto) == 1
+    state = F.when(closed, "CLOSED").when(F.col("_stale"), "STALE").when(done, "CONVERGED").otherwise("LOADING")
+    before = F.lag("state", 1, "LOADING").over(order)
+    told = marked.withColumn("state", state).withColumn("_before", before).where("state <> _before")
+    return told.select("source_id", "seq", "state", F.when(F.col("state") == "STALE", F.col("payload")).alias("reason"))
+
+
 def alive(words: DataFrame, demand: DataFrame | None = None) -> DataFrame:
     """(source_id, external_id, scope, version, payload, seq) of the entries at the end of the log.
 

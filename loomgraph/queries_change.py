@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import derived, folds, groupings, links, reach, strata, upkeep
+from .operators import assembly, derived, feed, folds, groupings, links, reach, strata, upkeep
 from .operators.derived import Rule
 from .operators.select import matched
-from .queries import DECLARED, DELTA_SQL, DRAWN, LINKS, PLACED, SHIP, C, changed, nested_derivations, query, routes
+from .queries import DECLARED, DELTA_SQL, DRAWN, PLACED, SHIP, WORDS, C, changed, nested_derivations, query, routes
 from .sources import tpch
 
 UNIT = tpch.UNIT
@@ -182,3 +182,57 @@ def group_folds_derived(spark, d):
     out = strata.settle(graph, rules, [BANDS])
     keyed = out.widened(matched(out, "node[weight>10]"), {"weight"})
     return keyed.select("name", "type", F.col("weight.l").alias("weight"))
+
+
+def flaky(row: dict, emit: assembly.Emit) -> None:
+    """Observations of every third microsecond cannot be mapped."""
+    if row["seq"] // 8 % 3 == 0:
+        raise ValueError("not now")
+    emit.set(emit.node(row["external_id"], row["external_id"], "user"), "version", row["version"])
+
+
+@query("feed_failed_again", f"""with {WORDS}, b as (select *, seq // 8 % 3 = 0 as f, rn = 1 or version <> pv or gone <> pg or rnd - pr >= 2 as base from o),
+  r as (select *, sum(base::int) over (partition by source_id, external_id order by seq) as run from b),
+  t as (select *, min(f::int) over (partition by source_id, external_id, run order by seq rows between unbounded preceding and 1 preceding) as failing from r)
+  select source_id, external_id, seq, version, case when f then 'ValueError: not now' end as error from t where base or failing = 1""")
+def feed_failed_again(spark, d):
+    return assembly.attempts(tpch.words(spark, d), flaky).select("source_id", "external_id", "seq", "version", "error")
+
+
+def troubled(spark, d) -> DataFrame:
+    """The words, and of some users' errors that their source is unavailable or available again; one source is closed before its last day."""
+    words = tpch.words(spark, d)
+    user = F.substring("external_id", 6, 20).cast("long") % 40
+    event = words.where("version = 'error'").where(user.isin(3, 4, 5, 6))
+    none = F.lit(None).cast("string")
+    told = event.select("source_id", (F.col("seq") + 1).alias("seq"), F.when(user < 5, "UNAVAILABLE").otherwise("AVAILABLE").alias("word"), none.alias("external_id"), none.alias("version"), F.lit(None).cast("int").alias("scope"), F.when(user < 5, F.col("external_id")).alias("payload"))
+    end = words.where("source_id = 1").agg(F.max("seq").alias("seq")).where("seq is not null")
+    closed = end.select(F.lit(1).alias("source_id"), (F.col("seq") - 86_400_000_000 * 8).alias("seq"), F.lit("CLOSED").alias("word"), none.alias("external_id"), none.alias("version"), F.lit(None).cast("int").alias("scope"), none.alias("payload"))
+    return words.unionByName(told).unionByName(closed)
+
+
+STATES = f"""{WORDS}, e as (select source_id, seq, word, null as reason from w where word = 'COMPLETE'
+  union all select source_id, seq + 1, case when substr(external_id, 6)::bigint % 40 < 5 then 'UNAVAILABLE' else 'AVAILABLE' end, case when substr(external_id, 6)::bigint % 40 < 5 then external_id end from w where version = 'error' and substr(external_id, 6)::bigint % 40 in (3, 4, 5, 6)
+  union all select 1, max(seq) - 86400000000 * 8, 'CLOSED', null from w where source_id = 1 having max(seq) is not null),
+  y as (select *, coalesce(last_value(case when word in ('UNAVAILABLE', 'AVAILABLE') then word = 'UNAVAILABLE' end ignore nulls) over (partition by source_id order by seq), false) as stale from e),
+  z as (select *, case when bool_or(word = 'CLOSED') over p then 'CLOSED' when stale then 'STALE' when bool_or(word = 'COMPLETE' and not stale) over p then 'CONVERGED' else 'LOADING' end as state from y window p as (partition by source_id order by seq)),
+  st as (select source_id::int as source_id, seq, state, case when state = 'STALE' then reason end as reason from z qualify state <> lag(state, 1, 'LOADING') over (partition by source_id order by seq))"""
+
+
+@query("feed_state_changes", f"with {STATES} select * from st")
+def feed_state_changes(spark, d):
+    return feed.state_changes(troubled(spark, d))
+
+
+def noted(row: dict, emit: assembly.Emit) -> None:
+    """A source's node has its state, and why."""
+    own = emit.node(row["external_id"], row["external_id"], "source")
+    emit.set(own, "state", row["state"])
+    emit.set(own, "reason", row["reason"])
+
+
+@query("assembly_state_writes", f"""with {STATES}, l as (select 'source:' || source_id as object, arg_max(state, seq) as state, arg_max(struct_pack(r := reason), seq).r as reason from st group by source_id)
+  select object, 'state' as key, state as t from l union all select object, 'reason', reason from l where reason is not null""")
+def assembly_state_writes(spark, d):
+    """What a feed comes to is mapped by the user's function as observations are; the last state stays."""
+    return assembly.values(assembly.state_writes(feed.state_changes(troubled(spark, d)), noted)).select("object", "key", "t")
