@@ -15,8 +15,9 @@ Without a table of sections the sections of a document are its lines, each
 with the line feed that ends it.
 
 Defined results: a null or empty text has no tokens and one section, 0, of no
-characters when sections are lines; sections that overlap are refused;
-sections beyond the text are cut at its end; repeated documents are counted
+characters when sections are lines; of sections that overlap the later one
+begins where the earlier one ends; a section without bounds, or that ends
+before it begins, has no tokens and is returned as it is; sections beyond the text are cut at its end; repeated documents are counted
 each; a document without sections has all its tokens in section -1.
 """
 
