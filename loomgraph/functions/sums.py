@@ -60,23 +60,23 @@ def tally(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
 
-def _nearest(parts) -> float | None:
-    """The double nearest to the sum of (range, part)."""
-    if parts is None or not len(parts):
-        return None
-    low = min(p["range"] for p in parts)
-    number = sum(int(p["part"]) << RANGE * (p["range"] - low) for p in parts)
-    power = RANGE * low
-    try:
-        # Division of whole numbers rounds once, correctly.
-        return float(number << power) if power >= 0 else number / (1 << -power)
-    except OverflowError:
-        return float("inf") if number > 0 else float("-inf")
-
-
 def rounded(parts: Column) -> Column:
+    """The double nearest to the sum of an array of (range, part)."""
+
+    def nearest(own) -> float | None:
+        if own is None or not len(own):
+            return None
+        low = min(p["range"] for p in own)
+        number = sum(int(p["part"]) << RANGE * (p["range"] - low) for p in own)
+        power = RANGE * low
+        try:
+            # Division of whole numbers rounds once, correctly.
+            return float(number << power) if power >= 0 else number / (1 << -power)
+        except OverflowError:
+            return float("inf") if number > 0 else float("-inf")
+
     def each(items: pd.Series) -> pd.Series:
-        return pd.Series([_nearest(x) for x in items], dtype="float64")
+        return pd.Series([nearest(x) for x in items], dtype="float64")
 
     return F.pandas_udf(each, "double")(parts)
 

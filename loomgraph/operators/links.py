@@ -152,6 +152,22 @@ def redrawn(before: Graph, after: Graph) -> Graph:
     return after.with_(objects=objects.unionByName(link_objects(signed.where("sign > 0")), allowMissingColumns=True))
 
 
+def drawn_counts(declared: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """(port_id, links): how many links ``draw`` draws at each port that has some, without drawing them.
+
+    Ports that declare an address in one role, domain and kind have the same
+    partners, so the numbers of such ports meet in place of the ports.
+    """
+    alike = ["address", "role", "domain", "kind"]
+    rows = declared.select("port_id", *[F.coalesce(c, F.lit("")).alias(c) if c == "domain" else c for c in alike])
+    sizes = rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    side = lambda role, p, other: sizes.where(F.col("role") == role).select("address", F.lit(other).alias(f"{p}_port_id"), F.col("kind").alias(f"{p}_kind"), F.col("domain").alias(f"{p}_domain"), F.col("n").alias(f"{p}_n"))
+    pairs = _pairs(side("provide", "p", 0), side("require", "r", 1), routes)
+    ends = pairs.select("address", F.explode(F.array(*[F.struct(F.lit(role).alias("role"), F.col(f"{p}_domain").alias("domain"), F.col(f"{p}_kind").alias("kind"), F.col(f"{q}_n").alias("n")) for role, p, q in (("provide", "p", "r"), ("require", "r", "p"))])).alias("e"))
+    partners = ends.select("address", "e.*").groupBy(*alike).agg(F.sum("n").alias("n"))
+    return rows.join(partners, alike).groupBy("port_id").agg(F.sum("n").alias("links"))
+
+
 def link_counts(ports: DataFrame, links: DataFrame) -> DataFrame:
     """(port_id, links): all links at each port, none counts 0."""
     ends = links.select(F.col("from_id").alias("_end")).unionAll(links.select(F.col("to_id").alias("_end")))

@@ -119,7 +119,7 @@ def members_among(graph: Graph, selector: str, ids: DataFrame) -> DataFrame:
     if "LINK" not in s.parse(selector).kinds():
         return own
     ports = keep(graph.objects.where(F.col("kind").isin(*PORTS)), ids, "object_id", distinct=False)
-    held = matched(graph, selector, _links_at(graph, ports).select("object_id")).where("kind = 'LINK'")
+    held = matched(graph, selector, cut(_links_at(graph, ports).select("object_id"))).where("kind = 'LINK'")
     ends = held.select(F.explode(F.array("from_id", "to_id")).alias("object_id")).distinct()
     carried = drop(keep(ports, ends, "object_id", distinct=False), own.select("object_id"), "object_id", distinct=False)
     return own.unionByName(carried)
@@ -137,7 +137,8 @@ def delta(before: Graph, after: Graph, selector: str, change: Change, keys: Sequ
     near = lambda g: keep(g.contain.select(*names), ids, "child_id", distinct=False).unionByName(keep(g.contain.select(*names), ids, "parent_id", distinct=False)).distinct()
     p_old, p_new = near(before), near(after)
     ends = p_old.unionByName(p_new).select(F.explode(F.array("parent_id", "child_id")).alias("object_id")).distinct()
-    standing = cut(members_among(after, selector, drop(ends, ids, "object_id", distinct=False)).select("object_id", "kind"))
+    others = cut(drop(ends, ids, "object_id", distinct=False))
+    standing = cut(members_among(after, selector, others).select("object_id", "kind"))
     nodes = lambda own: own.where("kind = 'NODE'").select("object_id").unionAll(standing.where("kind = 'NODE'").select("object_id"))
     within = lambda pairs, own: keep(keep(pairs, nodes(own), "parent_id", distinct=False), nodes(own), "child_id", distinct=False)
     return views.difference(before, after, old, new, within(p_old, old), within(p_new, new), nodes(new), keys)

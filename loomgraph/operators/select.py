@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import keep
+from ..functions.lineage import cut
 from ..functions.values import Cell, any_of, matches, sure
 from ..model import Graph
 from ..plans import selector as s
@@ -29,8 +30,8 @@ def _addresses(compare: s.Compare) -> Column:
 
 
 class _Plan:
-    def __init__(self, graph: Graph, frame: DataFrame, few: bool = False) -> None:
-        # Of few objects only what they hang on is looked at.
+    def __init__(self, graph: Graph, frame: DataFrame, few: DataFrame | None = None) -> None:
+        # Of few objects, by their ids, only what they hang on is looked at.
         self.graph, self.frame, self.marks, self.few = graph, frame, 0, few
 
     def mark(self, ids: DataFrame, key: str) -> Column:
@@ -61,7 +62,7 @@ class _Plan:
             case s.Not(inner):
                 return ~sure(self.column(inner))
             case s.Under(axis, path):
-                chains = climbed(self.graph, axis, self.frame.select("object_id")) if self.few else ancestors(self.graph, axis)
+                chains = ancestors(self.graph, axis) if self.few is None else climbed(self.graph, axis, self.few)
                 found = chains.where(below(F.col("chain"), path)).select(F.col("object_id").alias("id")).distinct()
                 return self.mark(found, "object_id")
             case s.On(inner):
@@ -76,8 +77,8 @@ class _Plan:
     def nodes(self, inner: s.Term, *at: str) -> DataFrame:
         """Ids of the nodes that the inner term holds; those in the columns ``at`` alone, where rows are few."""
         among = None
-        if self.few:
-            among = self.frame.select(F.explode(F.array(*at)).alias("object_id")).where("object_id is not null").distinct()
+        if self.few is not None:
+            among = cut(self.frame.select(F.explode(F.array(*at)).alias("object_id")).where("object_id is not null").distinct())
         return matched(self.graph, s.And((s.Kind("NODE"), inner)), among).select(F.col("object_id").alias("id"))
 
     def with_ends(self) -> None:
@@ -100,7 +101,7 @@ def matched(graph: Graph, selector: str | s.Term, among: DataFrame | None = None
         frame = keep(frame, among, "object_id", distinct=False)
     # Terms inside sets of ids are read by their own plans.
     own = _own_keys(term)
-    plan = _Plan(graph, graph.widened(frame, own), among is not None)
+    plan = _Plan(graph, graph.widened(frame, own), None if among is None else among.select("object_id"))
     column = plan.column(term)
     return plan.frame.where(column).select(*graph.objects.columns)
 

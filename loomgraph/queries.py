@@ -179,7 +179,9 @@ def addr_any_address(spark, d):
   select object_id as port_id, count(p) as links from {PORTS} x left join e on object_id = p group by 1""")
 def addr_link_count(spark, d):
     graph = tpch.bind(spark, d)
-    return links.link_counts(graph.objects.where(F.col("kind").isin("INPUT", "OUTPUT")), links.draw(graph.declared))
+    ports = graph.objects.where(F.col("kind").isin("INPUT", "OUTPUT")).select(F.col("object_id").alias("_port"))
+    counts = links.drawn_counts(graph.declared)
+    return ports.join(counts, F.col("_port") == F.col("port_id"), "left").select(F.col("_port").alias("port_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 MONEY = "sum({}::decimal(18,2))"
