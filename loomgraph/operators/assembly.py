@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import keep
@@ -140,13 +140,11 @@ def attempts(words: DataFrame, function: Callable[[dict, Emit], None], supplied:
     What is mapped anyway is tried first; after a failure, what follows it
     under the same version is tried as well.
     """
-    seen = cut(feed.observations(words))
-    order = Window.partitionBy("source_id", "external_id").orderBy("seq")
-    runs = seen.withColumn("_run", F.sum(F.col("materialized").cast("int")).over(order))
+    runs = cut(feed.runs(cut(feed.observations(words))))
     first = cut(tried(runs.where("materialized"), function, supplied))
     open_runs = first.where("error is not null").select("source_id", "external_id", "_run")
     more = tried(runs.where("not materialized").join(open_runs, ["source_id", "external_id", "_run"], "left_semi").select(*runs.columns), function, supplied)
-    marked = first.unionByName(more).withColumn("failed", F.col("error").isNotNull()).drop("_run")
+    marked = first.unionByName(more).withColumn("failed", F.col("error").isNotNull())
     return feed.retried(marked).where("materialized").drop("materialized", "failed")
 
 

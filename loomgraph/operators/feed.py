@@ -17,17 +17,22 @@ STRETCH, MOST_STRETCHES = 5_000, 100_000  # words of a stretch on average, and s
 WORD = "source_id int, seq long, word string, external_id string, version string, scope int, payload string"
 
 
-def running(rows: DataFrame, flag: Column, parts: Sequence[str], name: str) -> DataFrame:
+def stretches(rows: DataFrame) -> Column:
+    """The number of the stretch of ``seq`` in which a row of ``rows`` lies."""
+    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    count = min(MOST_STRETCHES, max(1, n // STRETCH))
+    width = max(1, ((high or 0) - (low or 0)) // count + 1)
+    return F.floor((F.col("seq") - F.lit(low or 0)) / width)
+
+
+def running(rows: DataFrame, flag: Column, parts: Sequence[str], name: str, stretch: Column | None = None) -> DataFrame:
     """``rows`` with the number of flagged rows of the same ``parts`` up to each row's own ``seq``.
 
     A part may hold most rows, so none is sorted in one task: rows are counted
     in stretches of ``seq``, the counts of the stretches before are summed, and
     only rows of one stretch are put in order together.
     """
-    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
-    stretches = min(MOST_STRETCHES, max(1, n // STRETCH))
-    width = max(1, ((high or 0) - (low or 0)) // stretches + 1)
-    marked = rows.withColumn("_stretch", F.floor((F.col("seq") - F.lit(low or 0)) / width)).withColumn("_flag", F.when(flag, 1).otherwise(0))
+    marked = rows.withColumn("_stretch", stretches(rows) if stretch is None else stretch).withColumn("_flag", F.when(flag, 1).otherwise(0))
     own = [F.col(c).alias(f"_p_{c}") for c in parts]
     counts = marked.groupBy(*own, F.col("_stretch").alias("_at")).agg(F.sum("_flag").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*[f"_p_{c}" for c in parts]).orderBy("_at")) - F.col("_n")
@@ -39,6 +44,20 @@ def running(rows: DataFrame, flag: Column, parts: Sequence[str], name: str) -> D
     return marked.withColumn("_inside", inside).join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 
+def preceding(rows: DataFrame, fields: Sequence[str], parts: Sequence[str], name: str, stretch: Column) -> DataFrame:
+    """``rows`` with a struct of the ``fields`` of the row before, by ``seq``, among those of the same ``parts``; null for the first.
+
+    Only the first and last rows of a part in each stretch are put in order
+    over the whole part; a part that holds most rows has few of them.
+    """
+    inside, whole = Window.partitionBy(*parts, "_stretch").orderBy("seq"), Window.partitionBy(*parts).orderBy("seq")
+    marked = rows.withColumn("_stretch", stretch).withColumn("_own", F.struct(*fields))
+    marked = marked.withColumn(name, F.lag("_own").over(inside)).withColumn("_last", F.lead("seq").over(inside).isNull())
+    edge = F.col(name).isNull() | F.col("_last")
+    edges = marked.where(edge).withColumn(name, F.coalesce(name, F.lag("_own").over(whole)))
+    return marked.where(~edge).unionByName(edges).select(*rows.columns, name)
+
+
 def coalesced(words: DataFrame) -> DataFrame:
     """The last observation of each external id between two words of another kind."""
     seen = running(words, F.col("word") != "OBSERVED", ["source_id"], "epoch").where("word = 'OBSERVED'")
@@ -66,36 +85,47 @@ def completions(words: DataFrame) -> DataFrame:
     return completed(words).groupBy("source_id", "scope").agg(F.count(F.lit(1)).alias("rounds"))
 
 
+LIFE = ["source_id", "external_id"]
+
+
 def observations(words: DataFrame) -> DataFrame:
-    """Observations with what came before: ``materialized`` tells whether the observation is mapped to writes again."""
-    life = Window.partitionBy("source_id", "external_id").orderBy("seq")
+    """Observations with what came before: ``materialized`` tells whether the observation is mapped to writes again.
+
+    A thing that is observed all the time is put in order by stretches, never
+    in one task.
+    """
     marked = rounds(words).where("word in ('OBSERVED', 'REMOVED')")
-    gone = F.sum(F.when(F.col("word") == "REMOVED", 1).otherwise(0)).over(life)
-    seen = marked.withColumn("removals", gone).where("word = 'OBSERVED'")
-    before = lambda c: F.lag(c).over(life)
-    first = F.row_number().over(life) == 1
+    rows = preceding(marked, ["word", "version", "scope", "round"], LIFE, "_old", stretches(words)).where("word = 'OBSERVED'")
+    old = lambda c: F.col(f"_old.{c}")
     again = (
-        first
-        | F.coalesce(F.col("version") != before("version"), F.lit(True))
-        | ~F.col("scope").eqNullSafe(before("scope"))
-        | (F.col("removals") != before("removals"))
+        # The first, or the first after it was removed.
+        F.coalesce(old("word") != "OBSERVED", F.lit(True))
+        | F.coalesce(F.col("version") != old("version"), F.lit(True))
+        | ~F.col("scope").eqNullSafe(old("scope"))
         # Two completions of its scope since the last time: it was swept in between.
-        | (F.col("round") - before("round") >= 2)
+        | (F.col("round") - old("round") >= 2)
     )
-    return seen.withColumn("materialized", again)
+    return rows.withColumn("materialized", again).drop("_old")
+
+
+def runs(seen: DataFrame) -> DataFrame:
+    """``seen`` of ``observations`` with ``_run``: how many observations of the thing were mapped so far."""
+    return running(seen, F.col("materialized"), LIFE, "_run")
 
 
-def retried(seen: DataFrame) -> DataFrame:
-    """``seen`` of ``observations``, with a flag ``failed`` of those whose mapping fails, and ``materialized`` as that has it.
+def retried(tried: DataFrame) -> DataFrame:
+    """``tried``, of ``runs`` with a flag ``failed`` of those whose mapping fails, and ``materialized`` as that has it.
 
     A version whose mapping failed is not remembered, so what follows is mapped
-    again, until it succeeds or another reason comes.
+    again, until it succeeds or another reason comes. The first success of a
+    run decides for all of it, so no run is put in order.
     """
-    life = Window.partitionBy("source_id", "external_id").orderBy("seq")
-    run = Window.partitionBy("source_id", "external_id", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    runs = seen.withColumn("_run", F.sum(F.col("materialized").cast("int")).over(life))
-    again = F.coalesce(F.min(F.col("failed").cast("int")).over(run) == 1, F.lit(False))
-    return runs.withColumn("materialized", F.col("materialized") | again).drop("_run")
+    first = tried.where("not failed").groupBy(*[F.col(c).alias(f"_r_{c}") for c in (*LIFE, "_run")]).agg(F.min("seq").alias("_ok"))
+    same = F.lit(True)
+    for c in (*LIFE, "_run"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    open_yet = F.coalesce(F.col("seq") <= F.col("_ok"), F.lit(True))
+    return tried.join(first, same, "left").select(*[c for c in tried.columns if c != "materialized"], (F.col("materialized") | open_yet).alias("materialized")).drop("_run")
 
 
 def state_changes(words: DataFrame) -> DataFrame:

@@ -106,3 +106,23 @@ def test_lookups_read_one_table(spark):
     link = graph.objects.where("kind = 'LINK'").first()
     assert [r.object_id for r in graph.one(link.object_id).collect()] == [link.object_id]
     assert graph.named("nothing").count() == 0 == graph.one(12).count()
+
+
+def test_a_thing_observed_all_the_time(spark, monkeypatch):
+    monkeypatch.setattr(feed, "STRETCH", 10)
+    rng = random.Random(9)
+    rows = [(1, n, "REMOVED" if rng.random() < 0.1 else "OBSERVED", "hot" if n % 5 else f"c{n % 3}", rng.choice("ab"), 0, None) for n in range(300)]
+    words = spark.createDataFrame(rows, feed.WORD)
+    again = {(r.external_id, r.seq) for r in feed.observations(words).where("materialized").collect()}
+    assert again == {(k, q) for _, k, q in loop(rows)[1]}
+    # Failures: what follows one is mapped again until it succeeds.
+    fails = lambda q: q % 4 < 2
+    tried = feed.runs(feed.observations(words)).selectExpr("*", "seq % 4 < 2 as failed")
+    want, remembered = set(), {}
+    for _, seq, word, key, version, _, _ in rows:
+        if word == "REMOVED":
+            remembered.pop(key, None)
+        elif remembered.get(key) != version:
+            want.add((key, seq))
+            remembered[key] = None if fails(seq) else version
+    assert {(r.external_id, r.seq) for r in feed.retried(tried).where("materialized").collect()} == want
