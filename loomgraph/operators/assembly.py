@@ -91,8 +91,21 @@ class Emit:
         self._add("REMOVE", object)
 
 
-def materialize(entries: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
-    """Writes of all entries (source_id, external_id, .., and a ``level`` if demand is known)."""
+Supplied = Mapping[str, int] | Mapping[int, Mapping[str, int]]
+
+
+def of_source(supplied: Supplied, source_id: int) -> Mapping[str, int]:
+    """Levels of properties, be they given for all sources or for each."""
+    each = any(isinstance(v, Mapping) for v in supplied.values())
+    return supplied.get(source_id, {}) if each else supplied
+
+
+def materialize(entries: DataFrame, function: Callable[[dict, Emit], None], supplied: Supplied | None = None) -> DataFrame:
+    """Writes of all entries (source_id, external_id, .., and a ``level`` if demand is known).
+
+    ``supplied`` has the level from which a property is written, for all
+    sources alike or by source (``sources.feeds.supplied``).
+    """
     names = entries.columns
     schema = pa.schema([(n, {"source_id": pa.int32(), "ord": pa.int32(), "addresses": pa.list_(pa.string()), "l": pa.int64(), "d": pa.float64(), "b": pa.bool_()}.get(n, pa.string())) for n in NAMES])
     levels = dict(supplied or {})
@@ -103,7 +116,7 @@ def materialize(entries: DataFrame, function: Callable[[dict, Emit], None], supp
             for values in zip(*[batch.column(i).to_pylist() for i in range(len(names))], strict=True):
                 row = dict(zip(names, values, strict=True))
                 level = row.get("level")
-                emit = Emit(row["source_id"], row["external_id"], FINE if level is None else level, levels)
+                emit = Emit(row["source_id"], row["external_id"], FINE if level is None else level, of_source(levels, row["source_id"]))
                 try:
                     function(row, emit)
                     out += emit.rows
@@ -114,14 +127,14 @@ def materialize(entries: DataFrame, function: Callable[[dict, Emit], None], supp
     return entries.mapInArrow(run, WRITE)
 
 
-def tried(entries: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
+def tried(entries: DataFrame, function: Callable[[dict, Emit], None], supplied: Supplied | None = None) -> DataFrame:
     """``entries`` with ``error``: what their mapping fails with, null where it does not."""
     names, levels = entries.columns, dict(supplied or {})
 
     def fault(row: dict) -> str | None:
         level = row.get("level")
         try:
-            function(row, Emit(row["source_id"], row["external_id"], FINE if level is None else level, levels))
+            function(row, Emit(row["source_id"], row["external_id"], FINE if level is None else level, of_source(levels, row["source_id"])))
         except Exception as fault:  # the function's, told per entry
             return f"{type(fault).__name__}: {fault}"
         return None
@@ -134,7 +147,7 @@ def tried(entries: DataFrame, function: Callable[[dict, Emit], None], supplied:
     return entries.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*entries.dtypes, ("error", "string")]))
 
 
-def attempts(words: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
+def attempts(words: DataFrame, function: Callable[[dict, Emit], None], supplied: Supplied | None = None) -> DataFrame:
     """The observations that are mapped, with the ``error`` of those that fail; a version that failed is mapped again when it comes again.
 
     What is mapped anyway is tried first; after a failure, what follows it
@@ -148,7 +161,7 @@ def attempts(words: DataFrame, function: Callable[[dict, Emit], None], supplied:
     return feed.retried(marked).where("materialized").drop("materialized", "failed")
 
 
-def state_writes(changes: DataFrame, function: Callable[[dict, Emit], None], supplied: Mapping[str, int] | None = None) -> DataFrame:
+def state_writes(changes: DataFrame, function: Callable[[dict, Emit], None], supplied: Supplied | None = None) -> DataFrame:
     """Writes for the state that each feed is in (``feed.state_changes``), by a function as for observations; the entry is ``source:<id>``.
 
     What is written for a state stands until the next, so the last one of each
