@@ -3,7 +3,8 @@
 Records have one order that keeps "both ends are stated before a pair": within
 a batch ADDED, UNCONTAINED, CONTAINED, REMOVED, then PROPERTY_CHANGED, each by
 id and key. ``ord`` is that rank with the id; it is not a global row number, so
-no task has to see all records.
+no task has to see all records. ``kind`` is the object's, null at pairs and at
+properties that do not come from its own row.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ def members(graph: Graph, selector: str) -> DataFrame:
     return own.unionByName(ports)
 
 
-def entries(graph: Graph, objects: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """(object_id, key, vtype, l, d, b, t) of every value; ``keys`` limits all but intrinsic ones."""
+def entries(graph: Graph, objects: DataFrame, keys: Sequence[str] | None = None, kinds: bool = False) -> DataFrame:
+    """(object_id, key, vtype, l, d, b, t) of every value; ``keys`` limits all but intrinsic ones.
+
+    With ``kinds``, also the ``kind`` of the object, but for loose properties.
+    """
     items = []
     names = [*INTRINSIC, *[k for k in graph.bound if not keys or k in keys]]
     for name in names:
@@ -51,11 +55,11 @@ def entries(graph: Graph, objects: DataFrame, keys: Sequence[str] | None = None)
         items.append(
             F.when(column.isNotNull(), F.struct(F.lit(name).alias("key"), F.lit(kind).alias("vtype"), value("long", "long").alias("l"), value("double", "double").alias("d"), value("boolean", "boolean").alias("b"), value("text", "string").alias("t")))
         )
-    wide = objects.select("object_id", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("_e")).select("object_id", "_e.*")
+    wide = objects.select("object_id", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("_e"), *(["kind"] if kinds else [])).select("object_id", "_e.*", *(["kind"] if kinds else []))
     if graph.properties is None:
         return wide
     loose = graph.properties if not keys else graph.properties.where(F.col("key").isin(*keys))
-    return wide.unionByName(keep(loose.select("object_id", "key", *VALUE), objects.select("object_id"), "object_id", distinct=False))
+    return wide.unionByName(keep(loose.select("object_id", "key", *VALUE), objects.select("object_id"), "object_id", distinct=False), allowMissingColumns=kinds)
 
 
 def _record(frame: DataFrame, change: str, **given) -> DataFrame:
@@ -76,7 +80,7 @@ def snapshot(graph: Graph, selector: str, keys: Sequence[str] | None = None) ->
     """Records that build the view from nothing."""
     own = members(graph, selector)
     out = _record(own, "ADDED")
-    out = out.unionByName(_record(entries(graph, own, keys), "PROPERTY_CHANGED"))
+    out = out.unionByName(_record(entries(graph, own, keys, kinds=True), "PROPERTY_CHANGED"))
     return out.unionByName(_record(pairs(graph, own).select(F.col("child_id").alias("object_id"), "parent_id"), "CONTAINED"))
 
 
@@ -92,10 +96,10 @@ def difference(before: Graph, after: Graph, old: DataFrame, new: DataFrame, pair
     added = drop(new, ids_old, "object_id", distinct=False)
     removed = drop(old, ids_new, "object_id", distinct=False)
     e_old = keep(entries(before, old, keys).select("object_id", "key", F.struct(*VALUE).alias("o")), ids_new, "object_id", distinct=False)
-    e_new = entries(after, new, keys).select("object_id", "key", F.struct(*VALUE).alias("n"))
+    e_new = entries(after, new, keys, kinds=True).select("object_id", "key", "kind", F.struct(*VALUE).alias("n"))
     both = e_new.join(e_old, ["object_id", "key"], "full")
     differs = F.col("o").isNull() | F.col("n").isNull() | ~same_value("n", "o")
-    changed = both.where(differs).select("object_id", "key", *[F.col(f"n.{c}").alias(c) for c in VALUE])
+    changed = both.where(differs).select("object_id", "key", "kind", *[F.col(f"n.{c}").alias(c) for c in VALUE])
     names = ["axis", "parent_id", "child_id"]
     p_old, p_new = pairs_old.select(*names), pairs_new.select(*names)
     both_pairs = p_new.withColumn("_new", F.lit(True)).join(p_old.withColumn("_old", F.lit(True)), names, "full")
@@ -116,7 +120,7 @@ def touched(graph: Graph, object_id: int) -> DataFrame:
 
 def stated(graph: Graph, objects: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Records that state the properties of objects."""
-    return _record(entries(graph, objects, keys), "PROPERTY_CHANGED")
+    return _record(entries(graph, objects, keys, kinds=True), "PROPERTY_CHANGED")
 
 
 def replica(records: DataFrame) -> DataFrame:

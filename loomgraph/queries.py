@@ -9,7 +9,7 @@ from .operators import assembly, demand, derived, feed, folds, groupings, guards
 from .operators.derived import Rule
 from .operators.select import matched, matched_ids
 from .plans.path import Path
-from .sources import frames, tpch
+from .sources import feeds, frames, tpch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -409,19 +409,45 @@ def view_replica(spark, d):
     return views.replica(log).where("key = 'acctbal'").select("object_id", "d")
 
 
-@query("view_frames")
+PLACES = "o as (select 1000000000000 + r_regionkey as id, r_name as name, 'region' as type, 'region:' || r_regionkey as ext from region union all select 2000000000000 + n_nationkey, n_name, 'nation', 'nation:' || n_nationkey from nation)"
+
+
+@query("view_frames", f"""with {PLACES}, c as (select 0 as rank, id, '["+",' || id || ',"NODE"]' as item from o
+  union all select 2, 2000000000000 + n_nationkey, '["c",' || (2000000000000 + n_nationkey) || ',' || (1000000000000 + n_regionkey) || ']' from nation
+  union all select 4, id, '["p",' || id || ',1,"placement",2,"' || ext || '",3,"' || name || '",4,"' || type || '"]' from o)
+  select 'places' as view, 3 as seq, id // 1000 as part, '{{"view":"places","seq":3,"version":7,"snapshot":true,"changes":[' || string_agg(item, ',' order by rank, id) || '],"keys":{{"1":"$axis","2":"$externalId","3":"$name","4":"$type"}}}}' as frame from c group by part""")
 def view_frames(spark, d):
-    return frames.frames(views.snapshot(tpch.bind(spark, d), "node[$type=region], node[$type=nation]"), "places", 0, True)
+    return frames.frames(views.snapshot(tpch.bind(spark, d), "node[$type=region], node[$type=nation]"), "places", 3, True, 7)
 
 
-@query("view_frame_changes", """with o as (select 1000000000000 + r_regionkey as id, r_name as name, 'region' as type, 'region:' || r_regionkey as ext from region union all select 2000000000000 + n_nationkey, n_name, 'nation', 'nation:' || n_nationkey from nation)
-  select '+' as change, id as object_id, 'NODE' as first, null::varchar as second from o union all select 'c', 2000000000000 + n_nationkey, (1000000000000 + n_regionkey)::varchar, null from nation
+@query("view_frame_changes", f"""with {PLACES} select '+' as change, id as object_id, 'NODE' as first, null::varchar as second from o union all select 'c', 2000000000000 + n_nationkey, (1000000000000 + n_regionkey)::varchar, null from nation
   union all select 'p', id, unnest(['$name', '$type', '$externalId', '$axis']), unnest([name, type, ext, 'placement']) from o""")
 def view_frame_changes(spark, d):
     """The frames read again, as a client would."""
-    read = F.from_json("frame", "changes array<array<string>>")["changes"]
-    each = view_frames(spark, d).select(F.explode(read).alias("c"))
-    return each.select(F.col("c")[0].alias("change"), F.col("c")[1].cast("long").alias("object_id"), F.get("c", F.lit(2)).alias("first"), F.get("c", F.lit(3)).alias("second"))
+    return frames.changes(view_frames(spark, d))
+
+
+@query("view_frame_ports", f"""with k as (select {LINK.replace('l_orderkey', 'o').replace('l_suppkey', 's')} as id, o, s, quantity, revenue, lines from {SHIP} where quantity >= 80)
+  select 'p' as change, 7000000000000 + s as object_id, count(*) filter (where false) as told from k group by s union all select 'p', 8000000000000 + o, 0 from k group by o""")
+def view_frame_ports(spark, d):
+    """Ports come with their links; no frame states their external ids."""
+    told = frames.changes(frames.frames(views.snapshot(tpch.bind(spark, d), "link[quantity>=80]"), "ports", 0, True))
+    ports = told.where(f"change = 'p' and object_id < {9 * tpch.UNIT}")
+    return ports.groupBy("change", "object_id").agg(F.count(F.when(F.col("first") == "$externalId", 1)).alias("told"))
+
+
+@query("view_delta_enters", f"""with c as (select {C} as id, c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal as a, case when ({C}) % 3 = 0 then c_acctbal / 2 else c_acctbal end as z from customer),
+  n as (select * from c where not a < 2000 and z < 2000), p as (select *, case when c_nationkey = 3 then 4 else c_nationkey end as nation from c where z < 2000)
+  select 'ADDED' as change, id as object_id, null::bigint as parent_id, null::varchar as key, null::varchar as value from n
+  union all select 'PROPERTY_CHANGED', id, null, unnest(['$id', '$name', '$type', '$externalId', 'acctbal', 'segment']), unnest([id::varchar, c_name, 'customer', 'customer:' || c_custkey, z::varchar, c_mktsegment]) from n
+  union all select 'PROPERTY_CHANGED', id, null, 'acctbal', z::varchar from c where a < 2000 and z < 2000 and a <> z
+  union all select 'CONTAINED', id, 2000000000000 + nation, null, null from p where not a < 2000 or c_nationkey = 3
+  union all select 'UNCONTAINED', id, 2000000000003, null, null from c where a < 2000 and z < 2000 and c_nationkey = 3""")
+def view_delta_enters(spark, d):
+    """Objects enter with all of their properties and pairs; those that stay tell what is new."""
+    before, after = changed(spark, d)
+    records = views.delta(before, after, "node[$type=customer][acctbal<2000], node[$type=nation]")
+    return records.select("change", "object_id", "parent_id", "key", as_text(records).alias("value"))
 
 
 @query("query_properties", f"select {P} as object_id, unnest(['$id', '$name', '$type', '$externalId', 'brand', 'size', 'price']) as key, unnest([({P})::varchar, p_name, 'part', 'part:' || p_partkey, p_brand, p_size::varchar, p_retailprice::varchar]) as value from part where p_size = 7")
@@ -445,6 +471,15 @@ def feed_coalesce(spark, d):
     return feed.coalesced(tpch.words(spark, d)).select("source_id", "external_id", "seq")
 
 
+@query("feed_source", f"""with {WORDS} select source_id, external_id, scope, version from w x where word = 'OBSERVED'
+  and not exists (select 1 from w r where r.word = 'REMOVED' and r.external_id = x.external_id and r.seq >= x.seq)
+  qualify row_number() over (partition by source_id, external_id order by seq desc) = 1""")
+def feed_source(spark, d):
+    """The entries of two sources that read the events by themselves, row group by row group."""
+    feeds.register(spark, "event_words", lambda options: [tpch.Events(n, options["path"]) for n in (0, 1)])
+    return feed.alive(spark.read.format("event_words").load(f"{d}/events.parquet")).select("source_id", "external_id", "scope", "version")
+
+
 @query("feed_version_dedup", f"with {WORDS} select source_id, external_id, seq, version from o where rn = 1 or version <> pv or gone <> pg or rnd - pr >= 2")
 def feed_version_dedup(spark, d):
     return feed.observations(tpch.words(spark, d)).where("materialized").select("source_id", "external_id", "seq", "version")

@@ -206,8 +206,13 @@ def test_frames(spark):
 
     graph = graph_of(spark, [node(1, 'a"b')], [prop(1, "r", "DOUBLE", "NaN")])
     out = [json.loads(r.frame) for r in frames(views.snapshot(graph, "node"), "v", 0, True).collect()]
-    assert out[0]["changes"][0] == ["+", 1, "NODE"]
-    assert ["p", 1, "$name", 'a"b'] in out[0]["changes"] and ["p", 1, "r", "NaN"] in out[0]["changes"]
+    assert out[0]["changes"][0] == ["+", 1, "NODE"] and len(out[0]["changes"]) == 2
+    run, keys = out[0]["changes"][1], out[0]["keys"]
+    assert run[:2] == ["p", 1] and out[0]["version"] == 0
+    stated = {keys[str(k)]: v for k, v in zip(run[2::2], run[3::2], strict=True)}
+    assert stated["$name"] == 'a"b' and stated["r"] == "NaN" and "$id" not in stated and len(stated) == len(keys)
+    gone = [json.loads(r.frame) for r in frames(views.delta(graph, graph.with_(objects=graph.objects.limit(0)), "node"), "v", 1, False, 4).collect()]
+    assert [(g["changes"], g["keys"], g["seq"], g["version"], g["snapshot"]) for g in gone] == [([["-", 1, "NODE"]], {}, 1, 4, False)]
 
 
 def test_assembly(spark):
