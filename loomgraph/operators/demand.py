@@ -17,18 +17,17 @@ def levels(objects: DataFrame, interests: DataFrame, overrides: DataFrame) -> Da
     Only objects with an override are looked at one by one; a client that
     overrides an object does not count with its base there.
     """
-    base = interests.groupBy().agg(F.max("base").alias("_base"), F.count(F.lit(1)).alias("_clients"))
-    known = overrides.join(interests, "client", "left_semi")
-    # For each overridden object the bases of the other clients count too: the
+    bases = (OFF, COARSE, FINE)
+    at = lambda k: F.count(F.when(F.col("base") == k, 1))
+    # What all clients want is one row; it is read as a value, not joined.
+    want = interests.groupBy().agg(F.struct(F.max("base").alias("base"), F.count(F.lit(1)).alias("clients"), *[at(k).alias(f"n{k}") for k in bases]).alias("_want")).scalar()
+    # At an overridden object the bases of the other clients count too: the
     # highest base whose clients do not all override the object.
-    ladder = interests.groupBy("base").agg(F.count(F.lit(1)).alias("_n"))
-    own = known.join(interests, "client").groupBy("object_id", "base").agg(F.count(F.lit(1)).alias("_m"))
-    objects_over = known.groupBy("object_id").agg(F.max("level").alias("_level"))
-    rest = objects_over.select("object_id").join(F.broadcast(ladder.where(F.col("base").isin(OFF, COARSE, FINE)))).join(own, ["object_id", "base"], "left")
-    rest = rest.where(F.coalesce("_m", F.lit(0)) < F.col("_n")).groupBy("object_id").agg(F.max("base").alias("_rest"))
-    special = objects_over.join(rest, "object_id", "left").select("object_id", F.greatest("_level", "_rest").alias("_special"))
-    joined = objects.select("object_id").join(special, "object_id", "left").join(F.broadcast(base))
-    level = F.when(F.col("_clients") == 0, FINE).otherwise(F.coalesce("_special", "_base"))
+    special = overrides.join(interests, "client").groupBy("object_id").agg(F.max("level").alias("_level"), *[at(k).alias(f"_m{k}") for k in bases]).withColumn("_want", want)
+    rest = F.greatest(*[F.when(F.col(f"_m{k}") < F.col(f"_want.n{k}"), k) for k in bases])
+    special = special.select("object_id", F.greatest("_level", rest).alias("_special"))
+    joined = objects.select("object_id").join(special, "object_id", "left").withColumn("_want", want)
+    level = F.when(F.col("_want.clients") == 0, FINE).otherwise(F.coalesce("_special", "_want.base"))
     return joined.select("object_id", level.cast("int").alias("level"))
 
 

@@ -120,13 +120,21 @@ def path_text(chain: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(chain, step), "/"))
 
 
+def _roots(graph: Graph, axis: str) -> DataFrame:
+    """(object_id) of what holds on the axis and is held by nothing; where the levels are known, what the first edges start from."""
+    known = graph.levels.get(axis)
+    if known:
+        return known[0].select(F.col("parent_id").alias("object_id")).distinct()
+    own = graph.contain.where(F.col("axis") == axis)
+    return drop(own.select(F.col("parent_id").alias("object_id")).distinct(), own.select("child_id"), "object_id", distinct=False)
+
+
 def path_of(graph: Graph, axis: str) -> DataFrame:
     """(object_id, path) of every node on the axis, roots included."""
     nodes = graph.nodes().select("object_id", F.struct(F.col("object_id").alias("id"), "name", "type").alias("_self"))
     chains = ancestors(graph, axis)
     under = nodes.join(chains, "object_id").select("object_id", path_text(F.concat("chain", F.array("_self"))).alias("path"))
-    own = graph.contain.where(F.col("axis") == axis)
-    roots = drop(own.select(F.col("parent_id").alias("object_id")).distinct(), own.select("child_id"), "object_id", distinct=False)
+    roots = _roots(graph, axis)
     return under.union(nodes.join(roots, "object_id").select("object_id", path_text(F.array("_self")).alias("path")))
 
 
@@ -134,8 +142,7 @@ def resolve(graph: Graph, axis: str, path: Path) -> DataFrame:
     """(object_id) the path leads to: empty if nothing, an error if a segment names two."""
     own = graph.contain.where(F.col("axis") == axis).select("parent_id", "child_id")
     named = graph.nodes().select("object_id", F.struct(F.col("object_id").alias("id"), "name", "type").alias("_step"))
-    holders = own.select(F.col("parent_id").alias("object_id")).distinct()
-    at = drop(keep(named, holders, "object_id", distinct=False), own.select("child_id"), "object_id", distinct=False)
+    at = _roots(graph, axis).join(graph.holders.get(axis, graph.nodes()).select("object_id", F.struct(F.col("object_id").alias("id"), "name", "type").alias("_step")), "object_id")
     if not len(path):
         return named.where(F.lit(False)).select("object_id")
     for i, segment in enumerate(path.segments):
@@ -145,8 +152,8 @@ def resolve(graph: Graph, axis: str, path: Path) -> DataFrame:
         found = at.groupBy().agg(F.count(F.lit(1)).alias("_n"), F.min("object_id").alias("object_id"), F.max("object_id").alias("_other"))
         two = F.concat(F.lit(f"{segment} of {path} names both "), F.col("object_id").cast("string"), F.lit(" and "), F.col("_other").cast("string"))
         checked = F.when(F.col("_n") > 1, F.raise_error(two).cast("long")).otherwise(F.col("object_id"))
-        at = found.select(checked.alias("object_id")).where("object_id is not null").join(named, "object_id")
-    return at.select("object_id")
+        at = found.select(checked.alias("object_id")).where("object_id is not null")
+    return at
 
 
 def children(graph: Graph, object_id: int) -> DataFrame:
@@ -171,13 +178,9 @@ def cycles(contain: DataFrame) -> DataFrame:
     while count:
         parents_, children_ = edges.select(F.col("parent_id").alias("_p")).distinct(), edges.select(F.col("child_id").alias("_c")).distinct()
         edges = edges.join(parents_, F.col("child_id") == F.col("_p"), "left_semi").join(children_, F.col("parent_id") == F.col("_c"), "left_semi")
-        edges = edges.checkpoint() if _can_checkpoint(edges) else edges
+        edges = cut(edges)
         left = edges.count()
         if left == count:
             break
         count = left
     return edges.select(F.col("parent_id").alias("object_id")).distinct()
-
-
-def _can_checkpoint(frame: DataFrame) -> bool:
-    return not frame.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
