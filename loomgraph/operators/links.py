@@ -44,12 +44,22 @@ def _side(declared: DataFrame, role: str) -> DataFrame:
 
 
 def _pairs(providers: DataFrame, requirers: DataFrame, routes: DataFrame | None) -> DataFrame:
-    named = providers.where("p_domain <> ''")
-    reach = named.withColumn("r_domain", F.col("p_domain"))
+    # One join: a provider is at each domain that it reaches, one of the unnamed
+    # domain at the place of all, and a requirer at its own domain and there.
+    place = lambda everywhere, domain: F.struct(F.lit(everywhere).alias("_all"), domain.alias("_domain"))
+    everywhere = place(True, F.lit(""))
+    own = F.when(F.col("p_domain") == "", everywhere).otherwise(place(False, F.col("p_domain")))
+    at = providers.withColumn("_at", own)
     if routes is not None:
-        reach = reach.unionByName(_led(named, routes))
-    pairs = reach.join(requirers, ["address", "r_domain"]).unionByName(providers.where("p_domain = ''").join(requirers, "address"))
-    return pairs.where("p_kind <> r_kind and p_port_id <> r_port_id")
+        led = routes.distinct().where("requiring_domain <> providing_domain and providing_domain <> ''")
+        led = led.groupBy(F.col("providing_domain").alias("_p")).agg(F.collect_set("requiring_domain").alias("_led"))
+        further = F.transform("_led", lambda d: place(False, d))
+        reached = F.when(F.col("_led").isNull(), F.array("_at")).otherwise(F.concat(F.array("_at"), further))
+        at = at.join(led, F.col("p_domain") == F.col("_p"), "left").withColumn("_at", F.explode(reached)).drop("_p", "_led")
+    asked = requirers.withColumn("_at", F.explode(F.array(place(False, F.col("r_domain")), everywhere)))
+    apart = lambda rows: rows.select(*[c for c in rows.columns if c != "_at"], "_at.*")
+    pairs = apart(at).join(apart(asked), ["address", "_all", "_domain"])
+    return pairs.where("p_kind <> r_kind and p_port_id <> r_port_id").drop("_all", "_domain")
 
 
 def _led(providers: DataFrame, routes: DataFrame) -> DataFrame:
