@@ -89,8 +89,9 @@ def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read("orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "domain")
     address = lambda c: F.concat(F.lit("part:"), F.col(c).cast("string")).alias("address")
     port = lambda kind, c: (F.lit(PORT[kind] * UNIT) + F.col(c)).alias("port_id")
-    sold = lines.select("l_suppkey", "l_partkey").distinct().join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    need = lines.select("l_orderkey", "l_partkey").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Joined by the first key before they are made distinct, lines stay where they are for the latter.
+    sold = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("l_suppkey", "l_partkey", "domain").distinct()
+    need = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", "domain").distinct()
     parts = [
         sold.select(port("supplier", "l_suppkey"), F.lit("OUTPUT").alias("kind"), F.lit("supply").alias("type"), F.lit("provide").alias("role"), "domain", address("l_partkey")),
         need.select(port("order", "l_orderkey"), F.lit("INPUT").alias("kind"), F.lit("demand").alias("type"), F.lit("require").alias("role"), "domain", address("l_partkey")),
