@@ -69,9 +69,9 @@ def faults(declared: DataFrame, objects: DataFrame, properties: DataFrame | None
     out.append(told(declared.where((F.size("own") == 0) & F.col("child_key").isNull()), "nothing to fold"))
     twice = names.groupBy("object_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n > 1")
     out.append(told(twice, "declared twice"))
-    kinds = objects.select(F.col("object_id").alias("_o"), "kind")
-    childed = declared.where("child_key is not null").join(kinds, F.col("object_id") == F.col("_o"), "left")
-    out.append(told(childed.where("kind is null or kind <> 'NODE'"), "not a node"))
+    nodes = objects.where("kind = 'NODE'").select(F.col("object_id").alias("_o"))
+    childed = declared.where("child_key is not null").join(nodes, F.col("object_id") == F.col("_o"), "left")
+    out.append(told(childed.where("_o is null"), "not a node"))
     reads = declared.select("object_id", "key", F.explode("own").alias("name"))
     out.append(told(reads.join(names.select("object_id", "name"), ["object_id", "name"]), "own key is derived"))
     if properties is not None:
@@ -82,45 +82,68 @@ def faults(declared: DataFrame, objects: DataFrame, properties: DataFrame | None
 
 
 def summands(graph: Graph, keys: Sequence[str]) -> DataFrame:
-    """(object_id, key, l, d) of the keys where they are numbers; columns that are not asked for are not read."""
-    frame = graph.widened(graph.objects, keys)
-    items = []
+    """(object_id, key, l, d) of the keys where they are numbers.
+
+    Each column is read from the kinds that have it, other keys from the
+    properties alone; objects that have none are not looked at.
+    """
+    parts, loose = [], []
     for key in keys:
+        if key not in INTRINSIC and key not in graph.bound:
+            loose.append(key)
+            continue
         cell = graph.cell(key)
-        whole, broken = ((F.lit(None) if c is None else c).cast(t) for c, t in ((cell.long, "long"), (cell.double, "double")))
-        items.append(F.struct(F.lit(key).alias("key"), whole.alias("l"), broken.alias("d")))
-    return frame.select("object_id", F.explode(F.array(*items)).alias("_v")).select("object_id", "_v.*").where("l is not null or d is not null")
+        number = cell.long if cell.long is not None else cell.double
+        if number is not None:
+            whole, broken = ((F.lit(None) if c is None else c).cast(t) for c, t in ((cell.long, "long"), (cell.double, "double")))
+            parts.append(graph.objects.where(number.isNotNull()).select("object_id", F.lit(key).alias("key"), whole.alias("l"), broken.alias("d")))
+    if loose and graph.properties is not None:
+        own = graph.properties.where(F.col("key").isin(loose)).groupBy("object_id", "key").agg(F.first(F.struct("l", "d")).alias("_v"))
+        parts.append(own.select("object_id", "key", "_v.*").where("l is not null or d is not null"))
+    return reduce(DataFrame.unionByName, parts) if parts else graph.spark.createDataFrame([], "object_id long, key string, l long, d double")
 
 
-def tallies(graph: Graph, declared: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(object_id, key, l, d, known, total) of each declaration over the written values of ``keys``.
+def tallies(graph: Graph, declared: DataFrame, keys: Sequence[str], names: set[str]) -> DataFrame:
+    """(object_id, key, l, d, known, total) of each declaration over the written values of ``keys``; ``names`` are all that declarations supply.
 
-    A summand that is itself derived, and not taken over whole by a chain, has
+    What reads no such name from children is folded at once. Of the rest, a
+    summand that is itself derived, and not taken over whole by a chain, has
     to be known first: declarations are folded in strata, of which there are
     at most as many as levels of containment times rules along one path.
     """
     nodes = graph.objects.where(F.col("kind") == "NODE")
-    below = folds.leaves(declared.where("child_key is not null").withColumn("own", F.size("own") > 0), graph.contain, nodes)
-    own = declared.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"), "fold", F.col("object_id").alias("leaf"), F.explode("own").alias("leaf_key"))
-    names = supplied(declared).select(F.col("object_id").alias("_n"), F.col("name").alias("_name"), F.col("key").alias("needs"))
-    summed = cut(below.unionByName(own).join(names, (F.col("leaf") == F.col("_n")) & (F.col("leaf_key") == F.col("_name")), "left").drop("_n", "_name"))
-    values, out = summands(graph, keys), None
-    pending = declared.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"))
+    values = summands(graph, keys)
+    waits = F.coalesce(F.col("child_key").isin(*names), F.lit(False))
+    owning = lambda rows: rows.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"), "fold", F.col("object_id").alias("leaf"), F.explode("own").alias("leaf_key"))
+    roots = lambda rows: rows.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"))
+
+    def found(ready: DataFrame, rows: DataFrame) -> DataFrame:
+        read = values.select(F.col("object_id").alias("leaf"), F.col("key").alias("leaf_key"), "l", "d")
+        # What has no children is told too: nothing of nothing is known.
+        tally = ready.select(F.col("root").alias("object_id"), F.col("root_key").alias("key")).join(folds.by_fold(rows.join(read, ["leaf", "leaf_key"], "left")), ["object_id", "key"], "left")
+        return cut(tally.fillna(0, ["known", "total"]))
+
+    plain, rest = declared.where(~waits), declared.where(waits)
+    out = found(roots(plain), folds.children(plain.where("child_key is not null"), graph.contain, nodes).unionByName(owning(plain)))
+    if names.isdisjoint(keys):
+        return out
+    values = values.unionByName(named(out, declared).select("object_id", "key", "l", "d"))
+    chained = lambda rows: rows.where("child_key is not null").withColumn("own", F.size("own") > 0)
+    below = folds.leaves(chained(declared), graph.contain, nodes, roots=chained(rest))
+    supplying = supplied(rest).select(F.col("object_id").alias("_n"), F.col("name").alias("_name"), F.col("key").alias("needs"))
+    summed = cut(below.unionByName(owning(rest)).join(supplying, (F.col("leaf") == F.col("_n")) & (F.col("leaf_key") == F.col("_name")), "left").drop("_n", "_name"))
+    pending = roots(rest)
     while not pending.isEmpty():
         open_ = pending.select(F.col("root").alias("leaf"), F.col("root_key").alias("needs"))
         blocked = summed.where("needs is not null").join(open_, ["leaf", "needs"], "left_semi").select("root", "root_key").distinct()
         ready = cut(pending.join(blocked, ["root", "root_key"], "left_anti"))
         if ready.isEmpty():
             raise ValueError("derived properties depend on each other in a circle")
-        read = values.select(F.col("object_id").alias("leaf"), F.col("key").alias("leaf_key"), "l", "d")
-        rows = summed.join(ready, ["root", "root_key"], "left_semi").join(read, ["leaf", "leaf_key"], "left")
-        # What has no children is told too: nothing of nothing is known.
-        found = ready.select(F.col("root").alias("object_id"), F.col("root_key").alias("key")).join(folds.by_fold(rows), ["object_id", "key"], "left")
-        found = cut(found.fillna(0, ["known", "total"]))
-        out = found if out is None else out.unionAll(found)
-        values = values.unionByName(named(found, declared).select("object_id", "key", "l", "d"))
+        tally = found(ready, summed.join(ready, ["root", "root_key"], "left_semi"))
+        out = out.unionAll(tally)
+        values = values.unionByName(named(tally, declared).select("object_id", "key", "l", "d"))
         pending = pending.join(ready, ["root", "root_key"], "left_anti")
-    return out if out is not None else graph.spark.createDataFrame([], "object_id long, key string, l long, d double, known long, total long")
+    return out
 
 
 def named(tally: DataFrame, declared: DataFrame) -> DataFrame:
@@ -167,5 +190,6 @@ def derive(graph: Graph, rules: Sequence[Rule], anew: bool = True) -> Graph:
     keys = sorted({k for r in rules for k in (*r.own, *([r.children] if r.children else []))})
     if not keys:
         return graph
-    rows = property_rows(named(tallies(graph, declared, keys), declared), DERIVED)
+    names = {n for r in rules for n in (r.key, *((f"{r.key}.known", f"{r.key}.total") if r.children else ()))}
+    rows = property_rows(named(tallies(graph, declared, keys, names), declared), DERIVED)
     return graph.with_(properties=rows if graph.properties is None else graph.properties.unionByName(rows))

@@ -89,7 +89,16 @@ def own_and_children(own: DataFrame, contain: DataFrame, summands: DataFrame, fo
     return fold_rows(own.select("object_id", "l", "d").unionAll(below.join(roots, "object_id", "left_semi")), ["object_id"], fold)
 
 
-def leaves(derivations: DataFrame, contain: DataFrame, objects: DataFrame, levels: int | None = None) -> DataFrame:
+def children(derivations: DataFrame, contain: DataFrame, objects: DataFrame) -> DataFrame:
+    """``leaves`` of folds that no chain can take over: the children of the right type, one level down."""
+    spec = derivations.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"), "fold", F.col("child_key").alias("leaf_key"), "child_type")
+    edges = contain.select("parent_id", "child_id").distinct()
+    types = objects.select(F.col("object_id").alias("_o"), F.col("type").alias("_type"))
+    step = spec.join(edges, F.col("root") == F.col("parent_id")).join(types, F.col("child_id") == F.col("_o"))
+    return step.where("child_type is null or child_type = _type").select("root", "root_key", "fold", F.col("child_id").alias("leaf"), "leaf_key")
+
+
+def leaves(derivations: DataFrame, contain: DataFrame, objects: DataFrame, levels: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(root, root_key, fold, leaf, leaf_key): what declared folds over children sum up, chains followed down.
 
     ``derivations``: (object_id, key, fold, child_key, child_type) and, where a
@@ -97,12 +106,13 @@ def leaves(derivations: DataFrame, contain: DataFrame, objects: DataFrame, level
     read with the same fold, and without own summands, gives all its own
     summands in place of its value, whatever its type; others give their value
     where the type fits. A leaf that two chains reach counts twice. Chains are
-    followed level by level, as far as they go or ``levels`` deep.
+    followed level by level, as far as they go or ``levels`` deep. Where
+    ``roots``, some of the derivations, are given, only theirs are told.
     """
     spec = derivations.select("object_id", "key", "fold", "child_key", "child_type", *(["own"] if "own" in derivations.columns else [F.lit(False).alias("own")]))
     edges = contain.select("parent_id", "child_id").distinct()
     chains = spec.where("not own").select(F.col("object_id").alias("c_id"), F.col("key").alias("c_key"), F.col("fold").alias("c_fold"), F.col("child_key").alias("c_child_key"), F.col("child_type").alias("c_child_type"))
-    level = spec.select(F.col("object_id").alias("root"), F.col("key").alias("root_key"), "fold", F.col("object_id").alias("at"), "child_key", "child_type")
+    level = (spec if roots is None else roots).select(F.col("object_id").alias("root"), F.col("key").alias("root_key"), "fold", F.col("object_id").alias("at"), "child_key", "child_type")
     types = objects.select(F.col("object_id").alias("_o"), F.col("type").alias("_type"))
     out = None
     n = 0

@@ -90,20 +90,25 @@ class _Plan:
             self.frame = self.frame.join(side, F.col(f"{end}_id") == F.col(f"_{end}"), "left").drop(f"_{end}")
 
 
-def matched(graph: Graph, selector: str | s.Term, among: DataFrame | None = None) -> DataFrame:
-    """Rows of ``objects`` that the selector holds, of those whose distinct ids are in ``among`` if that is given."""
+def matched(graph: Graph, selector: str | s.Term, among: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Rows of ``objects`` that the selector holds, of those whose distinct ids are in ``among`` if that is given.
+
+    ``rows`` are few rows of ``objects`` at hand, with the columns that the
+    selector reads of them, to be looked at in place of all.
+    """
     term = s.parse(selector) if isinstance(selector, str) else selector
     kinds = term.kinds()
-    frame = graph.objects
+    frame = graph.objects if rows is None else rows
     if kinds != s.KINDS:
         frame = frame.where(F.col("kind").isin(*sorted(kinds))) if kinds else frame.where(F.lit(False))
     if among is not None:
         frame = keep(frame, among, "object_id", distinct=False)
     # Terms inside sets of ids are read by their own plans.
     own = _own_keys(term)
-    plan = _Plan(graph, graph.widened(frame, own), None if among is None else among.select("object_id"))
+    few = rows if among is None else among
+    plan = _Plan(graph, graph.widened(frame, own), None if few is None else few.select("object_id"))
     column = plan.column(term)
-    return plan.frame.where(column).select(*graph.objects.columns)
+    return plan.frame.where(column).select(*(graph.objects if rows is None else rows).columns)
 
 
 def _own_keys(term: s.Term) -> set[str]:
